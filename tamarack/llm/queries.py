@@ -6,17 +6,20 @@ from .decontamination import OP7_SQL, op7_decontamination
 from .language_id import op1_language_id
 from .ngram_join import OP9_SQL, op9_ngram_join
 from .secret_scans import OP6_SQL, op6_secret_scans
+from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_decontamination": op7_decontamination,
     "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLES = {
+    "op3_substring_dedup": OP3_SQL,
     "op6_secret_scans": OP6_SQL,
     "op7_decontamination": OP7_SQL,
     "op9_ngram_join": OP9_SQL,
