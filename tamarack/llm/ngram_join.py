@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import blocks, broadcast_if, checkpointed, hash_windows, hash_words, mix, stored
 
 WIDTH = 5
-#: Counters of the frequency sketch (a power of two) and counters in a row of its table.
-SKETCH_BITS, SKETCH_ROW = 18, 4096
+#: Bounds of the frequency sketch's size in bits; bytes of text for each counter; counters in a row.
+SKETCH_BITS, SKETCH_BYTES, SKETCH_ROW = (16, 22), 512, 4096
 #: Similarity as a fraction.
 TOP, BOTTOM = 80, 100
 
@@ -47,25 +48,32 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
 
 
-def frequency_sketch(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For each of 2**bits cells the class (bit length) of how many shingles of all documents fall in."""
+def frequency_sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """For each cell of the sketch the class (bit length) of how many shingles of all documents fall in.
+
+    The number of cells follows the text's size within fixed bounds; tasks merge their own counts first.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(int(size // SKETCH_BYTES).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(_texts(batch), width)])
-            cells += np.bincount((every & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+            for some in shingle_sets(_texts(batch), width):
+                np.add.at(cells, (some & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
         for row in range(0, 1 << bits, SKETCH_ROW):
-            yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int64()), "cells": [cells[row : row + SKETCH_ROW].tobytes()]})
+            part = cells[row : row + SKETCH_ROW].view(np.uint8).reshape(-1, 8).T.tobytes()  # by significance: packs well
+            yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int64()), "cells": [part]})
 
     def add(parts):
-        return parts.groupby("row", as_index=False).agg(lambda c: np.sum([np.frombuffer(x, np.int64) for x in c], axis=0).tobytes())
+        total = sum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in parts["cells"])
+        return pd.DataFrame({"row": parts["row"][:1], "classes": [np.frexp(total.astype(float))[1].astype(np.uint8).tobytes()]})
 
-    cells = docs.select("text").mapInArrow(count, "row long, cells binary").groupBy("row").applyInPandas(add, "row long, cells binary")
-    found = np.zeros(1 << bits, np.int64)
-    for r in cells.collect():  # as large as the sketch, whatever the input
-        found[r["row"] : r["row"] + SKETCH_ROW] = np.frombuffer(bytes(r["cells"]), np.int64)
-    return np.frexp(found.astype(float))[1].astype(np.uint8)
+    cells = docs.select("text").mapInArrow(count, "row long, cells binary").groupBy("row").applyInPandas(add, "row long, classes binary")
+    found = np.zeros(1 << bits, np.uint8)
+    for r in cells.collect():  # one byte a cell
+        found[r["row"] : r["row"] + SKETCH_ROW] = np.frombuffer(bytes(r["classes"]), np.uint8)
+    return found
 
 
 def _codes(some: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -106,7 +114,10 @@ def shingle_table(docs: DataFrame, classes: np.ndarray, width: int, top: int, bo
 
 
 def shingle_codes(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: int) -> DataFrame:
-    """(cls, codes): the whole sets, as packed sorted codes, of the classes in ``wanted``, once each."""
+    """(cls, codes): the whole sets, as packed sorted codes, of ``wanted`` (cls, text_key), once each.
+
+    Texts that are not wanted never leave the JVM.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +128,9 @@ def shingle_codes(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width
                 codes.append(_codes(some, shared.value).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(codes, pa.binary())], ["cls", "codes"])
 
-    rows = docs.select("text").mapInArrow(read, "cls long, codes binary")
-    return rows.join(broadcast_if(wanted, wanted.count(), 16), "cls").groupBy("cls").agg(F.first("codes").alias("codes"))
+    keys = broadcast_if(wanted.select("text_key"), wanted.count(), 16)
+    rows = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi").select("text").mapInArrow(read, "cls long, codes binary")
+    return rows.groupBy("cls").agg(F.first("codes").alias("codes"))
 
 
 def _similar(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterator[pa.RecordBatch]:
@@ -138,9 +150,22 @@ def _similar(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterat
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of classes that are similar enough."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("codes").alias("x")), "a").join(
+def linked(pairs: DataFrame, own: DataFrame, docs: DataFrame, classes: np.ndarray, width: int, top: int, bottom: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of classes that are similar enough.
+
+    Of two prefixes the one that ends first holds all that its set shares with the other one so far:
+    what the prefixes share, with all that follows in a set, bounds the overlap. The few pairs that this
+    admits meet their whole sets.
+    """
+    sides = [own.select(F.col("cls").alias(k), F.col("n").alias(f"{k}_n"), F.col("prefix").alias(f"{k}_prefix"), F.col("text_key").alias(f"{k}_key")) for k in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    most = F.size(F.array_intersect("a_prefix", "b_prefix")) + F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
+    near = stored(met.where(bottom * most >= top * (F.col("a_n") + F.col("b_n") - most)).select("a", "b", "a_key", "b_key"), "near")
+    wanted = stored(near.select(F.col("a").alias("cls"), F.col("a_key").alias("text_key")).union(near.select("b", "b_key")).distinct(), "wanted")
+    if wanted.isEmpty():
+        return near.select("a", "b")
+    sets = stored(shingle_codes(docs, wanted, classes, width), "sets")
+    both = near.join(sets.select(F.col("cls").alias("a"), F.col("codes").alias("x")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("codes").alias("y")), "b"
     )
     return both.select("a", "b", "x", "y").mapInArrow(lambda batches: _similar(batches, top, bottom), "a long, b long")
@@ -180,11 +205,11 @@ def _close(a: str, b: str, top: int, bottom: int) -> str:
 
 def similar_classes(docs: DataFrame, table: DataFrame, classes: np.ndarray, width: int, top: int, bottom: int) -> DataFrame:
     """(cls, comp) for the classes of ``table`` that are linked with another one."""
-    own = table.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    own = table.where("n > 0").groupBy("cls").agg(F.min(F.struct("text_key", "n", "prefix")).alias("s")).select("cls", "s.*")
+    own = stored(own, "classes")
     rows = own.select("cls", "n", F.posexplode("prefix").alias("pos", "tok"))
     met = rows.groupBy("tok").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("tok")
     rows = stored(rows.join(met, "tok"), "prefixes")
-    sets = stored(shingle_codes(docs, rows.select("cls").distinct(), classes, width), "sets")
 
     # the leader of a code: the set that shares most of its prefix, as an original does with its copies
     rank = rows.groupBy("cls").agg((F.count("*") * 1000 / F.first("n")).cast("int").alias("rank"))
@@ -192,7 +217,7 @@ def similar_classes(docs: DataFrame, table: DataFrame, classes: np.ndarray, widt
     lead = ranked.groupBy("tok").agg(F.max(F.struct("rank", "cls", "n", "pos")).alias("l")).select("tok", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("cls", "n", "pos")))
     near = rows.join(lead, "tok").where("cls <> l_cls").where(_close("", "l_", top, bottom))
     pairs = stored(near.select(F.least("cls", "l_cls").alias("a"), F.greatest("cls", "l_cls").alias("b")).distinct(), "pairs")
-    links = stored(linked(pairs, sets, top, bottom), "links")
+    links = stored(linked(pairs, own, docs, classes, width, top, bottom), "links")
 
     comps = stored(components(links), "comps")
     placed = rows.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -201,8 +226,8 @@ def similar_classes(docs: DataFrame, table: DataFrame, classes: np.ndarray, widt
     x, y = (apart.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "pos", "comp"))) for side in "xy")
     rest = x.join(y, (x["tok"] == y["tok"]) & (F.col("x_comp") < F.col("y_comp")) & F.expr(_close("x_", "y_", top, bottom)))
     rest = rest.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
-    more = linked(rest.join(pairs, ["a", "b"], "left_anti"), sets, top, bottom)
-    return stored(components(links.union(stored(more, "links"))), "comps")
+    more = stored(linked(rest.join(pairs, ["a", "b"], "left_anti"), own, docs, classes, width, top, bottom), "links")
+    return comps if more.isEmpty() else stored(components(links.union(more)), "comps")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, top: int = TOP, bottom: int = BOTTOM) -> DataFrame:
