@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 #: Bytes hashed at a time inside a task; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

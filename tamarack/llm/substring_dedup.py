@@ -29,7 +29,7 @@ WIDTH, INNER = 13, 5
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 #: Bytes of text that a task gathers before it sends rows; an edge that occurs so often in them is hot.
-SEND_BYTES, HOT = 32 << 20, 256
+SEND_BYTES, HOT = 8 << 20, 128
 #: Stands for a null doc_id: larger than all others.
 _NULL_ID = np.iinfo(np.int64).max
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
