@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, broadcast_if, hash_windows, hash_words, mix, stored
+from .common import blocks, hash_windows, hash_words, mix, stored
 
 WIDTH, INNER = 13, 5
 #: Bytes of text for each bucket, and the least number of buckets.
@@ -222,8 +222,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, often: int = HOT) -> Dat
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["odoc", "ostart", "n", "digest"])
 
-    n_paths = paths.count()
-    wanted = docs.join(broadcast_if(asked, n_paths, 24), F.col("doc_id") == F.col("odoc"))
+    wanted = docs.join(asked.hint("merge"), F.col("doc_id") == F.col("odoc"))
     proofs = wanted.select("odoc", "text", "asked").mapInArrow(digests, "odoc long, ostart int, n int, digest binary")
     spans = paths.join(proofs, ["odoc", "ostart", "n"]).groupBy("doc").agg(F.collect_set(F.struct("start", "n", "digest")).alias("spans"))
     spans = stored(spans, "spans")
@@ -250,7 +249,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, often: int = HOT) -> Dat
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", "removed"])
 
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL_ID)))
-    joined = docs.join(broadcast_if(spans, n_paths, 56), own_id == F.col("doc"), "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans.hint("merge"), own_id == F.col("doc"), "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string, removed array<struct<start: int, n: int>>")
 
