@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if
+from .common import ascii_lower, broadcast_if, stored
 
 #: What is not a word character once A-Z are in lower case.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -99,13 +99,18 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     ``spans_only``: documents with hits stay, as their normalised words outside all hits.
     Untouched documents keep their text as it is. Rows with null or empty text stay.
     """
-    found = contaminated_spans(docs, benchmark, width, tuple(docs.columns))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_key"))
+    found = contaminated_spans(keyed, benchmark, width, ("doc_id", "_key")).where(F.size("spans") > 0)
+    found = stored(found.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text"), "spans").dropDuplicates(["_doc", "_text"]), "hits")
+    # equal ids with equal texts are hit alike, so id and text hash are key enough
+    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
+    found = found.withColumnRenamed("spans", "_spans")
     if not spans_only:
-        return found.where(F.size("spans") == 0).select(*docs.columns)
-    inside = lambda i: F.exists("spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["n"]))
+        return docs.join(broadcast_if(found.drop("_spans"), found.count(), 32), on, "left_anti")
+    inside = lambda i: F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["n"]))
     words = F.filter(normal_words(F.col("text")), lambda w, i: ~inside(i + 1))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.array_join(words, " "))
-    return found.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(words, " "))
+    return docs.join(found, on, "left").withColumn("text", text).select(*docs.columns)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7_decontamination
 from .language_id import op1_language_id
+from .license_scan import op4_license_scan
+from .media_columns import op8_media_columns
+from .mixing import op10_mixing
 from .ngram_join import OP9_SQL, op9_ngram_join
 from .secret_scans import OP6_SQL, op6_secret_scans
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .token_counts import op2_token_counts
+from .url_filters import op5_url_filters
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_url_filters": op5_url_filters,
     "op6_secret_scans": op6_secret_scans,
     "op7_decontamination": op7_decontamination,
+    "op8_media_columns": op8_media_columns,
     "op9_ngram_join": op9_ngram_join,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {

@@ -8,8 +8,6 @@ A host is blocked where its distrust is larger than its trust.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +44,12 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return best
 
 
-def _parent(host: Column) -> Column:
-    """The domain above a host; null for one of two labels or fewer."""
-    above = F.substring_index(host, ".", F.size(F.split(host, r"\.")) * 0 - 1)
-    rest = F.regexp_extract(host, r"^[^.]+\.(.+\..+)$", 1)
-    return F.when(rest != "", rest).otherwise(F.lit(None).cast(above._jc.getClass() and "string"))
+def _domain_steps(host: Column) -> Column:
+    """(host, domain above) for a host and each domain above it, down to two labels."""
+    parts = F.split(host, r"\.")
+    name = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda i: F.struct(name(i).alias("src"), name(i + 1).alias("dst")))
+    return F.when(F.size(parts) > 2, steps)
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     out = links.select(F.col("host").alias("src"), host_of(F.col("to")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     out = out.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     hosts = pages.where("host <> ''").select("host").distinct().union(out.select("dst")).distinct()
-    up = hosts.select(F.col("host").alias("src"), _parent(F.col("host")).alias("dst")).where("dst is not null")
+    up = hosts.select(F.explode(_domain_steps(F.col("host"))).alias("s")).select("s.*").distinct()
     both = up.union(up.select("dst", "src")).withColumn("w", F.lit(1.0))
     return out.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
@@ -124,18 +123,3 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
 def op5_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
-
-
-def brute_scores(edges: list[tuple[str, str, float]], seeds: dict[str, float], damping: float, rounds: int) -> dict[str, float]:
-    """The same propagation on small lists, for tests."""
-    total: dict[str, float] = {}
-    for a, _, w in edges:
-        total[a] = total.get(a, 0.0) + w
-    score = dict(seeds)
-    for _ in range(rounds):
-        new = {h: s * (1 - damping) for h, s in seeds.items()}
-        for a, b, w in edges:
-            if a in score:
-                new[b] = new.get(b, 0.0) + damping * score[a] * w / total[a]
-        score = new
-    return reduce(lambda acc, kv: acc | {kv[0]: kv[1]}, score.items(), {})
