@@ -87,6 +87,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches cut to at most ``rows`` rows, to bound what a task holds at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def blocks(texts: list[bytes]):
     """(first, last) ranges of ``texts`` that hold about BLOCK_BYTES each."""
     first = size = 0

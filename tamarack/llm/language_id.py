@@ -115,16 +115,30 @@ def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for part in parts:
         for lang, texts in part.groupby("lang")["text"]:
-            keys = [sums.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))]
-            new, n = np.unique(np.concatenate([ngram_keys(t) for t in texts]), return_counts=True)
-            merged, where = np.unique(np.concatenate([keys[0][0], new]), return_inverse=True)
-            sums[lang] = merged, np.bincount(where, np.concatenate([keys[0][1], n])).astype(np.int64)
-            if len(merged) > 1_000_000:
-                yield _frame(lang, *sums.pop(lang))
+            for some in _grouped(texts):
+                old, m = sums.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                new, n = np.unique(np.concatenate([ngram_keys(t) for t in some]), return_counts=True)
+                merged, where = np.unique(np.concatenate([old, new]), return_inverse=True)
+                sums[lang] = merged, np.bincount(where, np.concatenate([m, n])).astype(np.int64)
+                if len(merged) > 500_000:
+                    yield _frame(lang, *sums.pop(lang))
     for lang, (keys, n) in sums.items():
         yield _frame(lang, keys, n)
 
 
+def _grouped(texts):
+    """Texts in lists of about BLOCK_BYTES characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= BLOCK_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _frame(lang: str, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": n})
 

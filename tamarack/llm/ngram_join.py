@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, broadcast_if, checkpointed, hash_windows, hash_words, mix, stored
+from .common import blocks, broadcast_if, checkpointed, hash_windows, hash_words, mix, sliced, stored
 
 WIDTH = 5
 #: Bounds of the frequency sketch's size in bits; bytes of text for each counter; counters in a row.
@@ -58,7 +58,7 @@ def frequency_sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << bits, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for some in shingle_sets(_texts(batch), width):
                 np.add.at(cells, (some & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
         for row in range(0, 1 << bits, SKETCH_ROW):
@@ -95,7 +95,7 @@ def shingle_table(docs: DataFrame, classes: np.ndarray, width: int, top: int, bo
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, cls, ends, codes = [], [], [0], []
             for some in shingle_sets(_texts(batch), width):
                 own = _codes(some, shared.value)[: prefix_length(len(some), top, bottom)]
@@ -121,7 +121,7 @@ def shingle_codes(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             cls, codes = [], []
             for some in shingle_sets(_texts(batch), width):
                 cls.append(_class_of(some))
@@ -134,7 +134,7 @@ def shingle_codes(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width
 
 
 def _similar(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         keep = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_windows, hash_words, mix, stored
+from .common import blocks, hash_windows, hash_words, mix, sliced, stored
 
 WIDTH, INNER = 13, 5
 #: Bytes of text for each bucket, and the least number of buckets.
@@ -71,7 +71,7 @@ def _edges(texts: list[bytes], ids: np.ndarray, width: int, inner: int):
 def _gathered(batches: Iterator[pa.RecordBatch], width: int, inner: int):
     """Edges of about SEND_BYTES of text at a time."""
     parts, size = [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
         ids = batch.column("doc_id").cast(pa.int64()).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
         for first, last in blocks(texts):
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, often: int = HOT) -> Dat
     asked = paths.groupBy("odoc").agg(F.collect_set(F.struct("ostart", "n")).alias("asked"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for odoc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("odoc", "text", "asked")), strict=True):
                 words = _WORD.findall(text or "")
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, often: int = HOT) -> Dat
     spans = stored(spans, "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_removed, kept, removed = [], [], [], []
             for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = _WORD.findall(text or "")
