@@ -159,7 +159,8 @@ def fit_filters(labelled: DataFrame, train_texts: int = TRAIN_TEXTS, kept: int =
     for lang, part in share.items():
         below = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))
         chosen = F.when(F.col("lang") == lang, below).otherwise(chosen)
-    counts = rows.where(chosen).mapInPandas(_counted, "lang string, key bigint, n bigint")
+    # one text may hold much of the rows: once is enough
+    counts = rows.where(chosen).dropDuplicates().mapInPandas(_counted, "lang string, key bigint, n bigint")
     counts = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     totals = F.create_map(*(c for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect() for c in (F.lit(r["lang"]), F.lit(r["n"]))))
     rated = counts.where("n > 1").withColumn("rate", F.col("n") / totals[F.col("lang")])
