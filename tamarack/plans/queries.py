@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
+from ..operators import aggregate, frame, neighbors
+from ..operators import transforms as X
+from ..streaming import streams
+from . import pipeline
+
 QUERIES = {}
 ORACLES = {}
 
@@ -45,3 +52,265 @@ def q_pricing_summary(spark, sf_dir):
         )
         .orderBy("l_returnflag", "l_linestatus")
     )
+
+
+@registered("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 25 AND l_discount <= 0.05")
+def q_filter_project(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    mask = E.both(E.compare(df, "l_quantity", ">", 25.0), E.compare(df, "l_discount", "<=", 0.05))
+    return frame.filter_rows(df, mask).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@registered(
+    """SELECT l_orderkey, l_linenumber, (l_linenumber + 10)::INT AS plus, (l_linenumber - 3)::INT AS minus, (l_linenumber * 2)::INT AS times,
+       (l_linenumber // 2)::INT AS halves, (-l_linenumber)::INT AS negative, l_quantity / 4 AS quarter FROM lineitem"""
+)
+def q_arith_int_div(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    made = {"plus": ("+", 10), "minus": ("-", 3), "times": ("*", 2), "halves": ("/", 2)}
+    out = [E.arithmetic(df, "l_linenumber", op, x).alias(n) for n, (op, x) in made.items()]
+    return df.select("l_orderkey", "l_linenumber", *out, E.negative(df, "l_linenumber").alias("negative"), E.arithmetic(df, "l_quantity", "/", 4.0).alias("quarter"))
+
+
+@registered(
+    """SELECT o_orderkey, o_totalprice = 1000 AS eq, o_totalprice <> 1000 AS ne, o_totalprice < 50000 AS lt, o_totalprice >= 50000 AS ge,
+       o_orderstatus = 'F' OR o_orderpriority > '3' AS either, NOT (o_orderstatus = 'F') AS negated FROM orders"""
+)
+def q_compare(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    price = lambda op, x: E.compare(df, "o_totalprice", op, x)
+    closed = E.compare(df, "o_orderstatus", "==", "F")
+    return df.select(
+        "o_orderkey", price("==", 1000.0).alias("eq"), price("!=", 1000.0).alias("ne"), price("<", 50000.0).alias("lt"), price(">=", 50000.0).alias("ge"),
+        E.either(closed, E.compare(df, "o_orderpriority", ">", "3")).alias("either"), E.negated(closed).alias("negated"),
+    )
+
+
+@registered("SELECT c_custkey, c_name || c_mktsegment AS label FROM customer")
+def q_text_concat(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    return df.select("c_custkey", E.arithmetic(df, "c_name", "+", "c_mktsegment").alias("label"))
+
+
+def _grouped(function: str, sql: str):
+    def query(spark, sf_dir):
+        df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity")
+        return aggregate.group_aggregate(df, "l_returnflag", function)
+
+    query.__name__ = f"q_groupby_{function}"
+    registered(f"SELECT l_returnflag, {sql} FROM lineitem GROUP BY l_returnflag")(query)
+
+
+_grouped("sum", "sum(l_linenumber)::INT AS l_linenumber, sum(l_quantity) AS l_quantity")
+_grouped("count", "count(*)::INT AS l_linenumber, count(*)::DOUBLE AS l_quantity")
+_grouped("mean", "(sum(l_linenumber) // count(*))::INT AS l_linenumber, avg(l_quantity) AS l_quantity")
+_grouped("min", "min(l_linenumber) AS l_linenumber, min(l_quantity) AS l_quantity")
+_grouped("max", "max(l_linenumber) AS l_linenumber, max(l_quantity) AS l_quantity")
+
+
+@registered("SELECT n_regionkey, string_agg(n_name, '' ORDER BY n_nationkey) AS n_name FROM nation GROUP BY n_regionkey")
+def q_text_sum(spark, sf_dir):
+    df = table(spark, sf_dir, "nation")
+    return aggregate.group_aggregate(df, "n_regionkey", "sum", order=["n_nationkey"]).select("n_regionkey", "n_name")
+
+
+@registered("SELECT sum(o_custkey)::BIGINT AS o_custkey, round(sum(o_totalprice), 2) AS o_totalprice FROM orders")
+def q_aggregate_all(spark, sf_dir):
+    df = aggregate.aggregate(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), "sum")
+    return df.select("o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+def _joined(how: str, sql_how: str):
+    def query(spark, sf_dir):
+        # keys that stand on one side only make all four joins differ
+        orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").where("o_orderkey % 3 = 0")
+        customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").where("c_custkey % 2 = 0")
+        return frame.join(orders, customers, "o_custkey", "c_custkey", how, missing="sentinel")
+
+    query.__name__ = f"q_join_{how}"
+    low = "-9223372036854775808"
+    registered(
+        f"""SELECT coalesce(o_custkey, {low}) AS o_custkey, coalesce(o_orderkey, {low}) AS o_orderkey, coalesce(c_custkey, {low}) AS c_custkey,
+        coalesce(c_nationkey, -2147483648) AS c_nationkey FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) {sql_how} JOIN
+        (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey"""
+    )(query)
+
+
+for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
+    _joined(_how, _sql)
+
+
+@registered("SELECT r_regionkey, r_name FROM region, range(3)")
+def q_multiply(spark, sf_dir):
+    return frame.multiply(table(spark, sf_dir, "region"), 3, "row", "r_regionkey").select("r_regionkey", "r_name")
+
+
+@registered("SELECT key, name, coalesce(segment, '') AS segment FROM (SELECT s_suppkey AS key, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer)")
+def q_concat(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return frame.concat([s, c])
+
+
+@registered("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 100")
+def q_sort_head(spark, sf_dir):
+    return frame.sort(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), ["p_retailprice", "p_partkey"], ascending=False).limit(100)
+
+
+@registered("SELECT * FROM (SELECT p_partkey, p_size FROM part ORDER BY p_partkey DESC LIMIT 7) ORDER BY p_partkey")
+def q_tail(spark, sf_dir):
+    return frame.tail(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", 7)
+
+
+@registered("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders")
+def q_index(spark, sf_dir):
+    return frame.with_index(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@registered("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) JOIN (SELECT unnest([3, 1, 3]) AS i) USING (i)")
+def q_take(spark, sf_dir):
+    return frame.take(table(spark, sf_dir, "customer").select("c_custkey"), [3, 1, 3], "c_custkey")
+
+
+@registered("SELECT vec_id, " + ", ".join(f'embedding[{i + 1}] AS "v.{i}"' for i in range(4)) + " FROM embeddings")
+def q_flatten(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    return frame.flatten(df)
+
+
+@registered("SELECT p_partkey, CASE WHEN p_size > 25 THEN 0 ELSE p_size END::INT AS p_size FROM part")
+def q_set_where(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return frame.set_where(df, "p_size", E.compare(df, "p_size", ">", 25), 0)
+
+
+@registered("SELECT l_orderkey, l_linenumber, round((l_quantity - m) / s, 6) AS q FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem)")
+def q_scaler_meanvar(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return X.Scaler("q:l_quantity").fit(df).transform(df).select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
+
+
+@registered("SELECT l_orderkey, l_linenumber, round((l_tax - m) / (x - m), 6) AS q FROM lineitem, (SELECT min(l_tax) AS m, max(l_tax) AS x FROM lineitem)")
+def q_scaler_minmax(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
+    return X.Scaler("q:l_tax", "minMax").fit(df).transform(df).select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
+
+
+@registered(
+    """SELECT l_orderkey, l_linenumber, a AS p0, b AS p1, a * a AS p2, a * b AS p3, b * b AS p4, a * a * a AS p5, a * a * b AS p6, a * b * b AS p7, b * b * b AS p8
+       FROM (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_linenumber::DOUBLE AS b FROM lineitem)"""
+)
+def q_poly(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", F.col("l_linenumber").cast("double")).alias("v"))
+    out = X.Polynomial("v", 3).transform(df)
+    return out.select("l_orderkey", "l_linenumber", *(F.col("v")[i].alias(f"p{i}") for i in range(9)))
+
+
+@registered(
+    """SELECT event_id, round(a * t + b - value, 3) AS trend FROM (SELECT event_id, value, epoch(ts)::BIGINT::DOUBLE / 86400 AS t FROM events),
+       (SELECT regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM (SELECT value, epoch(ts)::BIGINT::DOUBLE / 86400 AS t FROM events))"""
+)
+def q_detrend(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "value", (F.col("ts").cast("timestamp").cast("long").cast("double") / 86400).alias("time"))
+    a, b = X.Detrend("value").fit(df).params
+    return df.select("event_id", F.round(F.col("time") * a + b - F.col("value"), 3).alias("trend"))
+
+
+@registered("SELECT 'value' AS \"column\", min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum, round(sum(value * value), 2) AS sum2, count(*) AS nb FROM events")
+def q_describe(spark, sf_dir):
+    found = aggregate.moments(table(spark, sf_dir, "events"), ["value"])
+    return found.withColumns({"sum": F.round("sum", 2), "sum2": F.round("sum2", 2)})
+
+
+@registered("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
+def q_hist(spark, sf_dir):
+    return aggregate.histogram(table(spark, sf_dir, "events"), "event_type")
+
+
+@registered()
+def q_split(spark, sf_dir):
+    return X.SplitTrainTest("o_orderkey").transform(table(spark, sf_dir, "orders").select("o_orderkey"))
+
+
+@registered()
+def q_resample(spark, sf_dir):
+    return X.Resample("o_orderkey", 1.5).transform(table(spark, sf_dir, "orders").select("o_orderkey"))
+
+
+@registered()
+def q_add_random(spark, sf_dir):
+    return X.AddRandom("noisy:o_totalprice", "o_orderkey").transform(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+
+
+@registered()
+def q_sample(spark, sf_dir):
+    return frame.sample(table(spark, sf_dir, "orders").select("o_orderkey"), 20, "o_orderkey", distinct=True)
+
+
+@registered("SELECT vec_id, e.label, c AS b_class, c = e.label AS b FROM embeddings e, (SELECT DISTINCT label AS c FROM embeddings)")
+def q_m2b_default(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return X.MultiToBinary("label", "b", m=100).fit(df).transform(df)
+
+
+def _near(metric: str, sql: str):
+    def query(spark, sf_dir):
+        df = table(spark, sf_dir, "embeddings")
+        return neighbors.knn(df, df, 5, metric).select("id", "rank", "neighbor", F.round("distance", 5).alias("distance"))
+
+    query.__name__ = f"q_knn_{metric.lower()}"
+    registered(
+        f"""SELECT id, rank::INT AS rank, neighbor, round(d, 5) AS distance FROM (SELECT id, neighbor, d, row_number() OVER (PARTITION BY id ORDER BY d, neighbor) AS rank FROM
+        (SELECT a.vec_id AS id, b.vec_id AS neighbor, {sql} AS d FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b)) WHERE rank <= 5"""
+    )(query)
+
+
+_near("L2", "list_distance(a.e, b.e)")
+_near("L1", "list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2])))")
+
+
+@registered()
+def q_knn_classify(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    return neighbors.knn_classify(df, df, "label")
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+
+
+@registered()
+def q_dbscan(spark, sf_dir):
+    return neighbors.dbscan(_points(spark, sf_dir), 0.05, 5, "vec_id", ["x", "y"])
+
+
+@registered()
+def q_optics(spark, sf_dir):
+    return neighbors.optics(_points(spark, sf_dir), 0.2, 5, "vec_id", ["x", "y"])
+
+
+@registered("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_totalprice < 50000")
+def q_tag_append(spark, sf_dir):
+    orders, tags = table(spark, sf_dir, "orders"), pipeline.Tags()
+    tags.tag("cheap", orders.where("o_totalprice < 50000").select("o_orderkey"))
+    return tags.append(orders.where("o_orderstatus = 'F'").select("o_orderkey"), "cheap")
+
+
+@registered("SELECT p_partkey, p_retailprice * 1.5 AS price FROM part")
+def q_udf_map(spark, sf_dir):
+    @F.pandas_udf("double")
+    def raised(x: pd.Series) -> pd.Series:
+        return x * 1.5
+
+    return table(spark, sf_dir, "part").select("p_partkey", raised("p_retailprice").alias("price"))
+
+
+@registered("SELECT date_trunc('hour', ts) AS start, event_type AS key, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY ALL")
+def q_windowed_sums(spark, sf_dir):
+    found = streams.windowed_sums(table(spark, sf_dir, "events"), "ts", "event_type", "value")
+    return found.withColumn("total", F.round("total", 4))
+
+
+@registered("SELECT c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, sum(c_acctbal)::DECIMAL(20, 2)::DOUBLE AS total FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
+def q_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "customer").rollup("c_mktsegment", "c_nationkey").agg(F.sum("c_acctbal").cast("decimal(20,2)").cast("double").alias("total")).withColumn("c_nationkey", F.coalesce("c_nationkey", F.lit(-1)))
