@@ -207,8 +207,8 @@ def q_poly(spark, sf_dir):
 
 
 @registered(
-    """SELECT event_id, round(a * t + b - value, 3) AS trend FROM (SELECT event_id, value, epoch(ts)::BIGINT::DOUBLE / 86400 AS t FROM events),
-       (SELECT regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM (SELECT value, epoch(ts)::BIGINT::DOUBLE / 86400 AS t FROM events))"""
+    """SELECT event_id, round(a * t + b - value, 3) AS trend FROM (SELECT event_id, value, floor(epoch(ts)) / 86400 AS t FROM events),
+       (SELECT regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM (SELECT value, floor(epoch(ts)) / 86400 AS t FROM events))"""
 )
 def q_detrend(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "value", (F.col("ts").cast("timestamp").cast("long").cast("double") / 86400).alias("time"))
