@@ -35,6 +35,8 @@ def read_csv(
     """One or several delimited files; the schema comes from the first ``guess_rows`` rows of the first."""
     first = path if isinstance(path, str) else path[0]
     sample = [r["value"] for r in spark.read.text(first).where("trim(value) <> ''").take(guess_rows + 1)]
+    if header:  # the parts of a folder each start with it
+        sample = sample[:1] + [x for x in sample[1:] if x != sample[0]]
     return _read(spark, path if isinstance(path, str) else list(path), sample, sep, header, names, dtypes, nrows, guess_rows)
 
 
