@@ -57,9 +57,9 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "L2", id
                 x, y = np.stack(row.q_vectors).astype(float), np.stack(row.i_vectors).astype(float)
                 ids = np.asarray(row.i_ids)
                 d = _distances(x, y, metric)
-                for i, query in enumerate(row.q_ids):
-                    best = np.lexsort((ids, d[i]))[:k]
-                    yield pd.DataFrame({"id": query, "neighbor": ids[best], "distance": d[i][best]})
+                best = np.stack([np.lexsort((ids, line))[:k] for line in d])
+                near = np.take_along_axis(d, best, 1)
+                yield pd.DataFrame({"id": np.repeat(row.q_ids, best.shape[1]), "neighbor": ids[best].ravel(), "distance": near.ravel()})
 
     near = pairs.mapInPandas(nearest, "id long, neighbor long, distance double")
     best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))), 1, k).alias("best"))
