@@ -1,10 +1,12 @@
-"""Secret scans through a trigram index.
+"""Secret scans through a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that every match must
-hold (in lower case). The index is kept by document: one column for each trigram asked for, true where the document
-holds it, so intersecting postings is Boolean algebra on columns, shuffles nothing and knows no hot
-trigram. A rule's expression runs only on documents that its query admits; a rule that has no
-mandatory trigram runs on all. Everything is built from SQL functions.
+hold (in lower case). The inverted index lists, for each trigram that some rule asks for, the documents that
+hold it: rows (trigram, key), so a frequent trigram is spread over many rows and tasks. Postings are
+intersected and united by their document: an aggregation by key gathers a document's trigrams as bits (merged
+before the shuffle), and each rule's query is Boolean algebra on the bits. A rule's expression runs only
+on documents that its query admits; a rule that has no mandatory trigram runs on all. Everything is
+built from SQL functions.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if, stored
+
 #: More alternatives than this are cut off: the part then asks for nothing more.
 _MOST = 16
 
@@ -122,12 +126,44 @@ def trigrams_of(query) -> list[str]:
     return [query] if isinstance(query, str) else list(dict.fromkeys(t for p in query[1] for t in trigrams_of(p)))
 
 
-def _admits(query, posting) -> Column:
-    if query is True:
-        return F.lit(True)
+def _admits(query, holds) -> Column:
     if isinstance(query, str):
-        return posting(query)
-    return reduce(lambda a, b: a & b if query[0] == "and" else a | b, [_admits(p, posting) for p in query[1]])
+        return holds(query)
+    return reduce(lambda a, b: a & b if query[0] == "and" else a | b, [_admits(p, holds) for p in query[1]])
+
+
+# --- the index ------------------------------------------------------------------------------------
+
+
+def _key(docs: DataFrame, id: str) -> Column:
+    """A row's name in the index. Rows that share one only admit each other's candidates."""
+    return F.xxhash64(*([F.col(id)] if id in docs.columns else []), F.col("text"))
+
+
+def trigram_index(docs: DataFrame, trigrams: list[str], id: str = "doc_id") -> DataFrame:
+    """The postings (trigram, key) of ``trigrams`` in the lower-case texts of ``docs``.
+
+    Null text has none. A text is listed once for each trigram that it holds; repeated rows are listed again.
+    """
+    low = F.lower("text")
+    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
+    return docs.select(F.explode(held).alias("trigram"), _key(docs, id).alias("key"))
+
+
+def candidates(postings: DataFrame, queries: dict[str, object]) -> DataFrame:
+    """(key, one boolean for each of ``queries``): the documents that at least one of the queries admits.
+
+    Queries that demand nothing are left out: all documents are their candidates.
+    """
+    asked = {kind: q for kind, q in queries.items() if q is not True}
+    trigrams = list(dict.fromkeys(t for q in asked.values() for t in trigrams_of(q)))
+    words = [trigrams[i : i + 63] for i in range(0, len(trigrams), 63)]  # bits of one long each
+    at = {t: (f"bits{w}", 1 << i) for w, some in enumerate(words) for i, t in enumerate(some)}
+    bit = {f"bits{w}": F.create_map(*(F.lit(x) for t in some for x in (t, at[t][1]))) for w, some in enumerate(words)}
+    held = postings.groupBy("key").agg(*(F.bit_or(F.coalesce(m[F.col("trigram")].cast("long"), F.lit(0).cast("long"))).alias(name) for name, m in bit.items()))
+    holds = lambda t: F.col(at[t][0]).bitwiseAND(F.lit(at[t][1])) != 0
+    judged = held.select("key", *(_admits(q, holds).alias(kind) for kind, q in asked.items()))
+    return judged.where(reduce(lambda a, b: a | b, (F.col(kind) for kind in asked)))
 
 
 # --- spans --------------------------------------------------------------------------------------
@@ -174,24 +210,33 @@ def _arrow(spans: Column, kind: str, order: int) -> Column:
     )
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secrets") -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secrets", id: str = "doc_id") -> DataFrame:
     """``docs`` with a column ``out``: array<struct<start, order, end, kind>>, by start, then rule.
 
     Null text has no secrets (an empty array). Each row is judged by itself over its whole text;
-    repeated rows repeat, a column ``out`` in ``docs`` is replaced, an empty table stays empty.
+    repeated rows repeat, a column ``out`` in ``docs`` is replaced, an empty table stays empty. ``id`` tells
+    rows of one text apart in the index; ids may be null, repeated or absent.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    asked = [kind for kind, q in queries.items() if q is not True]
     text = F.coalesce(F.col("text"), F.lit(""))
     columns = docs.columns
-    low, name = _fresh("low", columns), {r.kind: _fresh(f"found_{r.kind}", columns) for r in rules}
+    key, name = _fresh("key", columns), {r.kind: _fresh(f"found_{r.kind}", columns) for r in rules}
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    indexed = docs.withColumn(low, F.lower(text))
+    indexed, flag = docs, {kind: _fresh(f"admitted_{kind}", columns) for kind in asked}
+    if asked:
+        trigrams = list(dict.fromkeys(t for kind in asked for t in trigrams_of(queries[kind])))
+        postings = stored(trigram_index(docs, trigrams, id).sortWithinPartitions("trigram"), "postings")
+        admitted = stored(candidates(postings, queries), "candidates")
+        admitted = admitted.select(F.col("key").alias(key), *(F.col(kind).alias(flag[kind]) for kind in asked))
+        admitted = broadcast_if(admitted, admitted.count(), 16 + 8 * len(asked))
+        indexed = docs.withColumn(key, _key(docs, id)).join(admitted, key, "left")
     spans = {
-        name[r.kind]: F.when(_admits(queries[r.kind], lambda t: F.contains(F.col(low), F.lit(t))), _spans_if_any(text, r)).otherwise(none)
+        name[r.kind]: F.when(F.col(flag[r.kind]), _spans_if_any(text, r)).otherwise(none) if r.kind in flag else _spans_if_any(text, r)
         for r in rules
     }
     every = F.concat(*(_arrow(F.col(name[r.kind]), r.kind, i) for i, r in enumerate(rules)))
-    return indexed.withColumns(spans).withColumn(out, F.array_sort(every)).drop(low, *name.values())
+    return indexed.withColumns(spans).withColumn(out, F.array_sort(every)).drop(key, *flag.values(), *name.values())
 
 
 def _spans_if_any(text: Column, rule: Rule) -> Column:
