@@ -145,9 +145,9 @@ def trigram_index(docs: DataFrame, trigrams: list[str], id: str = "doc_id") -> D
 
     Null text has none. A text is listed once for each trigram that it holds; repeated rows are listed again.
     """
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return docs.select(F.explode(held).alias("trigram"), _key(docs, id).alias("key"))
+    held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams)))
+    # lower case by itself first: once a row, not once a trigram
+    return docs.select(_key(docs, id).alias("key"), F.lower("text").alias("low")).select(F.explode(held).alias("trigram"), "key")
 
 
 def candidates(postings: DataFrame, queries: dict[str, object]) -> DataFrame:
