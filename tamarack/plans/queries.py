@@ -145,6 +145,21 @@ def q_multiply(spark, sf_dir):
     return frame.multiply(table(spark, sf_dir, "region"), 3, "row", "r_regionkey").select("r_regionkey", "r_name")
 
 
+@registered("SELECT n_nationkey, n_name FROM nation, range(4)")
+def q_multiply_block(spark, sf_dir):
+    return frame.multiply(table(spark, sf_dir, "nation"), 4, "block", "n_nationkey").select("n_nationkey", "n_name")
+
+
+@registered("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 7")
+def q_resize(spark, sf_dir):
+    return frame.resize(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), 7, "s_suppkey")
+
+
+@registered("SELECT n_nationkey AS key, n_name AS name FROM nation")
+def q_rename(spark, sf_dir):
+    return frame.rename(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["key", "name"])
+
+
 @registered("SELECT key, name, coalesce(segment, '') AS segment FROM (SELECT s_suppkey AS key, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer)")
 def q_concat(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
@@ -256,20 +271,25 @@ def q_m2b_default(spark, sf_dir):
 def _near(metric: str, sql: str):
     def query(spark, sf_dir):
         df = table(spark, sf_dir, "embeddings")
-        return neighbors.knn(df, df, 5, metric).select("id", "rank", "neighbor", F.round("distance", 5).alias("distance"))
+        return neighbors.knn(df, df, 5, metric).select("id", "rank", "neighbor", F.abs(F.round("distance", 5)).alias("distance"))
 
     query.__name__ = f"q_knn_{metric.lower()}"
     registered(
-        f"""SELECT id, rank::INT AS rank, neighbor, round(d, 5) AS distance FROM (SELECT id, neighbor, d, row_number() OVER (PARTITION BY id ORDER BY d, neighbor) AS rank FROM
+        f"""SELECT id, rank::INT AS rank, neighbor, abs(round(d, 5)) AS distance FROM (SELECT id, neighbor, d, row_number() OVER (PARTITION BY id ORDER BY d, neighbor) AS rank FROM
         (SELECT a.vec_id AS id, b.vec_id AS neighbor, {sql} AS d FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b)) WHERE rank <= 5"""
     )(query)
 
 
 _near("L2", "list_distance(a.e, b.e)")
 _near("L1", "list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2])))")
+_near("cosine", "1 - list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)))")
 
 
-@registered()
+@registered(
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+       near AS (SELECT a.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS place FROM e a, e b)
+       SELECT id, label, count(*) / 5 AS score FROM near WHERE place <= 5 GROUP BY id, label"""
+)
 def q_knn_classify(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
     return neighbors.knn_classify(df, df, "label")
@@ -296,6 +316,13 @@ def q_tag_append(spark, sf_dir):
     return tags.append(orders.where("o_orderstatus = 'F'").select("o_orderkey"), "cheap")
 
 
+@registered("SELECT o_orderkey FROM orders WHERE o_totalprice < 50000")
+def q_selecttag(spark, sf_dir):
+    orders, tags = table(spark, sf_dir, "orders"), pipeline.Tags()
+    tags.tag("cheap", orders.where("o_totalprice < 50000").select("o_orderkey"))
+    return tags.select("cheap", store="closed", current=orders.where("o_orderstatus = 'F'").select("o_orderkey"))
+
+
 @registered("SELECT p_partkey, p_retailprice * 1.5 AS price FROM part")
 def q_udf_map(spark, sf_dir):
     @F.pandas_udf("double")
