@@ -87,6 +87,18 @@ def rename(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.toDF(*(new or old for new, old in zip(names, df.columns, strict=True)))
 
 
+def order_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns in the given sequence; those not named are left out."""
+    return df.select(*(f"`{n}`" for n in names))
+
+
+def cell(df: DataFrame, place: int, column: str | int, order: str | Sequence[str]):
+    """One cell by place and name (or column number), or None."""
+    name = df.columns[column] if isinstance(column, int) else column
+    found = row_at(df, place, order)
+    return found[name] if found else None
+
+
 def has_vectors(df: DataFrame) -> bool:
     return any(isinstance(f.dataType, T.ArrayType) for f in df.schema)
 
@@ -138,6 +150,18 @@ def sort(df: DataFrame, columns: str | Sequence[str] | None = None, ascending: b
     return df.orderBy(*(k.asc() if ascending else k.desc() for k in keys))
 
 
+def argsort(df: DataFrame, column: str, order: str | Sequence[str], name: str = "place") -> DataFrame:
+    """(rank, place): the places in ``order`` of the rows as ``column`` sorts them, ties by place."""
+    placed = with_index(df.select(*dict.fromkeys([*_keys(order), column])), order, name)
+    at = placed.columns[-1]
+    return with_index(placed.select(F.col(f"`{column}`").alias("_value"), at), ["_value", at], "rank").select("rank", at)
+
+
+def shuffle(df: DataFrame, key: str | Sequence[str], seed: int = 0) -> DataFrame:
+    """Rows in a seeded random order that depends on their keys alone."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *_keys(key)), *_keys(key))
+
+
 def head(df: DataFrame, order: str | Sequence[str], n: int = 5) -> DataFrame:
     return df.orderBy(*_keys(order)).limit(n)
 

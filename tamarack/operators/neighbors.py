@@ -66,10 +66,14 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "L2", id
     return best.select("id", F.posexplode("best").alias("rank", "b")).select("id", (F.col("rank") + 1).alias("rank"), "b.neighbor", "b.distance")
 
 
-def append_neighbors(df: DataFrame, k: int = 5, metric: str = "L2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``df`` with Distances and idNeighbors: each row's nearest rows, itself first."""
-    found = knn(df, df, k, metric, id_col, vector).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", "neighbor"))).alias("n"))
-    slim = found.select(F.col("id").alias("_id"), F.col("n.distance").alias("Distances"), F.col("n.neighbor").alias("idNeighbors"))
+def append_neighbors(
+    df: DataFrame, k: int = 5, metric: str = "L2", id_col: str = "vec_id", vector: str = "embedding",
+    items: DataFrame | None = None, dist: str = "Distances", idn: str = "idNeighbors",
+) -> DataFrame:
+    """``df`` with the distances and ids of each row's nearest rows among ``items`` (none: its own, itself first)."""
+    found = knn(df, df if items is None else items, k, metric, id_col, vector)
+    found = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", "neighbor"))).alias("n"))
+    slim = found.select(F.col("id").alias("_id"), F.col("n.distance").alias(dist), F.col("n.neighbor").alias(idn))
     return df.join(slim, df[id_col] == F.col("_id")).drop("_id")
 
 
@@ -84,16 +88,19 @@ def knn_classify(queries: DataFrame, items: DataFrame, label: str, k: int = 5, m
 
 
 def neighborhood(df: DataFrame, eps: float, id_col: str, columns: list[str]) -> DataFrame:
-    """(a, b): all pairs of points (one to three columns) within ``eps``, each with itself, by a join on grid cells."""
-    cell = [F.floor(F.col(c) / eps).cast("long") for c in columns]
+    """(a, b): all pairs of points within ``eps``, each with itself, by a join on grid cells.
+
+    Cells are of the first three columns; the distance is of all.
+    """
+    cell = [F.floor(F.col(c) / eps).cast("long") for c in columns[:3]]
     points = df.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)), *(c.alias(f"c{i}") for i, c in enumerate(cell)))
     around = points
-    for i in range(len(columns)):
+    for i in range(len(cell)):
         around = around.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + d for d in (-1, 0, 1)))))
     n = range(len(columns))
-    other = points.select(F.col("id").alias("b"), *(F.col(f"x{i}").alias(f"y{i}") for i in n), *(f"c{i}" for i in n))
+    other = points.select(F.col("id").alias("b"), *(F.col(f"x{i}").alias(f"y{i}") for i in n), *(f"c{i}" for i in range(len(cell))))
     square = sum((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in n)
-    return around.join(other, [f"c{i}" for i in n]).where(square <= eps * eps).select(F.col("id").alias("a"), "b")
+    return around.join(other, [f"c{i}" for i in range(len(cell))]).where(square <= eps * eps).select(F.col("id").alias("a"), "b")
 
 
 def dbscan(df: DataFrame, eps: float, mps: int, id_col: str, columns: list[str]) -> DataFrame:

@@ -8,13 +8,15 @@ choices are hashes of a key, so they do not depend on how rows are partitioned.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import kind_of
+from ..functions.kinds import key_to_label, kind_of
+from .aggregate import histogram, moments
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -328,19 +330,58 @@ class KeyToLabel(Transform):
         return df.withColumn(new, F.col(f"`{(old or [new])[0]}`").cast(SPARK_TYPES[kind]))
 
 
+@dataclass
+class CodeToLabel(Transform):
+    """A 1-based category code as a float label: 0 is NaN, x is x - 1."""
+
+    col: str = ""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        new, old = _pair(self.col)
+        return df.withColumn(new, key_to_label(F.col(f"`{old}`"), df.schema[old].dataType))
+
+
+@dataclass
+class Describe(Transform):
+    """Rows pass as they are; the fit keeps (column, min, max, sum, sum2, nb) of ``col`` (a,b) in ``found`` and
+    the counts of the values of ``hist`` (a,b) in ``counts``, each a frame."""
+
+    col: str = ""
+    hist: str = ""
+    found: DataFrame | None = field(default=None, repr=False)
+    counts: dict = field(default_factory=dict, repr=False)
+
+    def fit(self, df: DataFrame) -> Describe:
+        self.found = moments(df, self.col.split(",")) if self.col else None
+        self.counts = {c: histogram(df, c) for c in self.hist.split(",") if c}
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df
+
+
 @dataclass
 class ShakeInput(Transform):
-    """For each listed slot and value a variant of the vector with that slot replaced, as a list of vectors."""
+    """For each listed slot and value a variant of the vector with that slot replaced, as a list of vectors.
+
+    With ``score`` (a function of a vector column) the list of the variants' scores takes their place, or
+    their sum (``how="add"``).
+    """
 
     col: str = ""
     slots: tuple[int, ...] = ()
     values: tuple[tuple[float, ...], ...] = ()
     out: str = "variants"
+    score: Callable[[Column], Column] | None = None
+    how: str = "concat"
 
     def transform(self, df: DataFrame) -> DataFrame:
         v, item = F.col(f"`{self.col}`"), df.schema[self.col].dataType.elementType
         made = [F.transform(v, _replace(slot, value, item)) for slot, values in zip(self.slots, self.values, strict=True) for value in values]
-        return df.withColumn(self.out, F.array(*made))
+        if self.score is None:
+            return df.withColumn(self.out, F.array(*made))
+        scores = [self.score(m) for m in made]
+        return df.withColumn(self.out, F.array(*scores) if self.how == "concat" else sum(scores[1:], scores[0]))
 
 
 def _replace(slot: int, value: float, item: T.DataType):

@@ -5,12 +5,12 @@ from __future__ import annotations
 import dataclasses
 import json
 
-from pyspark.ml import classification, clustering, regression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators import density
 from ..operators import transforms as X
+from . import trainers
+from .language import parse
 
 #: Names, in lower case, of the transforms that a description may use.
 TRANSFORMS = {
@@ -18,39 +18,10 @@ TRANSFORMS = {
     "resample": X.Resample, "splittraintest": X.SplitTrainTest, "multitobinary": X.MultiToBinary, "m2b": X.MultiToBinary,
     "sortdf": X.SortRows, "sortmem": X.SortRows, "cachedf": X.Cache, "pass": X.PassThrough, "dumpview": X.PassThrough,
     "concat": X.Concat, "extconv": X.KeyToLabel, "mcconv": X.KeyToLabel,
+    "knntr": density.NearestNeighbors, "dbscan": density.DBScan, "optics": density.Optics, "opticsord": density.OpticsOrder,
+    "ul2r4": X.CodeToLabel, "describe": X.Describe,
 }
 
-TRAINERS = {
-    "lr": classification.LogisticRegression, "mlr": classification.LogisticRegression, "km": clustering.KMeans,
-    "ols": regression.LinearRegression, "sasdcar": regression.LinearRegression, "ft": classification.GBTClassifier,
-}
-
-
-def parse(text: str) -> tuple[str, dict[str, str]]:
-    """``Name{opt=value opt2=sub{…}}`` as (name, options); braces nest."""
-    text = text.strip()
-    name, brace, rest = text.partition("{")
-    if not brace:
-        return text, {}
-    if not rest.endswith("}"):
-        raise ValueError(f"no closing brace: {text}")
-    options, depth, word = {}, 0, ""
-    for char in rest[:-1] + " ":
-        depth += (char == "{") - (char == "}")
-        if char.isspace() and depth == 0:
-            if word:
-                key, equals, value = word.partition("=")
-                if not equals:
-                    raise ValueError(f"{word} has no value")
-                options[key] = value
-            word = ""
-        else:
-            word += char
-    if depth:
-        raise ValueError(f"braces don't match: {text}")
-    return name.strip(), options
-
-
 def build(text: str) -> X.Transform:
     """A transform from its description; ``+`` and ``-`` are true and false."""
     name, options = parse(text)
@@ -81,11 +52,7 @@ class Pipeline:
         for step in self.steps:
             df = step.fit(df).transform(df)
         if self.trainer:
-            name, options = parse(self.trainer)
-            made = TRAINERS[name.lower()](featuresCol="_features", **{k: float(v) if "." in v else int(v) for k, v in options.items()})
-            if made.hasParam("labelCol"):
-                made.setLabelCol(self.label)
-            self.model = made.fit(df.withColumn("_features", array_to_vector(F.col(self.features).cast("array<double>"))))
+            self.model = trainers.make(self.trainer, self.features, self.label).fit(df)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -94,15 +61,14 @@ class Pipeline:
         return df
 
     def predict(self, df: DataFrame) -> DataFrame:
-        ready = self.transform(df).withColumn("_features", array_to_vector(F.col(self.features).cast("array<double>")))
-        return self.model.transform(ready).drop("_features")
+        return self.model.transform(self.transform(df))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Descriptions and fitted numbers as JSON text; a trained model beside them."""
         kept = {"texts": self.texts, "trainer": self.trainer, "features": self.features, "label": self.label, "params": [getattr(s, "params", None) for s in self.steps]}
         spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/steps")
         if self.model is not None:
-            self.model.write().overwrite().save(f"{path}/model")
+            self.model.save(f"{path}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Pipeline:
@@ -112,9 +78,7 @@ class Pipeline:
             if params is not None:
                 step.params = [tuple(p) if isinstance(p, list) else p for p in params] if isinstance(step.params, list) else tuple(params)
         if out.trainer:
-            from pyspark.ml.util import DefaultParamsReader
-
-            out.model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+            out.model = trainers.load(spark, f"{path}/model", out.features)
         return out
 
 

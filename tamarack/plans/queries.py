@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..operators import aggregate, frame, neighbors
+from ..operators import aggregate, density, frame, neighbors
 from ..operators import transforms as X
 from ..streaming import streams
-from . import pipeline
+from . import graph, pipeline
 
 QUERIES = {}
 ORACLES = {}
@@ -299,7 +299,17 @@ def _points(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
 
 
-@registered()
+@registered(
+    """WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+       pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05::DOUBLE * 0.05::DOUBLE),
+       core AS MATERIALIZED (SELECT a FROM pairs GROUP BY a HAVING count(*) >= 5),
+       links AS MATERIALIZED (SELECT a, b FROM pairs WHERE a IN (FROM core) AND b IN (FROM core)),
+       reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+       root AS MATERIALIZED (SELECT a, min(b) AS root FROM reach GROUP BY a),
+       member AS (FROM root UNION ALL SELECT q.a, min(r.root) FROM pairs q JOIN root r ON q.b = r.a WHERE q.a NOT IN (SELECT a FROM root) GROUP BY q.a),
+       named AS (SELECT root, row_number() OVER (ORDER BY root) AS cluster FROM (SELECT root FROM member GROUP BY root HAVING count(*) >= 5))
+       SELECT id, coalesce(cluster, -1)::INT AS cluster, CASE WHEN cluster IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM p LEFT JOIN (SELECT a AS id, cluster FROM member JOIN named USING (root)) USING (id)"""
+)
 def q_dbscan(spark, sf_dir):
     return neighbors.dbscan(_points(spark, sf_dir), 0.05, 5, "vec_id", ["x", "y"])
 
@@ -341,3 +351,124 @@ def q_windowed_sums(spark, sf_dir):
 @registered("SELECT c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, sum(c_acctbal)::DECIMAL(20, 2)::DOUBLE AS total FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
 def q_rollup(spark, sf_dir):
     return table(spark, sf_dir, "customer").rollup("c_mktsegment", "c_nationkey").agg(F.sum("c_acctbal").cast("decimal(20,2)").cast("double").alias("total")).withColumn("c_nationkey", F.coalesce("c_nationkey", F.lit(-1)))
+
+
+@registered("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def q_semi_join(spark, sf_dir):
+    dear = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(dear, "c_custkey", "left_semi")
+
+
+@registered("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def q_anti_join(spark, sf_dir):
+    buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(buyers, "c_custkey", "left_anti")
+
+
+@registered("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def q_intersect(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@registered("SELECT c_custkey AS key FROM customer EXCEPT SELECT s_suppkey FROM supplier")
+def q_except(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).subtract(table(spark, sf_dir, "supplier").select("s_suppkey"))
+
+
+@registered("SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))::INT AS place FROM orders) WHERE place <= 3")
+def q_window_rank(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    places = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return orders.withColumn("place", F.row_number().over(places)).where("place <= 3").select("o_custkey", "o_orderkey", "place")
+
+
+@registered("SELECT c_mktsegment, c_nationkey, grouping_id(c_mktsegment, c_nationkey)::INT AS level, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
+def q_cube(spark, sf_dir):
+    cubed = table(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey")
+    return cubed.agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+
+
+@registered("SELECT row_number() OVER (ORDER BY p_size, place) - 1 AS rank, place FROM (SELECT p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part)")
+def q_argsort(spark, sf_dir):
+    return frame.argsort(table(spark, sf_dir, "part"), "p_size", "p_partkey")
+
+
+@registered("SELECT label, count(*)::DOUBLE AS weight FROM embeddings GROUP BY label")
+def q_label_histogram(spark, sf_dir):
+    return aggregate.label_histogram(table(spark, sf_dir, "embeddings"), "label")
+
+
+@registered("SELECT n_regionkey, string_agg(upper(n_name), '' ORDER BY n_nationkey) AS value FROM nation GROUP BY n_regionkey")
+def q_fold(spark, sf_dir):
+    return aggregate.fold(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_name", ["n_nationkey"], F.lit(""), lambda a, x: F.concat(a, F.upper(x)))
+
+
+@registered("SELECT c_nationkey, count(*) AS n, max(c_acctbal) - min(c_acctbal) AS spread FROM customer GROUP BY c_nationkey")
+def q_each_group(spark, sf_dir):
+    def spread(rows: pd.DataFrame) -> pd.DataFrame:
+        balance = rows["c_acctbal"]
+        return pd.DataFrame({"c_nationkey": [rows["c_nationkey"].iloc[0]], "n": [len(rows)], "spread": [balance.max() - balance.min()]})
+
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal")
+    return aggregate.for_each_group(customers, "c_nationkey", spread, "c_nationkey int, n long, spread double")
+
+
+@registered("SELECT p_partkey, p_size FROM part WHERE p_size % 7 = 3")
+def q_lambda_filter(spark, sf_dir):
+    @F.pandas_udf("boolean")
+    def wanted(x: pd.Series) -> pd.Series:
+        return x % 7 == 3
+
+    return frame.filter_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), wanted("p_size"))
+
+
+@registered("SELECT n_nationkey, CASE WHEN i IN (0, 2, 4) THEN 'none' ELSE n_name END AS n_name FROM (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)")
+def q_set_at(spark, sf_dir):
+    return frame.set_at(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", [0, 2, 4], "none", "n_nationkey")
+
+
+@registered("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'nan'::FLOAT ELSE (n_regionkey - 1)::FLOAT END AS label FROM nation")
+def q_code_to_label(spark, sf_dir):
+    return X.CodeToLabel("label:n_regionkey").transform(table(spark, sf_dir, "nation")).select("n_nationkey", "label")
+
+
+@registered("SELECT p_partkey, (10 - s / 2) + (20 - s / 2) + (s - 2.5) + (s - 7.5) AS shaken FROM (SELECT p_partkey, p_size::DOUBLE AS s FROM part)")
+def q_shake_input(spark, sf_dir):
+    # variants (10, size), (20, size) and (size, 5), (size, 15) of (size, size), each scored by x0 - x1 / 2
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.array_repeat(F.col("p_size").cast("double"), 2).alias("v"))
+    shaken = X.ShakeInput("v", (0, 1), ((10.0, 20.0), (5.0, 15.0)), "shaken", lambda v: v[0] - v[1] / 2, "add").transform(parts)
+    return shaken.select("p_partkey", "shaken")
+
+
+@registered(
+    """WITH s AS (SELECT l_orderkey, l_linenumber, (l_quantity - m) / (x - m) AS q FROM lineitem, (SELECT min(l_quantity) AS m, max(l_quantity) AS x FROM lineitem))
+       SELECT l_orderkey, l_linenumber, round(q, 6) AS q FROM s UNION ALL SELECT l_orderkey, l_linenumber, round(q, 6) FROM s"""
+)
+def q_graph(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    out = graph.Graph().run(lines, ["Chain{xf1=Scaler{col=q:l_quantity scale=minMax} xf2=Tag{t=scaled}}", "Append{t=scaled}"])
+    return out.select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
+
+
+@registered()
+def q_knn_append(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return density.NearestNeighbors(3, "L2", "embedding", "vec_id").fit(df).transform(df).drop("embedding")
+
+
+@registered()
+def q_optics_clusters(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("v"))
+    return density.Optics("v", "0.05,0.1", 5, "vec_id").transform(points).drop("v")
+
+
+@registered()
+def q_iova(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("Label"), F.slice("embedding", 1, 8).alias("Features"))
+    return pipeline.Pipeline([], "iOVA{p=lr{maxIter=5}}").train(df).predict(df).select("vec_id", "Label", "prediction")
+
+
+@registered()
+def q_oova(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("Label"), F.slice("embedding", 1, 8).alias("Features"))
+    return pipeline.Pipeline([], "OOVA{p=lr{maxIter=5}}").train(df).predict(df).select("vec_id", "Label", "prediction")
