@@ -359,9 +359,9 @@ def q_semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(dear, "c_custkey", "left_semi")
 
 
-@registered("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@registered("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def q_anti_join(spark, sf_dir):
-    buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    buyers = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(buyers, "c_custkey", "left_anti")
 
 
@@ -465,7 +465,7 @@ def q_optics_clusters(spark, sf_dir):
 @registered()
 def q_iova(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("Label"), F.slice("embedding", 1, 8).alias("Features"))
-    return pipeline.Pipeline([], "iOVA{p=lr{maxIter=5}}").train(df).predict(df).select("vec_id", "Label", "prediction")
+    return pipeline.Pipeline([], "iOVA{p=ft{maxIter=3}}").train(df).predict(df).select("vec_id", "Label", "prediction")
 
 
 @registered()
