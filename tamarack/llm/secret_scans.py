@@ -11,7 +11,7 @@ built from SQL functions.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from re import _constants as sre
 from re import _parser
@@ -52,6 +52,17 @@ RULES = (
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
 )
 
+#: What follows the BEGIN line of a key: all up to its END line; where that is missing, the header and base64
+#: lines. Line feeds may be escaped. Possessive, so that the engine keeps no stack on a long body.
+_PEM_BODY = (
+    r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*+[A-Za-z]++-[A-Za-z]++: [^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+"
+    r"(?:(?:\s|\\[nr])++(?:[A-Za-z0-9+/]++={1,2}+|(?<=[A-Za-z0-9+/]{16}\r?\n)[A-Za-z0-9+/]++(?![^\r\n])))?)"
+)
+
+#: The rules that redaction goes by. RULES marks a key by its BEGIN line, which tells where one is; here the key goes too.
+REDACTED = tuple(replace(r, pattern=r.pattern + _PEM_BODY) if r.kind == "pem" else r for r in RULES)
+
 
 # --- Boolean trigram queries --------------------------------------------------------------------
 # True: no demand; a string: that trigram; ("and" | "or", parts)
@@ -251,7 +262,7 @@ def _fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of a secret in ``text`` replaced by ``mark`` (overlaps: once)."""
     columns, found = docs.columns, find_secrets(docs, rules, out := _fresh("secrets", docs.columns))
     text = F.col("text")
