@@ -146,12 +146,13 @@ def _frame(lang: str, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
 def fit_filters(labelled: DataFrame, train_texts: int = TRAIN_TEXTS, kept: int = KEPT) -> Filters:
     """Filters learned from ``labelled`` (text, lang).
 
-    Rows without text or lang teach nothing. At most about ``train_texts`` texts a language are
-    used, those whose text hashes lowest; with fewer, all. An n-gram belongs to a language if it is
+    Rows without text or lang teach nothing. At most about ``train_texts`` distinct texts a language
+    are used, those whose text hashes lowest; with fewer, all. An n-gram belongs to a language if it is
     at least half as frequent there as where it is most frequent; the ``kept`` most frequent stay.
     """
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_texts)) / F.count("*")).alias("share"))
+    # distinct texts, by the hash that chooses them: copies must not thin out the others
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_texts)) / F.countDistinct(F.xxhash64("text"))).alias("share"))
     share = {r["lang"]: r["share"] for r in share.collect()}  # one row a language
     if not share:
         return Filters([], np.zeros((1, 1), np.uint8), np.zeros(0))

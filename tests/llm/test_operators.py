@@ -57,6 +57,14 @@ def test_language_id(spark):
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in held.collect())
 
 
+def test_copies_do_not_thin_the_training_texts(spark):
+    rng = random.Random(3)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(make("abcd"), "aa") for _ in range(40)] + [("efgh", "aa")] * 20_000 + [(make("wxyz"), "zz") for _ in range(40)]
+    filters = language_id.fit_filters(spark.createDataFrame(rows, "text string, lang string"), train_texts=100)
+    assert filters.predict(make("abcd"))[0] == "aa" and filters.predict(make("abcd"))[1] > 0.2
+
+
 def test_token_counts(docs, texts):
     import public_tokenizers
     import sentencepiece
