@@ -46,17 +46,26 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 
 
 def ngram_keys(text: str, width: int = WIDTH) -> np.ndarray:
-    """A 64-bit key for each n-gram of a text, repeats included; long texts go block by block."""
-    parts = []
+    """A 64-bit key for each n-gram of a text, repeats included; long texts go block by block.
+
+    Letters too few for an n-gram (one between spaces) are padded with spaces to one, if the text has no other.
+    """
+    parts, short = [], []
     for start in range(0, len(text), BLOCK_BYTES):
         codes = _codes(" " + text[start : start + BLOCK_BYTES + width - 1] + " ").astype(np.uint64)
-        n = len(codes) - width + 1
-        if n > 0:
-            key = np.zeros(n, np.uint64)
-            for j in range(width):
-                key = key * np.uint64(1 << 21) + codes[j : j + n] if j < 3 else mix(key) + codes[j : j + n]
-            parts.append(key)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        if len(codes) >= width:
+            parts.append(_keys(codes, width))
+        elif (codes != 32).any():
+            short.append(_keys(np.pad(codes, (0, width - len(codes)), constant_values=32), width))
+    return np.concatenate(parts or short) if parts or short else np.zeros(0, np.uint64)
+
+
+def _keys(codes: np.ndarray, width: int) -> np.ndarray:
+    n = len(codes) - width + 1
+    key = np.zeros(n, np.uint64)
+    for j in range(width):
+        key = key * np.uint64(1 << 21) + codes[j : j + n] if j < 3 else mix(key) + codes[j : j + n]
+    return key
 
 
 @dataclass(frozen=True)

@@ -65,6 +65,15 @@ def test_copies_do_not_thin_the_training_texts(spark):
     assert filters.predict(make("abcd"))[0] == "aa" and filters.predict(make("abcd"))[1] > 0.2
 
 
+def test_a_single_letter_is_given_a_language():
+    keys = {lang: language_id.ngram_keys(t) for lang, t in (("aa", "a bcd"), ("zz", "z"), ("zh", "\u6f22"))}
+    filters = language_id.Filters.build(keys)
+    assert filters.predict("5 Z.") == ("zz", 1.0) and filters.predict("\u6f22") == ("zh", 1.0)
+    far = "5" * language_id.BLOCK_BYTES + "5 z" + " " * language_id.BLOCK_BYTES
+    assert filters.predict(far)[0] == "zz" and filters.predict("q")[0] == "aa"  # no evidence: the first by name
+    assert all(filters.predict(t) == ("und", 0.0) for t in ("", "5", " ", "5 !", None))
+
+
 def test_token_counts(docs, texts):
     import public_tokenizers
     import sentencepiece
