@@ -42,13 +42,17 @@ def line_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
 
 
-def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """Each word's log((1 + N) / (1 + documents that hold it)) over all documents, and that of a word in none."""
-    held = F.array_intersect(line_words(F.coalesce(F.col("text"), F.lit(""))), F.array(*map(F.lit, vocabulary)))
-    rows = docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()  # a row a word
-    count = {r["w"]: r["count"] for r in rows}
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(w, n): the documents that hold each word; the empty word counts all documents."""
+    held = F.array_distinct(line_words(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def inverse_frequencies(counts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], int]:
+    """Each word's log((1 + N) / (1 + documents that hold it)), and N."""
+    count = {r["w"]: r["n"] for r in counts.where(F.col("w").isin(["", *vocabulary])).collect()}  # a row a word
     n = count.get("", 0)
-    return {w: math.log((1 + n) / (1 + count.get(w, 0))) + 1e-6 for w in vocabulary}, math.log(1 + n) + 1e-6
+    return {w: math.log((1 + n) / (1 + count.get(w, 0))) + 1e-6 for w in vocabulary}, n
 
 
 def _vectors(notices: dict[str, str], weight: dict[str, float]) -> dict[str, dict[str, float]]:
@@ -77,40 +81,49 @@ def _anchors(vectors: dict[str, dict[str, float]], cosine: float) -> list[str]:
 def notice_lines(docs: DataFrame, notices: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
     """``docs`` with license (or null), score and line (its number from 0): the closest notice's.
 
-    Ties: the first line, then the first name. Words beyond the notices' vocabulary weigh as words that no
-    document holds. Null text has no lines.
+    Ties: the first line, then the first name. Every word weighs by the documents that hold it. Lines that
+    hold an anchor are judged once each, whatever texts they stand in. Null text has no lines.
     """
     notices = notices or NOTICES
     vocabulary = sorted({w for t in notices.values() for w in _words(t)})
-    weight, other = inverse_frequencies(docs, vocabulary)
+    counts = stored(document_counts(docs), "word_counts")
+    weight, n = inverse_frequencies(counts, vocabulary)
     vectors = _vectors(notices, weight)
     search = r"(?i)(?<![a-z0-9])(" + "|".join(_anchors(vectors, cosine)) + r")(?![a-z0-9])"
     weights = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, weight[w])))
     known = F.array(*map(F.lit, vocabulary))
 
-    def judged(line: Column, number: Column) -> Column:
-        words = line_words(line)
-        inside = F.filter(words, lambda w: F.array_contains(known, w))
-        times = F.transform(F.array_distinct(inside), lambda w: F.struct(w.alias("w"), (F.size(F.filter(inside, lambda x: x == w)) * weights[w]).alias("v")))
-        strange = F.array_except(words, known)
-        square = F.aggregate(times, F.lit(0.0), lambda a, x: a + x["v"] * x["v"]) + F.aggregate(
-            strange, F.lit(0.0), lambda a, w: a + F.pow(F.size(F.filter(words, lambda x: x == w)) * other, F.lit(2.0))
-        )
-        scores = []
-        for name, vector in sorted(vectors.items()):
-            of = F.create_map(*(F.lit(x) for w, v in sorted(vector.items()) for x in (w, v)))
-            dot = F.aggregate(times, F.lit(0.0), _adder(of))
-            scores.append(F.struct(F.round(-dot / F.sqrt(square), 9).alias("minus"), number.alias("line"), F.lit(name).alias("license")))
-        return F.array_min(F.array(*scores))
-
-    lines = F.split(F.col("text"), r"\n")
-    hits = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(search))
-    best = F.when(F.col("text").rlike(search), F.array_min(F.transform(hits, lambda s: judged(s["x"], s["i"]))))
-    found = docs.withColumn("_best", best)
-    good = F.coalesce(-F.col("_best.minus") >= cosine, F.lit(False))
-    return found.withColumns(
-        {"license": F.when(good, F.col("_best.license")), "score": F.when(good, -F.col("_best.minus")), "line": F.when(good, F.col("_best.line"))}
-    ).drop("_best")
+    lines = F.transform(F.split(F.col("text"), r"\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    hits = F.filter(lines, lambda s: s["x"].rlike(search))
+    of_text = F.xxhash64("text")
+    held = docs.where(F.col("text").rlike(search)).select(of_text.alias("_text"), F.explode(hits).alias("s"))
+    held = stored(held.select("_text", "s.i", "s.x", F.xxhash64("s.x").alias("of")), "held_lines")
+    apart = stored(held.select("of", "x").dropDuplicates(["of"]), "lines")
+
+    # the squared weights of words beyond the notices'
+    strange = F.filter(line_words(F.col("x")), lambda w: ~F.array_contains(known, w))
+    times = stored(apart.select("of", F.explode(strange).alias("w")).groupBy("of", "w").agg(F.count("*").alias("times")), "strange_words")
+    idf = counts.join(times.select("w").distinct(), "w", "left_semi").select("w", (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1e-6).alias("idf"))
+    idf = stored(idf, "idf")
+    squares = times.join(broadcast_if(idf, idf.count(), 64), "w").groupBy("of").agg(F.sum(F.pow(F.col("times") * F.col("idf"), F.lit(2.0))).alias("square"))
+
+    inside = F.filter(line_words(F.col("x")), lambda w: F.array_contains(known, w))
+    own = F.transform(F.array_distinct(F.col("_in")), lambda w: F.struct(w.alias("w"), (F.size(F.filter(F.col("_in"), lambda x: x == w)) * weights[w]).alias("v")))
+    square = F.aggregate("_own", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]) + F.coalesce(F.col("square"), F.lit(0.0))
+    scores = []
+    for name, vector in sorted(vectors.items()):
+        of = F.create_map(*(F.lit(x) for w, v in sorted(vector.items()) for x in (w, v)))
+        dot = F.aggregate("_own", F.lit(0.0), _adder(of))
+        scores.append(F.struct(F.round(-dot / F.sqrt(F.col("_square")), 9).alias("minus"), F.lit(name).alias("license")))
+    judged = apart.join(squares, "of", "left").withColumn("_in", inside).withColumn("_own", own).withColumn("_square", square)
+    judged = judged.select("of", F.array_min(F.array(*scores)).alias("b")).where(-F.col("b.minus") >= cosine)
+    judged = stored(judged.select("of", "b.*"), "judged_lines")
+
+    best = held.select("_text", "i", "of").join(broadcast_if(judged, judged.count(), 64), "of")
+    best = best.groupBy("_text").agg(F.min(F.struct("minus", "i", "license")).alias("_best"))
+    best = stored(best, "best_lines")
+    found = docs.withColumn("_text", of_text).join(broadcast_if(best, best.count(), 80), "_text", "left")
+    return found.withColumns({"license": F.col("_best.license"), "score": -F.col("_best.minus"), "line": F.col("_best.i")}).drop("_best", "_text")
 
 
 def _adder(of: Column):

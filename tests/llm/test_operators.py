@@ -284,6 +284,15 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(files.limit(0)).count() == 0
 
 
+def test_common_words_do_not_hide_a_notice(spark):
+    filler = [("this file is by the authors, copyright 2020 foo",)] * 3000
+    notes = ["Released under the MIT License by the authors.", "Copyright 2020 Foo. Released under the MIT License.", "This file is licensed under the Apache License, Version 2.0."]
+    texts = spark.createDataFrame([*filler, *((f"{n}\ncode",) for n in notes), ("the MIT zebra quagga okapi License",), (None,)], "text string")
+    got = {r["text"]: (r["license"], r["line"]) for r in license_scan.notice_lines(texts).collect()}
+    assert [got[f"{n}\ncode"] for n in notes] == [("MIT", 0), ("MIT", 0), ("Apache-2.0", 0)]
+    assert {v for t, v in got.items() if not t or "Released" not in t and "licensed" not in t} == {(None, None)}
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/7?x", "https://b.com/en/1", "x.com/en/", None, "ftp://q.example.net/de/81", "http://w.net/de/9#f", "http://q.org", "http://example.com/en/5"]
     pages = spark.createDataFrame([(i, u, '<a href="http://w.net/z">') for i, u in enumerate(urls)], "page_id long, url string, html string")
