@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it is known to take no more than this.
 BROADCAST_BYTES = 32 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes hashed at a time inside a task; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -21,33 +24,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); where none is set, a temporary one if all runs on one machine."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if where is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tamarack-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(where)
     return where
 
 
+@contextmanager
+def shuffles_cleared(spark: SparkSession):
+    """Queries that run inside remove their shuffle files at their end: what they made is stored or collected."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: lineage ends there."""
+    """``df`` written as a Parquet table in the shared folder and read back: lineage ends there.
+
+    ``discard`` deletes the table once all that reads it is stored itself.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_cleared(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` has made."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small tables inside loops."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    with shuffles_cleared(spark):
+        return df.checkpoint(eager=True)
+
+
+def broadcast_if(df: DataFrame) -> DataFrame:
+    """``df``, a table that is stored or cheap to read, with a broadcast hint if its measured rows fit the bound.
+
+    Beyond the bound Spark's usual join stays. A row counts as twice its JSON text and 64 bytes.
+    """
+    size = F.lit(64) + 2 * F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)).cast("long")
+    with shuffles_cleared(df.sparkSession):
+        fits = (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if fits else df
 
 
-def broadcast_if(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """A broadcast hint if ``rows`` rows of ``row_bytes`` fit the bound; else Spark's usual join."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column in ``taken`` has it."""
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
 
 
 def ascii_lower(text):

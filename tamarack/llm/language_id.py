@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, mix
+from .common import BLOCK_BYTES, discard, mix, stored, unused
 
 #: Characters of an n-gram; runs of other than letters count as one space.
 WIDTH = 4
 #: Bound of the sample that the filters are fitted on: texts a language, chosen by a hash of the text.
 TRAIN_TEXTS = 4000
-#: N-grams kept a language, and slots and hashes of the filter.
-KEPT, SLOT_BITS, HASHES = 40_000, 20, 3
+#: Bounds of the filter's slots in bits, slots wanted for each n-gram of a language, and hashes of an n-gram.
+SLOT_BITS, SLOTS_A_GRAM, HASHES = (16, 22), 8, 3
 
 
 def _codes(text: str) -> np.ndarray:
@@ -77,14 +77,20 @@ class Filters:
     rates: np.ndarray
 
     @staticmethod
-    def build(kept: dict[str, np.ndarray], slot_bits: int = SLOT_BITS) -> Filters:
+    def of_slots(langs: list[str], slots: np.ndarray) -> Filters:
+        """Filters over filled ``slots``, with each language's rate of false positives."""
+        filled = np.array([((slots[:, i // 8] >> (i % 8)) & 1).mean() for i in range(len(langs))])
+        return Filters(langs, slots, filled**HASHES)
+
+    @staticmethod
+    def build(kept: dict[str, np.ndarray], slot_bits: int = SLOT_BITS[0]) -> Filters:
+        """Filters that hold the n-gram keys of each language."""
         langs = sorted(kept)
         slots = np.zeros((1 << slot_bits, max(1, -(-len(langs) // 8))), np.uint8)
         for i, lang in enumerate(langs):
             for at in _places(kept[lang], slot_bits):
                 slots[at, i // 8] |= np.uint8(1 << (i % 8))
-        filled = np.array([((slots[:, i // 8] >> (i % 8)) & 1).mean() for i in range(len(langs))])
-        return Filters(langs, slots, filled**HASHES)
+        return Filters.of_slots(langs, slots)
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
         """The languages that hold each n-gram, as packed bits."""
@@ -152,12 +158,14 @@ def _frame(lang: str, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": n})
 
 
-def fit_filters(labelled: DataFrame, train_texts: int = TRAIN_TEXTS, kept: int = KEPT) -> Filters:
+def fit_filters(labelled: DataFrame, train_texts: int = TRAIN_TEXTS) -> Filters:
     """Filters learned from ``labelled`` (text, lang).
 
     Rows without text or lang teach nothing. At most about ``train_texts`` distinct texts a language
-    are used, those whose text hashes lowest; with fewer, all. An n-gram belongs to a language if it is
-    at least half as frequent there as where it is most frequent; the ``kept`` most frequent stay.
+    are used, those whose text hashes lowest; with fewer, all. Of the n-grams met more than once, each
+    belongs to the languages where it is at least half as frequent as where it is most frequent. All
+    of them go into the filter, whose slots follow their number within SLOT_BITS; a filter that fills
+    up has a higher rate of false positives, for which the shares are corrected.
     """
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     # distinct texts, by the hash that chooses them: copies must not thin out the others
@@ -171,24 +179,43 @@ def fit_filters(labelled: DataFrame, train_texts: int = TRAIN_TEXTS, kept: int =
         chosen = F.when(F.col("lang") == lang, below).otherwise(chosen)
     # one text may hold much of the rows: once is enough
     counts = rows.where(chosen).dropDuplicates().mapInPandas(_counted, "lang string, key bigint, n bigint")
-    counts = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counts = stored(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")), "ngrams")
     totals = F.create_map(*(c for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect() for c in (F.lit(r["lang"]), F.lit(r["n"]))))
-    rated = counts.where("n > 1").withColumn("rate", F.col("n") / totals[F.col("lang")])
-    best = rated.groupBy("key").agg(F.max("rate").alias("most"))
-    owned = rated.join(best, "key").where("2 * rate >= most")
-    picked = {}
-    for lang in share:  # bounded: ``kept`` n-grams each
-        top = owned.where(F.col("lang") == lang).orderBy(F.desc("n"), "key").limit(kept).select("key").toPandas()
-        picked[lang] = top["key"].to_numpy(np.int64).view(np.uint64)
-    return Filters.build(picked)
+    rate = F.struct(F.col("lang"), (F.col("n") / totals[F.col("lang")]).alias("rate"))
+    grams = counts.where("n > 1").groupBy("key").agg(F.collect_list(rate).alias("at"))  # a row a language at most
+    owned = F.filter("at", lambda x: 2 * x["rate"] >= F.array_max("at.rate"))
+    grams = stored(grams.select("key", F.transform(owned, lambda x: x["lang"]).alias("langs")), "owned")
+    discard(counts)
+
+    langs = sorted(share)
+    sizes = [r["n"] for r in grams.select(F.explode("langs").alias("lang")).groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    bits = min(max((max(sizes, default=1) * SLOTS_A_GRAM).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+    slots = np.zeros((1 << bits, max(1, -(-len(langs) // 8))), np.uint8)
+    filled = grams.mapInPandas(lambda parts: _filled(parts, langs, bits), "slot int, part int, mask int").groupBy("slot", "part").agg(F.bit_or("mask").alias("mask"))
+    some = filled.toPandas()  # at most a row a byte of the slots
+    slots[some["slot"].to_numpy(), some["part"].to_numpy()] = some["mask"].to_numpy()
+    discard(grams)
+    return Filters.of_slots(langs, slots)
+
+
+def _filled(parts: Iterator[pd.DataFrame], langs: list[str], bits: int) -> Iterator[pd.DataFrame]:
+    """The slots that n-grams fill, as bytes (slot, part, mask) of eight languages each."""
+    number = {lang: i for i, lang in enumerate(langs)}
+    for part in parts:
+        keys = np.repeat(part["key"].to_numpy(np.int64).view(np.uint64), part["langs"].map(len))
+        of = np.array([number[lang] for held in part["langs"] for lang in held], np.int64)
+        cells = np.concatenate([at * len(langs) + of for at in _places(keys, bits)])
+        slot, lang = np.divmod(np.unique(cells), max(1, len(langs)))
+        yield pd.DataFrame({"slot": slot, "part": lang // 8, "mask": 1 << (lang % 8)})
 
 
 def identify_languages(docs: DataFrame, filters: Filters) -> DataFrame:
     """``docs`` with lang_pred (a learned language, or `und`) and score (0 to 1) added or replaced.
 
-    `und`, with score 0: null text, text without a letter, or nothing learned. Each row is judged by
-    its whole text alone, so repeated rows and ids, and other columns, do not matter. No shuffle;
-    the filters, of fixed size, are broadcast.
+    `und`, with score 0: null text, text without a letter, or nothing learned. Ties: the first language
+    by name. Each row is judged by its whole text alone, block by block if it is very long, so
+    repeated rows and ids, and other columns, do not matter; an empty table gives no rows. No
+    shuffle; the filters, of bounded size, are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -198,8 +225,9 @@ def identify_languages(docs: DataFrame, filters: Filters) -> DataFrame:
 
     predict.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     judge = F.pandas_udf(predict, "lang_pred string, score double")
-    judged = docs.withColumn("_judged", judge(F.col("text")))
-    return judged.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    fresh = unused("judged", docs.columns)
+    judged = docs.withColumn(fresh, judge(F.col("text")))
+    return judged.withColumns({"lang_pred": F.col(fresh)["lang_pred"], "score": F.col(fresh)["score"]}).drop(fresh)
 
 
 def held_out(doc_id) -> F.Column:

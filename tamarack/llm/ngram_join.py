@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, broadcast_if, checkpointed, hash_windows, hash_words, mix, sliced, stored
+from .common import blocks, broadcast_if, discard, hash_windows, hash_words, mix, shuffles_cleared, sliced, stored
 
 WIDTH = 5
 #: Bounds of the frequency sketch's size in bits; bytes of text for each counter; counters in a row.
@@ -61,17 +61,24 @@ def frequency_sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         for batch in sliced(batches):
             for some in shingle_sets(_texts(batch), width):
                 np.add.at(cells, (some & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-        for row in range(0, 1 << bits, SKETCH_ROW):
-            part = cells[row : row + SKETCH_ROW].view(np.uint8).reshape(-1, 8).T.tobytes()  # by significance: packs well
-            yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int64()), "cells": [part]})
+        for row in range(0, 1 << bits, SKETCH_ROW):  # which cells of the row are filled, and these
+            part = cells[row : row + SKETCH_ROW]
+            if len(filled := part[part > 0]):
+                sums = filled.astype(np.min_scalar_type(filled.max())).tobytes()
+                yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int64()), "at": [np.packbits(part > 0).tobytes()], "sums": [sums]})
 
     def add(parts):
-        total = sum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in parts["cells"])
+        total = np.zeros(SKETCH_ROW, np.int64)
+        for at, sums in zip(parts["at"], parts["sums"], strict=True):
+            at = np.unpackbits(np.frombuffer(at, np.uint8)).view(bool)
+            total[at] += np.frombuffer(sums, f"u{len(sums) // np.count_nonzero(at)}").astype(np.int64)
         return pd.DataFrame({"row": parts["row"][:1], "classes": [np.frexp(total.astype(float))[1].astype(np.uint8).tobytes()]})
 
-    cells = docs.select("text").mapInArrow(count, "row long, cells binary").groupBy("row").applyInPandas(add, "row long, classes binary")
+    cells = docs.select("text").mapInArrow(count, "row long, at binary, sums binary").groupBy("row").applyInPandas(add, "row long, classes binary")
     found = np.zeros(1 << bits, np.uint8)
-    for r in cells.collect():  # one byte a cell
+    with shuffles_cleared(docs.sparkSession):
+        rows = cells.collect()  # one byte a cell
+    for r in rows:
         found[r["row"] : r["row"] + SKETCH_ROW] = np.frombuffer(bytes(r["classes"]), np.uint8)
     return found
 
@@ -81,39 +88,41 @@ def _codes(some: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort((classes[at].astype(np.uint64) << np.uint64(58)) | some)
 
 
-def _class_of(some: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int((mix(some).sum(dtype=np.uint64) + np.uint64(len(some))).astype(np.int64)) if len(some) else 0
+def _class_of(some: np.ndarray, salt: int) -> int:
+    """A 64-bit name of a set; other salts give names that do not depend on each other."""
+    salted = mix(some ^ mix(np.array([salt + 1], np.uint64)))
+    return int((salted.sum(dtype=np.uint64) + np.uint64(len(some))).astype(np.int64)) if len(some) else 0
 
 
 def prefix_length(n: int, top: int = TOP, bottom: int = BOTTOM) -> int:
     return n - -(-top * n // bottom) + 1 if n else 0
 
 
-def shingle_table(docs: DataFrame, classes: np.ndarray, width: int, top: int, bottom: int) -> DataFrame:
-    """(doc_id, text_key, n, cls, prefix): hash of the text, set size, the set's name, its rarest codes."""
+def shingle_table(docs: DataFrame, classes: np.ndarray, width: int, top: int, bottom: int, salt: int) -> DataFrame:
+    """(doc_id, text_key, n, cls, proof, prefix): hash of the text, set size, the set's two names, its rarest codes."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            n, cls, ends, codes = [], [], [0], []
+            n, cls, proof, ends, codes = [], [], [], [0], []
             for some in shingle_sets(_texts(batch), width):
                 own = _codes(some, shared.value)[: prefix_length(len(some), top, bottom)]
                 n.append(len(some))
-                cls.append(_class_of(some))
+                cls.append(_class_of(some, salt))
+                proof.append(_class_of(some, salt + 1))
                 codes.append(own)
                 ends.append(ends[-1] + len(own))
             flat = np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "cls", "prefix"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(proof, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "cls", "proof", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(read, f"doc_id {kind}, text_key long, n int, cls long, prefix array<long>")
+    return rows.mapInArrow(read, f"doc_id {kind}, text_key long, n int, cls long, proof long, prefix array<long>")
 
 
-def shingle_codes(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: int) -> DataFrame:
+def shingle_codes(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width: int, salt: int) -> DataFrame:
     """(cls, codes): the whole sets, as packed sorted codes, of ``wanted`` (cls, text_key), once each.
 
     Texts that are not wanted never leave the JVM.
@@ -124,11 +133,11 @@ def shingle_codes(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, width
         for batch in sliced(batches):
             cls, codes = [], []
             for some in shingle_sets(_texts(batch), width):
-                cls.append(_class_of(some))
+                cls.append(_class_of(some, salt))
                 codes.append(_codes(some, shared.value).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(codes, pa.binary())], ["cls", "codes"])
 
-    keys = broadcast_if(wanted.select("text_key"), wanted.count(), 16)
+    keys = broadcast_if(wanted.select("text_key"))
     rows = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi").select("text").mapInArrow(read, "cls long, codes binary")
     return rows.groupBy("cls").agg(F.first("codes").alias("codes"))
 
@@ -150,8 +159,8 @@ def _similar(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterat
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def linked(pairs: DataFrame, own: DataFrame, docs: DataFrame, classes: np.ndarray, width: int, top: int, bottom: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of classes that are similar enough.
+def linked(pairs: DataFrame, own: DataFrame, docs: DataFrame, classes: np.ndarray, width: int, top: int, bottom: int, salt: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of classes that are similar enough, as a stored table.
 
     Of two prefixes the one that ends first holds all that its set shares with the other one so far:
     what the prefixes share, with all that follows in a set, bounds the overlap. The few pairs that this
@@ -162,33 +171,40 @@ def linked(pairs: DataFrame, own: DataFrame, docs: DataFrame, classes: np.ndarra
     most = F.size(F.array_intersect("a_prefix", "b_prefix")) + F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
     near = stored(met.where(bottom * most >= top * (F.col("a_n") + F.col("b_n") - most)).select("a", "b", "a_key", "b_key"), "near")
     wanted = stored(near.select(F.col("a").alias("cls"), F.col("a_key").alias("text_key")).union(near.select("b", "b_key")).distinct(), "wanted")
-    if wanted.isEmpty():
-        return near.select("a", "b")
-    sets = stored(shingle_codes(docs, wanted, classes, width), "sets")
+    sets = stored(shingle_codes(docs, wanted, classes, width, salt), "sets")
     both = near.join(sets.select(F.col("cls").alias("a"), F.col("codes").alias("x")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("codes").alias("y")), "b"
     )
-    return both.select("a", "b", "x", "y").mapInArrow(lambda batches: _similar(batches, top, bottom), "a long, b long")
+    out = stored(both.select("a", "b", "x", "y").mapInArrow(lambda batches: _similar(batches, top, bottom), "a long, b long"), "links")
+    discard(near, wanted, sets)
+    return out
+
+
+def _print_of(edges: DataFrame) -> tuple:
+    """Count and 128 bits of a set of edges: equal for equal sets."""
+    with shuffles_cleared(edges.sparkSession):
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cls, comp): for each end of a link the smallest class it is connected with.
+    """(cls, comp): for each end of a link (a, b) the smallest class it is connected with, as a stored table.
 
     Alternating large-star and small-star steps, each an aggregation and a join, until nothing changes.
     """
-    edges = checkpointed(links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
-    while True:
+    edges = stored(links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
+    before, now = None, _print_of(edges)
+    while now != before:
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e"))
-        new = checkpointed(small.select(F.col("e.m").alias("v"), F.col("e.u").alias("u")).where("u <> v").distinct())
-        changed = new.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(new, ["u", "v"], "left_anti").limit(1).count()
-        edges = new
-        if not changed:
-            return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct())
+        new = stored(small.select(F.col("e.m").alias("v"), F.col("e.u").alias("u")).where("u <> v").distinct(), "edges")
+        discard(edges)
+        edges, before, now = new, now, _print_of(new)
+    out = stored(edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct()), "comps")
+    discard(edges)
+    return out
 
 
 def _close(a: str, b: str, top: int, bottom: int) -> str:
@@ -203,10 +219,8 @@ def _close(a: str, b: str, top: int, bottom: int) -> str:
     )
 
 
-def similar_classes(docs: DataFrame, table: DataFrame, classes: np.ndarray, width: int, top: int, bottom: int) -> DataFrame:
-    """(cls, comp) for the classes of ``table`` that are linked with another one."""
-    own = table.where("n > 0").groupBy("cls").agg(F.min(F.struct("text_key", "n", "prefix")).alias("s")).select("cls", "s.*")
-    own = stored(own, "classes")
+def similar_classes(docs: DataFrame, own: DataFrame, classes: np.ndarray, width: int, top: int, bottom: int, salt: int) -> DataFrame:
+    """(cls, comp) for those of the classes ``own`` (cls, text_key, n, prefix) that are linked with another one."""
     rows = own.select("cls", "n", F.posexplode("prefix").alias("pos", "tok"))
     met = rows.groupBy("tok").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("tok")
     rows = stored(rows.join(met, "tok"), "prefixes")
@@ -217,17 +231,25 @@ def similar_classes(docs: DataFrame, table: DataFrame, classes: np.ndarray, widt
     lead = ranked.groupBy("tok").agg(F.max(F.struct("rank", "cls", "n", "pos")).alias("l")).select("tok", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("cls", "n", "pos")))
     near = rows.join(lead, "tok").where("cls <> l_cls").where(_close("", "l_", top, bottom))
     pairs = stored(near.select(F.least("cls", "l_cls").alias("a"), F.greatest("cls", "l_cls").alias("b")).distinct(), "pairs")
-    links = stored(linked(pairs, own, docs, classes, width, top, bottom), "links")
+    links = linked(pairs, own, docs, classes, width, top, bottom, salt)
 
-    comps = stored(components(links), "comps")
+    comps = components(links)
     placed = rows.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     apart = stored(placed.join(mixed, "tok"), "apart")
+    discard(rows, links)
     x, y = (apart.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "pos", "comp"))) for side in "xy")
     rest = x.join(y, (x["tok"] == y["tok"]) & (F.col("x_comp") < F.col("y_comp")) & F.expr(_close("x_", "y_", top, bottom)))
     rest = rest.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
-    more = stored(linked(rest.join(pairs, ["a", "b"], "left_anti"), own, docs, classes, width, top, bottom), "links")
-    return comps if more.isEmpty() else stored(components(links.union(more)), "comps")
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    discard(apart, pairs)
+    more = linked(rest, own, docs, classes, width, top, bottom, salt)
+    discard(rest)
+    if not more.isEmpty():  # the components so far are stars, to be linked further
+        comps, stars = components(comps.select(F.col("cls").alias("a"), F.col("comp").alias("b")).union(more)), comps
+        discard(stars)
+    discard(more)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, top: int = TOP, bottom: int = BOTTOM) -> DataFrame:
@@ -238,19 +260,32 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, top: int = TOP, bottom:
     the least doc_id that links reach (null ids count as none: null if a component has no other);
     comp names the component. Rows without words or text have n_shingles 0, no links, their own
     doc_id as component_id and a null comp. Repeated rows and ids, ties and other columns are fine:
-    rows are grouped by what they contain. text_key is xxhash64 of the text.
+    rows are grouped by what they contain. Texts of any length are read whole, one at a time past
+    a block's size; an empty table gives no rows. text_key is xxhash64 of the text.
+
+    Sets are named by 64 bits and proved by 64 more; were two sets to share a name, all are named anew.
     """
     docs = docs.select("doc_id", "text")
     classes = frequency_sketch(docs, width)
-    table = stored(shingle_table(docs, classes, width, top, bottom), "shingles")
-    comps = similar_classes(docs, table, classes, width, top, bottom)
-    full = table.where("n > 0").select("doc_id", "text_key", "n", "cls")
-    names = full.groupBy("cls").agg(F.min("doc_id").alias("least")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    salt, clash = 0, True
+    while clash:
+        table = stored(shingle_table(docs, classes, width, top, bottom, salt), "shingles")
+        own = table.where("n > 0").groupBy("cls").agg(F.min(F.struct("text_key", "n", "prefix")).alias("s"), F.min("doc_id").alias("least"), (F.min("proof") < F.max("proof")).alias("clash"))
+        own = stored(own.select("cls", "s.*", "least", "clash"), "classes")
+        if clash := not own.where("clash").isEmpty():
+            discard(table, own)
+            salt += 2
+    comps = similar_classes(docs, own.select("cls", "text_key", "n", "prefix"), classes, width, top, bottom, salt)
+    names = own.select("cls", "least").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     roots = names.groupBy("comp").agg(F.min("least").alias("component_id"))
     names = stored(names.join(roots, "comp").select("cls", "comp", "component_id"), "names")
+    discard(own, comps)
+    full = table.where("n > 0").select("doc_id", "text_key", "n", "cls")
     empty = table.where("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
     found = full.join(names, "cls").select("doc_id", "text_key", "n", "component_id", "comp").unionByName(empty)
-    return found.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "comp")
+    found = stored(found.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "comp"), "found")
+    discard(table, names)
+    return found
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, top: int = TOP, bottom: int = BOTTOM) -> DataFrame:
@@ -258,17 +293,18 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, top: int = TOP, bottom: int
 
     Rows with the same doc_id and text count as one. Rows without words stay.
     """
-    found = near_duplicates(docs, width, top, bottom).where("comp is not null")
+    every = near_duplicates(docs, width, top, bottom)
+    found = every.where("comp is not null")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     best = found.groupBy("comp").agg(F.min(order).alias("b"), F.count("*").alias("k")).where("k > 1").select("comp", "b")
     twins = found.join(best, "comp").withColumn("out", ~order.eqNullSafe(F.col("b")))
     marks = stored(twins.groupBy("doc_id", "text_key").agg(F.max("out").alias("out"), F.count("*").alias("k")).where("out or k > 1"), "marks")
+    discard(every)
     marks = marks.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "out")
-    small = lambda m: broadcast_if(m, m.count(), 32)
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
     if not (twice := marks.where("not out").drop("out")).isEmpty():
-        return docs.join(small(marks), on, "left_anti").unionByName(docs.join(small(twice), on, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return docs.join(small(marks), on, "left_anti")
+        return docs.join(broadcast_if(marks), on, "left_anti").unionByName(docs.join(broadcast_if(twice), on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return docs.join(broadcast_if(marks), on, "left_anti")
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
