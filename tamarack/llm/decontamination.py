@@ -1,7 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's normalised n-grams.
 
-Training texts are turned into their windows' hashes in one pass, looked up in the broadcast set, and
-each hit is verified word by word before it counts. Built from SQL functions throughout.
+Training texts are turned into their windows' hashes in one pass and looked up in the broadcast set;
+candidates meet the windows themselves by hash and words before they count, so only these few are
+shuffled, never whole texts. Built from SQL functions throughout.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if, stored
+from .common import BROADCAST_BYTES, ascii_lower, broadcast_if, discard, stored
 
+#: Rows of the set of bits, in bits: of 64 bits each, they stay within the bound of a broadcast.
+SLOT_BITS = 19
 #: What is not a word character once A-Z are in lower case.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -21,63 +24,79 @@ def normal_words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """(h, n, gram, items): each distinct window of the items, its number of words, its words, its items.
+    """(h, n, gram, item): the distinct windows of each item, with their hash and number of words.
 
     An item with fewer words than ``width``, but not none, is one window. Null or empty items have none.
     """
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), normal_words(F.col("text")).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
     grams = words.where(F.size("w") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("gram"))
-    return grams.groupBy("gram").agg(F.collect_set("item").alias("items")).select(
-        F.xxhash64("gram").alias("h"), F.size("gram").alias("n"), "gram", "items"
-    )
+    return grams.distinct().select(F.xxhash64("gram").alias("h"), F.size("gram").alias("n"), "gram", "item")
+
+
+def _hash_set(grams: DataFrame) -> tuple[DataFrame, Column]:
+    """What of a window's hash ``h`` is looked up in the broadcast set, and the test of what is found.
+
+    The set is one of hashes while these fit the bound of a broadcast. Beyond it is one of bits, of
+    fixed size: rows of 64 bits, found by the lowest bits of a hash, of which the next six choose one.
+    """
+    hashes = grams.select("h").distinct()
+    if hashes.count() * 64 <= BROADCAST_BYTES:
+        return hashes.select(F.col("h").alias("slot")), F.lit(True)
+    place = F.shiftrightunsigned("h", SLOT_BITS).bitwiseAND(F.lit(63)).cast("int")
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {SLOT_BITS}) & 63 as int))")
+    rows = hashes.select(_slot(F.col("h")).alias("slot"), one.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    return rows, F.getbit("bits", place) == 1
+
+
+def _slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each row of ``docs``: the ``keep`` columns, n_words, spans (array<struct<at, n>>: word
     places, from 1, and lengths of benchmark windows found) and items (array<string>, sorted).
 
-    Null or wordless text has no words and no spans; ids may be null or repeat, as each row is its
-    own; an empty benchmark finds nothing. Other columns do not matter. The benchmark's windows are
-    broadcast if their counted number fits the bound, else joined by a shuffle.
+    Null or wordless text has no words and no spans; ids may be null or repeat, as rows are told apart
+    by the ``keep`` columns and their text's hash, and equal ones are hit alike; an empty benchmark
+    finds nothing, an empty table gives no rows. Whole texts count, whatever their length; other
+    columns do not matter. Of a benchmark of any size a set of bounded size is broadcast.
     """
-    grams = benchmark_windows(benchmark, width)
-    counts = grams.groupBy("n").count().collect()  # at most ``width`` rows
-    own = [F.col(c) for c in keep]
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.struct(*own).alias("_keep"), normal_words(F.col("text")).alias("_w")
-    )
-    lengths = sorted({width} | {r["n"] for r in counts})
-    # Place i from 0 starts a window; the place after the last word stands for the document itself,
-    # so that one without hits stays. Explode, hash and broadcast lookup are one generated loop, in
-    # which a document's words are copied for hits only.
-    spread = rows.select("_row", "_keep", "_w", F.explode(F.sequence(F.lit(0), F.size("_w"))).alias("_i"))
-    if len(lengths) > 1:  # items of fewer words: their lengths are looked up too
-        spread = spread.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("_n"))
-    else:
-        spread = spread.select("*", F.lit(width).alias("_n"))
+    grams = stored(benchmark_windows(benchmark, width), "windows")
+    lengths = sorted({width} | {r["n"] for r in grams.select("n").distinct().collect()})  # at most ``width``
+    wanted, holds = _hash_set(grams)
+    exact = "bits" not in wanted.columns
+    own = F.struct(*(F.col(c) for c in keep), F.xxhash64("text").alias("_text"))
+
+    # Explode, hash and lookup in the broadcast set are one generated loop, in which only the words of
+    # candidate windows are copied.
+    places = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1))
+    spread = docs.select(own.alias("_key"), normal_words(F.col("text")).alias("_w")).select("*", F.explode(places).alias("_i"))
+    number = F.lit(width) if lengths == [width] else F.explode(F.array(*map(F.lit, lengths)))
+    spread = spread.select("*", number.alias("_n"))
     words = [F.get("_w", F.col("_i") + j) for j in range(max(lengths))]
-    gram_hash = F.lit(0).cast("long")
+    h = F.lit(None).cast("long")
     for n in lengths:
-        gram_hash = F.when((F.col("_n") == n) & (F.col("_i") + n <= F.size("_w")), F.xxhash64(*words[:n])).otherwise(gram_hash)
-    itself = (F.col("_i") == F.size("_w")) & (F.col("_n") == lengths[0])
-    none = F.expr("cast(array() as array<string>)")
-    mark = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n"), none.alias("gram"), none.alias("items"))
-    wanted = broadcast_if(grams.unionByName(mark), sum(r["count"] for r in counts) + 1, 400)
-    hits = spread.withColumn("h", gram_hash).join(wanted, "h")
-    real = (F.col("n") == F.col("_n")) & (F.slice("_w", F.col("_i") + 1, F.col("_n")) == F.col("gram"))
-    hits = hits.where(F.when(itself, F.col("n") == 0).otherwise(real)).withColumn("at", F.col("_i") + 1)
-    hits = hits.select("_row", "_keep", F.size("_w").alias("_n"), "n", "at", "items")
-    return (
-        hits.groupBy("_row")
-        .agg(
-            F.first("_keep").alias("_keep"),
-            F.first("_n").alias("n_words"),
-            F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("at", "n")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
-        .select("_keep.*", F.col("n_words").cast("long").alias("n_words"), "spans", "items")
-    )
+        h = F.when((F.col("_n") == n) & (F.col("_i") + n <= F.size("_w")), F.xxhash64(*words[:n])).otherwise(h)
+    spread = spread.withColumn("h", h).withColumn("slot", F.col("h") if exact else _slot(F.col("h")))
+    met = spread.join(F.broadcast(wanted), "slot").where(holds)
+    met = met.select("_key", (F.col("_i") + 1).alias("at"), F.col("_n").alias("n"), "h", F.slice("_w", F.col("_i") + 1, F.col("_n")).alias("gram"))
+
+    real = stored(grams.select("h", "gram").distinct(), "grams")
+    hits = stored(met.join(broadcast_if(real), ["h", "gram"]), "hits")  # verified word by word
+    held = hits.select("_key", "h", "gram").distinct().join(broadcast_if(grams.select("h", "gram", "item")), ["h", "gram"])
+    items = held.select("_key", "item").distinct().groupBy("_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    spans = hits.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
+    marks = stored(spans.join(items, "_key"), "marks")
+    discard(grams, real, hits)
+    rows = docs.select(own.alias("_key"), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
+    found = rows.join(broadcast_if(marks.withColumnRenamed("_key", "_of")), F.col("_key").eqNullSafe(F.col("_of")), "left")
+    return found.select(*(F.col("_key")[c].alias(c) for c in keep), "n_words", *(_or_empty(c, marks) for c in ("spans", "items")))
+
+
+def _or_empty(column: str, like: DataFrame) -> Column:
+    kind = like.schema[column].dataType.simpleString()
+    return F.coalesce(column, F.expr("array()").cast(kind)).alias(column)
 
 
 def covered_words(spans: Column) -> Column:
@@ -106,11 +125,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
     found = found.withColumnRenamed("spans", "_spans")
     if not spans_only:
-        return docs.join(broadcast_if(found.drop("_spans"), found.count(), 32), on, "left_anti")
+        return docs.join(broadcast_if(found.drop("_spans")), on, "left_anti")
     inside = lambda i: F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["n"]))
     words = F.filter(normal_words(F.col("text")), lambda w, i: ~inside(i + 1))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(words, " "))
-    return docs.join(found, on, "left").withColumn("text", text).select(*docs.columns)
+    return docs.join(broadcast_if(found), on, "left").withColumn("text", text).select(*docs.columns)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, stored
+from .common import broadcast_if, discard, stored, unused
 
 #: More alternatives than this are cut off: the part then asks for nothing more.
 _MOST = 16
@@ -232,15 +232,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "s
     asked = [kind for kind, q in queries.items() if q is not True]
     text = F.coalesce(F.col("text"), F.lit(""))
     columns = docs.columns
-    key, name = _fresh("key", columns), {r.kind: _fresh(f"found_{r.kind}", columns) for r in rules}
+    key, name = unused("key", columns), {r.kind: unused(f"found_{r.kind}", columns) for r in rules}
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    indexed, flag = docs, {kind: _fresh(f"admitted_{kind}", columns) for kind in asked}
+    indexed, flag = docs, {kind: unused(f"admitted_{kind}", columns) for kind in asked}
     if asked:
         trigrams = list(dict.fromkeys(t for kind in asked for t in trigrams_of(queries[kind])))
         postings = stored(trigram_index(docs, trigrams, id).sortWithinPartitions("trigram"), "postings")
         admitted = stored(candidates(postings, queries), "candidates")
+        discard(postings)
         admitted = admitted.select(F.col("key").alias(key), *(F.col(kind).alias(flag[kind]) for kind in asked))
-        admitted = broadcast_if(admitted, admitted.count(), 16 + 8 * len(asked))
+        admitted = broadcast_if(admitted)
         indexed = docs.withColumn(key, _key(docs, id)).join(admitted, key, "left")
     spans = {
         name[r.kind]: F.when(F.col(flag[r.kind]), _spans_if_any(text, r)).otherwise(none) if r.kind in flag else _spans_if_any(text, r)
@@ -256,15 +257,9 @@ def _spans_if_any(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), rule_spans(text, rule)).otherwise(none)
 
 
-def _fresh(name: str, taken: list[str]) -> str:
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
-
-
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of a secret in ``text`` replaced by ``mark`` (overlaps: once)."""
-    columns, found = docs.columns, find_secrets(docs, rules, out := _fresh("secrets", docs.columns))
+    columns, found = docs.columns, find_secrets(docs, rules, out := unused("secrets", docs.columns))
     text = F.col("text")
     state = F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
