@@ -41,7 +41,9 @@ def fit_exponent(sources: DataFrame, entropy_share: float, max_repeats: float, b
     """(exponent, sum of p^a, budget as a share of all tokens) for ``sources`` (p: share > 0 each).
 
     The wanted entropy lies ``entropy_share`` of the way from that of p to that of equal weights.
-    Without a budget it is the least that reads every document at least once.
+    Without a budget it is the least that reads every document at least once. Both measures fall as the
+    exponent grows, so at 1 all sources repeat alike and least: if even this is over ``max_repeats``, no
+    exponent fits, and a ValueError says so.
     """
     ends = _sums(sources, [0.0, 1.0])
     wanted = ends[1.0][1] + entropy_share * (ends[0.0][1] - ends[1.0][1])
@@ -52,14 +54,16 @@ def fit_exponent(sources: DataFrame, entropy_share: float, max_repeats: float, b
     def fits(s) -> bool:
         return s[1] <= wanted + 1e-12 and budget(s) / s[0] * s[3] <= max_repeats + 1e-12
 
+    if not fits(ends[1.0]):
+        raise ValueError(f"no weights fit: the budget reads all sources {budget(ends[1.0]):.6g} times, the limit is {max_repeats}")
     low, high, best = 0, 1 << BITS, ends[1.0]
     if fits(ends[0.0]):
         return 0.0, ends[0.0][0], budget(ends[0.0])
-    while high - low > 1:  # ``low`` does not fit, ``high`` does or is the end; several halvings a job
+    while high - low > 1:  # ``low`` does not fit, ``high`` does; several halvings a job
         step = max(1, (high - low) >> BITS_A_JOB)
         found = _sums(sources, [x / (1 << BITS) for x in range(low + step, high, step)])
         for x in range(low + step, high, step):
-            if fits(found[x / (1 << BITS)]):
+            if fits(found[x / (1 << BITS)]):  # so do all above
                 high, best = x, found[x / (1 << BITS)]
                 break
             low = x
@@ -74,11 +78,17 @@ def mix_sources(
     ``weight`` is the source's target share; ``epoch`` counts its passes; documents are read by epoch,
     then ``block`` (a permuted number), then ``place`` in it. With ``budget`` tokens each source gets
     weight * budget, the last document of a partial epoch going over it at most by its own
-    length; without, the budget is the least that reads every document once. A null source counts as
+    length; without, the budget is the least that reads every document once. No source is read more
+    than ``max_repeats`` times on average (a part of an epoch reads part of its documents once more);
+    a budget that must break this raises ValueError. ``entropy_share`` is from 0 (weights as the shares
+    are) to 1 (as even as the limit allows). A null source counts as
     the empty one; null ids and texts are fine (no tokens); documents without tokens are read with
     each epoch that reaches them, sources without tokens in one epoch. Repeated rows are read each;
-    an empty table gives no rows; other columns do not matter.
+    an empty table gives no rows; texts count whole, whatever their length; ties in the permutation go
+    by id and length; other columns do not matter.
     """
+    if not 0 <= entropy_share <= 1 or max_repeats < 1:
+        raise ValueError("entropy_share must lie from 0 to 1, max_repeats at 1 or above")
     sized = stored(
         docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (word_tokens(F.col("text")) if tokens is None else tokens.cast("long")).alias("n_tokens")),
         "sized",
@@ -101,7 +111,7 @@ def mix_sources(
 
     epochs = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1))
     epochs = F.when((F.col("whole") > 0) | (F.col("rest") > 0), epochs).otherwise(F.expr("cast(array() as array<int>)"))
-    read = sized.join(broadcast_if(plan, shares.count(), 64), "source").withColumn("epoch", F.explode(epochs))
+    read = sized.join(broadcast_if(plan), "source").withColumn("epoch", F.explode(epochs))
     lot = F.xxhash64(F.lit(seed), "epoch", "doc_id", "n_tokens")
     read = read.withColumn("lot", lot).withColumn("b", F.pmod("lot", "blocks"))
     # where each block of the permutation begins: blocks are few and of bounded size

@@ -1,6 +1,7 @@
 """Each operator on a small table with nulls, repeats, empty and long texts, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.llm import decontamination, language_id, license_scan, media_columns, mixing, ngram_join, secret_scans, substring_dedup, token_counts, url_filters
+from tamarack.llm import common, decontamination, language_id, license_scan, media_columns, mixing, ngram_join, secret_scans, substring_dedup, token_counts, url_filters
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 NORMAL = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -209,7 +210,11 @@ def test_trigram_queries():
     assert secret_scans.trigram_query("(abc|x)y*") is True and secret_scans.trigram_query("(abcd|bcde)") == ("or", (("and", ("abc", "bcd")), ("and", ("bcd", "cde"))))
 
 
-def test_decontamination(spark, docs, texts):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_decontamination(spark, docs, texts, bound, monkeypatch):
+    if bound is not None:  # beyond the bound: a set of bits, and joins by shuffles
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
     items = [(1, texts[50] if texts[50] else "a"), (2, " ".join(NORMAL.findall(ascii_lower(texts[0]))[:12])), (3, "zz qq"), (4, None), (5, "--"), (6, texts[-1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     grams = {}
@@ -272,6 +277,65 @@ def test_mixing(spark, docs):
     assert mixing.mix_sources(frame.limit(0)).count() == 0 and mixing.mix_sources(docs).count() >= docs.count()
 
 
+@pytest.mark.parametrize("shares", [[1, 1, 1], [1000, 10, 1], [7, 5, 3, 3, 2]])
+@pytest.mark.parametrize("most", [1.0, 3.0, 40.0])
+def test_exponents_against_brute_force(spark, shares, most):
+    """Each exponent of a grid is tried: the one found is the least that fits, within the grid's step."""
+    p = [s / sum(shares) for s in shares]
+    frame = spark.createDataFrame([(x,) for x in p], "p double")
+    for even, budget in [(0.0, None), (0.5, None), (1.0, 0.5), (0.7, 3.0), (1.0, 20.0)]:
+
+        def weights(a):
+            z = sum(x**a for x in p)
+            return [x**a / z for x in p]
+
+        def entropy(w):
+            return -sum(x * math.log(x) for x in w)
+
+        def fits(a):
+            w = weights(a)
+            size = budget if budget is not None else max(x / v for x, v in zip(p, w, strict=True))
+            wanted = entropy(p) + even * (math.log(len(p)) - entropy(p))
+            return entropy(w) <= wanted + 1e-9 and size * max(v / x for x, v in zip(p, w, strict=True)) <= most + 1e-9
+
+        if not fits(1.0):
+            with pytest.raises(ValueError, match="no weights fit"):
+                mixing.fit_exponent(frame, even, most, budget)
+            continue
+        found = mixing.fit_exponent(frame, even, most, budget)[0]
+        grid = [i / 1000 for i in range(1001)]
+        assert fits(found + 1e-6) or found == 1.0
+        assert abs(found - min(a for a in grid if fits(a))) <= 1e-3
+
+
+def test_permutation_against_brute_force(spark):
+    """Epochs, blocks, places and the cut at the budget, from the hashes that order them."""
+    rows = [(i, f"s{min(i % 9, 2)}", "w " * (i % 13)) for i in range(300)] + [(5, "s0", "w " * 5), (None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    budget, seed = 4000, 3
+    got = mixing.mix_sources(frame, 0.8, 4.0, budget, seed).collect()
+    weight = {r["source"]: r["weight"] for r in got}
+    tokens = {}
+    for _, s, t in rows:
+        tokens[s or ""] = tokens.get(s or "", 0) + len((t or "").split())
+    want = []
+    for s, total in tokens.items():
+        passes = weight[s] * budget / total if total else 1.0
+        assert passes <= 4 + 1e-6
+        for epoch in range(math.ceil(passes - 1e-9)):
+            own = [(d, len((t or "").split())) for d, x, t in rows if (x or "") == s]
+            hashed = spark.createDataFrame([(d, n) for d, n in own], "doc_id long, n_tokens long").withColumn("lot", F.xxhash64(F.lit(seed), F.lit(epoch), "doc_id", "n_tokens")).withColumn("order", F.xxhash64("lot"))
+            blocks = math.ceil((total + 1) / mixing.BLOCK_TOKENS)
+            assert blocks == 1
+            left = (passes - epoch) * total if epoch >= math.floor(passes + 1e-9) else math.inf
+            ahead = 0
+            for place, r in enumerate(sorted(hashed.collect(), key=lambda r: (r["order"], r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"])), 1):
+                if ahead < left:
+                    want.append((s, epoch, 1, place, r["doc_id"], r["n_tokens"]))
+                ahead += r["n_tokens"]
+    assert sorted(((r["source"], r["epoch"], r["block"], r["place"], r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_licenses(spark):
     mit, apache = license_scan.NOTICES["MIT"], license_scan.NOTICES["Apache-2.0"]
     rows = [("a/LICENSE", mit), ("a/b/x.py", "code\nmore code"), ("a/b/c/LICENSE", apache), ("a/b/c/d/y.py", None), ("z/w.py", "nothing"), (None, ""), ("z/v.py", "x " * 300 + "\n" + apache + "\nend")]
