@@ -34,8 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; in a temporary folder where none is set."""
+    """A reliable checkpoint in spark.checkpoint.dir; where none is set, in a temporary folder if all runs on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tamarack-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="tamarack-"))
     return df.checkpoint(eager=True)
