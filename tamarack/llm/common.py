@@ -69,14 +69,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small tables inside loops."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    with shuffles_cleared(spark):
-        return df.checkpoint(eager=True)
-
-
 def broadcast_if(df: DataFrame) -> DataFrame:
     """``df``, a table that is stored or cheap to read, with a broadcast hint if its measured rows fit the bound.
 

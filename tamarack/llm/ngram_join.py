@@ -276,10 +276,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, top: int = TOP, bottom:
             discard(table, own)
             salt += 2
     comps = similar_classes(docs, own.select("cls", "text_key", "n", "prefix"), classes, width, top, bottom, salt)
-    names = own.select("cls", "least").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    roots = names.groupBy("comp").agg(F.min("least").alias("component_id"))
-    names = stored(names.join(roots, "comp").select("cls", "comp", "component_id"), "names")
-    discard(own, comps)
+    named = stored(own.select("cls", "least").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "named")
+    roots = stored(named.groupBy("comp").agg(F.min("least").alias("component_id")), "roots")
+    # stored apart, so that the rows of a large component can be split in this join
+    names = stored(named.join(broadcast_if(roots), "comp").select("cls", "comp", "component_id"), "names")
+    discard(own, comps, named, roots)
     full = table.where("n > 0").select("doc_id", "text_key", "n", "cls")
     empty = table.where("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
     found = full.join(names, "cls").select("doc_id", "text_key", "n", "component_id", "comp").unionByName(empty)
@@ -297,9 +298,10 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, top: int = TOP, bottom: int
     found = every.where("comp is not null")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     best = found.groupBy("comp").agg(F.min(order).alias("b"), F.count("*").alias("k")).where("k > 1").select("comp", "b")
-    twins = found.join(best, "comp").withColumn("out", ~order.eqNullSafe(F.col("b")))
+    best = stored(best, "best")
+    twins = found.join(broadcast_if(best), "comp").withColumn("out", ~order.eqNullSafe(F.col("b")))
     marks = stored(twins.groupBy("doc_id", "text_key").agg(F.max("out").alias("out"), F.count("*").alias("k")).where("out or k > 1"), "marks")
-    discard(every)
+    discard(every, best)
     marks = marks.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "out")
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
     if not (twice := marks.where("not out").drop("out")).isEmpty():

@@ -3,7 +3,8 @@
 Hosts whose pages the allow rules admit are trusted seeds, hosts whose pages the block rules refuse are
 blocked seeds, each by its share of such pages. Trust flows along host edges (links between hosts,
 and between a host and the domain above it) as personalised PageRank; distrust flows against them.
-A host is blocked where its distrust is larger than its trust.
+Both flow in the same rounds until what is left to come is too little to matter. A host is blocked
+where its distrust is larger than its trust.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, stored
+from .common import ascii_lower, broadcast_if, discard, stored, unused
 
 #: (host, start of the path, verdict)
 RULES = (
@@ -21,7 +22,9 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
+DAMPING, CUT_EVERY = 0.85, 5
+#: Rounds end once all scores together can grow by no more than this share of an average host's score.
+TOLERANCE = 0.01
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^\s"'<>]*)"""
 
 
@@ -64,60 +67,76 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): PageRank over ``edges`` (src, dst, w) that restarts at ``seeds`` (host, share).
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, score): PageRank over ``edges`` (kind, src, dst, w) that restarts at ``seeds`` (kind, host, share).
 
-    Shares sum to one. What flows into hosts without edges out is given up, so scores need not sum
-    to one. Each round is one join and one aggregation; lineage is cut every few rounds.
+    Each kind is a graph of its own, whose shares sum to one. What flows into hosts without edges out is
+    given up, so scores need not sum to one. They only grow from round to round, by at most ``damping``
+    of the growth before; so the growth over some rounds bounds all that is still to come. Each round
+    is one join and one aggregation; every few rounds the scores are stored and summed. The result
+    is a stored table.
     """
-    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    steps = stored(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "steps")
-    start = checkpointed(seeds.select("host", F.col("share").cast("double").alias("share")))
-    score = start.select("host", F.col("share").alias("score"))
-    for i in range(rounds):
-        flown = steps.join(score, steps["src"] == score["host"]).select(F.col("dst").alias("host"), (F.col("p") * F.col("score") * damping).alias("s"))
-        again = start.select("host", (F.col("share") * (1 - damping)).alias("s"))
-        score = flown.union(again).groupBy("host").agg(F.sum("s").alias("score"))
-        if i % CUT_EVERY == CUT_EVERY - 1:
-            score = checkpointed(score)
-    return score
-
-
-def _seeds(counts: DataFrame, column: str) -> DataFrame:
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
+    steps = stored(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("w") / F.col("total")).alias("p")), "steps")
+    start = stored(seeds.select("kind", "host", (F.col("share").cast("double") * (1 - damping)).alias("s")), "start")
+    score, before = stored(start.withColumnRenamed("s", "score"), "score"), 0.0
+    hosts = steps.select(F.col("kind"), F.col("src").alias("host")).union(steps.select("kind", "dst")).union(start.select("kind", "host")).distinct().count()
+    moves = broadcast_if(steps.withColumnsRenamed({"src": "host"}))
+    shrunk = damping**CUT_EVERY
+    while True:
+        last = score
+        for _ in range(CUT_EVERY):
+            flown = moves.join(score, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("p") * F.col("score")).alias("s"))
+            score = flown.union(start).groupBy("kind", "host").agg(F.sum("s").alias("score"))
+        score = stored(score, "score")
+        discard(last)
+        total = score.agg(F.sum("score")).first()[0] or 0.0
+        if (total - before) * shrunk / (1 - shrunk) * max(hosts, 1) <= tolerance:
+            discard(steps, start)
+            return score
+        before = total
+
+
+def _seeds(counts: DataFrame, column: str, kind: str) -> DataFrame:
     total = counts.agg(F.sum(column)).first()[0] or 0
-    return counts.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(max(total, 1))).alias("share"))
+    return counts.where(F.col(column) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(column) / F.lit(max(total, 1))).alias("share"))
 
 
-def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) for every host that trust or distrust reaches."""
+def host_scores(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) for every host that trust or distrust reaches, as a stored table."""
     judged = pages.select("host", matching_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("v"), "html")
-    marked = judged.where("host <> ''").groupBy("host").agg(*(F.sum((F.col("v") == v).cast("long")).alias(v) for v in ("allow", "block")))
+    marked = judged.where("host <> ''").groupBy("host").agg(*(F.sum(F.coalesce(F.col("v") == v, F.lit(False)).cast("long")).alias(v) for v in ("allow", "block")))
     counts = stored(marked, "seeds")
     edges = stored(host_edges(pages), "hosts")
-    trust = personalised_pagerank(edges, _seeds(counts, "allow"), damping, rounds).withColumnRenamed("score", "trust")
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = personalised_pagerank(against, _seeds(counts, "block"), damping, rounds).withColumnRenamed("score", "distrust")
-    return trust.join(distrust, "host", "full").select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    against = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "w").union(against)
+    flowed = personalised_pagerank(both, _seeds(counts, "allow", "trust").union(_seeds(counts, "block", "distrust")), damping, tolerance)
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
+    out = stored(flowed.groupBy("host").agg(of("trust"), of("distrust")), "scores")
+    discard(counts, edges, flowed)
+    return out
 
 
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, margin: float = 0.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, margin: float = 0.0) -> DataFrame:
     """``pages`` (url, html) with host, path, rule, trust, distrust and verdict (allow or block).
 
     A rule's verdict stands; without one, a host is blocked if distrust exceeds trust by more than
-    ``margin``, else allowed. A null url or one without `://` has empty host and path, no scores and
-    is allowed. Rows are judged one by one, so repeated rows repeat; of the columns added, those that
-    ``pages`` has already are replaced. Hosts' scores are joined to pages by host; the hosts' table is
-    small against the pages and a hot host's pages may be split.
+    ``margin``, else (ties too) allowed. A null url or one without `://` has empty host and path, no
+    scores and is allowed; null html has no links. Rows are judged one by one, so repeated rows repeat;
+    urls and pages of any length are read whole; an empty table gives no rows. Of the columns
+    added, those that ``pages`` has already are replaced; all others stay, whatever their names. Hosts'
+    scores are joined to pages by host: small ones are broadcast, else a hot host's pages may be split.
     """
     placed = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    scores = stored(host_scores(placed.select("host", "path", "html"), rules, damping, rounds), "scores")
-    found = scores.select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
-    joined = placed.join(found, (F.col("host") == F.col("_host")) & (F.col("host") != ""), "left")
+    scores = host_scores(placed.select("host", "path", "html"), rules, damping, tolerance)
+    of, good, bad = (unused(name, placed.columns) for name in ("of_host", "good", "bad"))
+    found = broadcast_if(scores.select(F.col("host").alias(of), F.col("trust").alias(good), F.col("distrust").alias(bad)))
+    joined = placed.join(found, (F.col("host") == F.col(of)) & (F.col("host") != ""), "left")
     match = matching_rule(F.col("host"), F.col("path"), rules)
-    trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("_trust", "_distrust"))
+    trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in (good, bad))
     verdict = F.coalesce(match["verdict"], F.when(distrust > trust + margin, "block").otherwise("allow"))
     new = {"rule": match["rule"], "trust": trust, "distrust": distrust, "verdict": verdict}
-    return joined.withColumns(new).drop("_host", "_trust", "_distrust")
+    return joined.withColumns(new).drop(of, good, bad)
 
 
 def op5_url_filters(spark, sf_dir: str) -> DataFrame:

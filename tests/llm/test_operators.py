@@ -367,22 +367,83 @@ def test_url_rules(spark):
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+def flow(edges, seeds, damping=0.85):
+    """Scores after so many rounds that nothing is left to come."""
+    total, score = {}, {}
+    for (a, _), w in edges.items():
+        total[a] = total.get(a, 0) + w
+    for _ in range(300):
+        new = {h: s * (1 - damping) for h, s in seeds.items()}
+        for (a, b), w in edges.items():
+            new[b] = new.get(b, 0) + damping * score.get(a, 0) * w / total[a]
+        score = new
+    return score
+
+
 def test_pagerank_against_brute_force(spark):
     rng = random.Random(4)
-    edges = [(f"h{rng.randrange(8)}", f"h{rng.randrange(8)}", float(rng.randint(1, 3))) for _ in range(25)]
-    merged = {}
-    for a, b, w in edges:
-        merged[a, b] = merged.get((a, b), 0) + w
+    edges = {}
+    for _ in range(25):
+        pair = f"h{rng.randrange(8)}", f"h{rng.randrange(8)}"
+        edges[pair] = edges.get(pair, 0) + float(rng.randint(1, 3))
     seeds = {"h1": 0.75, "h2": 0.25}
-    score, total = dict(seeds), {}
-    for (a, _), w in merged.items():
-        total[a] = total.get(a, 0) + w
-    for _ in range(6):
-        new = {h: s * 0.15 for h, s in seeds.items()}
-        for (a, b), w in merged.items():
-            new[b] = new.get(b, 0) + 0.85 * score.get(a, 0) * w / total[a]
-        score = new
-    frame = spark.createDataFrame([(a, b, w) for (a, b), w in merged.items()], "src string, dst string, w double")
-    start = spark.createDataFrame(list(seeds.items()), "host string, share double")
-    got = {r["host"]: r["score"] for r in url_filters.personalised_pagerank(frame, start, 0.85, 6).collect()}
-    assert all(abs(got.get(h, 0) - s) < 1e-9 for h, s in score.items())
+    frame = spark.createDataFrame([("x", a, b, w) for (a, b), w in edges.items()], "kind string, src string, dst string, w double")
+    start = spark.createDataFrame([("x", *s) for s in seeds.items()], "kind string, host string, share double")
+    got = {r["host"]: r["score"] for r in url_filters.personalised_pagerank(frame, start, 0.85, 1e-6).collect()}
+    want = flow(edges, seeds)
+    assert all(abs(got.get(h, 0) - s) < 1e-6 for h, s in want.items()) and set(got) == set(want)
+
+
+def test_urls_against_brute_force(spark):
+    """Hosts, links between them, seeds, scores and verdicts, over pages with absolute links and clashing columns."""
+    rng = random.Random(6)
+    hosts = ["a.example.com", "example.com", "b.com", "www.c.net", "c.net", "x.example.net", "d.org", "e.org", "f.io", "g.f.io", "h.dev", "i.dev", "lone.dev"]
+    pages = []
+    for i in range(80):
+        links = [rng.choice([f"http://{rng.choice(hosts[:-1])}/p{rng.randrange(3)}", "/relative", "HTTPS://F.io?x", "//c.net/y"]) for _ in range(rng.randrange(5))]
+        html = "".join(f"<A HREF='{x}'>" if rng.random() < 0.5 else f'<a class=z href="{x}">' for x in links)
+        pages.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['en/7', 'en/1', 'de/8x', 'de/2', 'es/', ''])}", html))
+    pages += [(80, None, "<a href='http://b.com'>"), (81, "no scheme", None), (82, "http://lone.dev/" + "y" * 100_000, None), pages[0]]
+
+    def split(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        return (ascii_lower(m[1]), m[2]) if m else ("", "")
+
+    def rule(host, path):
+        fits = [r for r in url_filters.RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        return max(fits, key=lambda r: len(r[0]) + len(r[1]), default=None)
+
+    edges, seen, counts = {}, set(), {"allow": {}, "block": {}}
+    for _, url, html in pages:
+        host, path = split(url)
+        if not host:
+            continue
+        seen.add(host)
+        for link in set(re.findall(r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^\s"'<>]*)""", html or "")):
+            to = split(link)[0]
+            if to and to != host:
+                edges[host, to] = edges.get((host, to), 0) + 1
+                seen.add(to)
+        if r := rule(host, path):
+            counts[r[2]][host] = counts[r[2]].get(host, 0) + 1
+    up = set()
+    for host in seen:
+        parts = host.split(".")
+        up |= {(".".join(parts[i:]), ".".join(parts[i + 1 :])) for i in range(len(parts) - 2)}
+    for a, b in up:
+        edges[a, b] = edges.get((a, b), 0) + 1
+        edges[b, a] = edges.get((b, a), 0) + 1
+    share = {v: {h: n / sum(c.values()) for h, n in c.items()} for v, c in counts.items()}
+    trust, distrust = flow(edges, share["allow"]), flow({(b, a): w for (a, b), w in edges.items()}, share["block"])
+    want = []
+    for i, url, _ in pages:
+        host, path = split(url)
+        r = rule(host, path)
+        want.append((i, host, path, r and r[0] + r[1], r[2] if r else "block" if distrust.get(host, 0) > trust.get(host, 0) else "allow"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("_host", "_trust", "of_host", "good", "rule", "kind", "src", "score")})
+    judged = url_filters.judge_urls(frame)
+    assert found(judged, "page_id", "host", "path", "rule", "verdict") == sorted(want, key=str)
+    assert {r[0] for r in judged.select("_host").collect()} == {"_host"} and {"kind", "src", "score", "good"} < set(judged.columns)
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in judged.collect() if r["host"]}
+    assert all(abs(t - trust.get(h, 0)) < 1e-3 and abs(d - distrust.get(h, 0)) < 1e-3 for h, (t, d) in got.items())
+    assert {"block", "allow"} == {v for *_, r, v in want if r is None}
