@@ -1,14 +1,17 @@
-"""License scans: TF-IDF cosine of a text's lines to license notices, then inheritance by directory.
+"""License scans: TF-IDF cosine of headers and license files to templates, then inheritance by directory.
 
-Every line of a text is a candidate header. A line that reaches the cosine with a notice must hold
-one of the notice's weightiest words (the others together stay below it), so one search for those
-words passes over almost all texts. A directory takes the license of its license files; a file
+A text is compared in units: its lines, its paragraphs, its runs of comment lines and, if it is a license
+file or short, all of it. A unit that reaches the cosine with a template must hold one of the
+template's weightiest words (the others together stay below it), so one search for those words passes
+over almost all texts. The units left become sparse vectors, rows of (unit, word, weight), which meet
+the templates' vectors by a join on words. A directory takes the license of its license files; a file
 without one of its own takes that of its nearest ancestor directory, found by joining directory
-paths. Everything is built from SQL functions.
+paths. Everything is built from DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -16,59 +19,53 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, stored
-
-#: Short notices by their SPDX names.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+from .common import broadcast_if, discard, stored, unused
+from .license_templates import TEMPLATES
+
 COSINE = 0.7
-#: A file with a notice and at most so many words is a license file.
-SHORT = 200
+#: A text with at most so many words is compared as a whole, and is a license file if it has a license.
+SHORT = 300
+#: Between paragraphs; and a run of lines that open with a comment mark.
+_BLANK = r"\n[^A-Za-z0-9]*\n"
+_COMMENT = r"(?m)(?:^[ \t]*+(?:/?\*|//|#|--|;|%|<!--)[^\n]*+\n?)++"
 
 
-def _words(text: str) -> list[str]:
+def words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def line_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
+def text_words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), "")
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """(w, n): the documents that hold each word; the empty word counts all documents."""
-    held = F.array_distinct(line_words(F.coalesce(F.col("text"), F.lit(""))))
+    held = F.array_distinct(text_words(F.col("text")))
     return docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
-def inverse_frequencies(counts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], int]:
-    """Each word's log((1 + N) / (1 + documents that hold it)), and N."""
-    count = {r["w"]: r["n"] for r in counts.where(F.col("w").isin(["", *vocabulary])).collect()}  # a row a word
-    n = count.get("", 0)
-    return {w: math.log((1 + n) / (1 + count.get(w, 0))) + 1e-6 for w in vocabulary}, n
+def inverse_frequency(n: int, held: int) -> float:
+    """A word's weight: held by ``held`` of ``n`` documents."""
+    return math.log((1 + n) / (1 + held)) + 1
 
 
-def _vectors(notices: dict[str, str], weight: dict[str, float]) -> dict[str, dict[str, float]]:
-    """Unit TF-IDF vectors of the notices."""
-    out = {}
-    for name, text in notices.items():
-        raw = {w: n * weight[w] for w, n in Counter(_words(text)).items()}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        out[name] = {w: v / norm for w, v in raw.items()}
-    return out
+def template_vectors(templates: dict[str, list[str]], counts: DataFrame) -> tuple[dict[tuple[str, int], dict[str, float]], int]:
+    """The unit vector of each template, by license and place; and the number of documents."""
+    vocabulary = sorted({w for texts in templates.values() for t in texts for w in words(t)})
+    held = {r["w"]: r["n"] for r in counts.where(F.col("w").isin(["", *vocabulary])).collect()}  # a row a word
+    n, out = held.get("", 0), {}
+    for name, texts in templates.items():
+        for i, text in enumerate(texts):
+            raw = {w: k * inverse_frequency(n, held.get(w, 0)) for w, k in Counter(words(text)).items()}
+            norm = math.sqrt(sum(v * v for v in raw.values()))
+            out[name, i] = {w: v / norm for w, v in raw.items()}
+    return out, n
 
 
-def _anchors(vectors: dict[str, dict[str, float]], cosine: float) -> list[str]:
-    """Words of which a line that is close enough to a notice must hold at least one."""
+def _anchors(vectors: list[dict[str, float]], cosine: float) -> list[str]:
+    """Words of which a unit that is close enough to a template must hold at least one."""
     found = set()
-    for vector in vectors.values():
+    for vector in vectors:
         rest = 1.0
         for word, v in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
             if rest < cosine * cosine:
@@ -78,56 +75,55 @@ def _anchors(vectors: dict[str, dict[str, float]], cosine: float) -> list[str]:
     return sorted(found)
 
 
-def notice_lines(docs: DataFrame, notices: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
-    """``docs`` with license (or null), score and line (its number from 0): the closest notice's.
+def _units(text: Column, whole: Column) -> Column:
+    """array<struct<i, x>>: a text's units, each with its place among its kind; first ones have 0."""
+    at = lambda xs: F.transform(xs, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    comments = F.transform(
+        F.regexp_extract_all(text, F.lit(_COMMENT), F.lit(0)), lambda x, i: F.struct(F.when(text.startswith(x), 0).otherwise(i + 1).alias("i"), x.alias("x"))
+    )
+    return F.concat(at(F.split(text, r"\n")), at(F.split(text, _BLANK)), comments, F.when(whole, at(F.array(text))).otherwise(F.array().cast("array<struct<i: int, x: string>>")))
+
+
+def closest_templates(texts: DataFrame, templates: dict[str, list[str]] | None = None, cosine: float = COSINE) -> DataFrame:
+    """(of_text, license, score, first, short) for each distinct text of ``texts`` (text, whole) with a license.
 
-    Ties: the first line, then the first name. Every word weighs by the documents that hold it. Lines that
-    hold an anchor are judged once each, whatever texts they stand in. Null text has no lines.
+    of_text: xxhash64 of the text. license and score are the closest template's, over all units of the
+    text; ``first`` tells that the unit opens the text, ``short`` that the text has at most SHORT words.
+    Ties: the first place, then the first name. A unit counts only if it shares two words with the
+    template. ``whole``: compare all of the text too, whatever its length. Null text has no units.
+    The result is a stored table.
     """
-    notices = notices or NOTICES
-    vocabulary = sorted({w for t in notices.values() for w in _words(t)})
-    counts = stored(document_counts(docs), "word_counts")
-    weight, n = inverse_frequencies(counts, vocabulary)
-    vectors = _vectors(notices, weight)
-    search = r"(?i)(?<![a-z0-9])(" + "|".join(_anchors(vectors, cosine)) + r")(?![a-z0-9])"
-    weights = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, weight[w])))
-    known = F.array(*map(F.lit, vocabulary))
-
-    lines = F.transform(F.split(F.col("text"), r"\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    hits = F.filter(lines, lambda s: s["x"].rlike(search))
-    of_text = F.xxhash64("text")
-    held = docs.where(F.col("text").rlike(search)).select(of_text.alias("_text"), F.explode(hits).alias("s"))
-    held = stored(held.select("_text", "s.i", "s.x", F.xxhash64("s.x").alias("of")), "held_lines")
-    apart = stored(held.select("of", "x").dropDuplicates(["of"]), "lines")
-
-    # the squared weights of words beyond the notices'
-    strange = F.filter(line_words(F.col("x")), lambda w: ~F.array_contains(known, w))
-    times = stored(apart.select("of", F.explode(strange).alias("w")).groupBy("of", "w").agg(F.count("*").alias("times")), "strange_words")
-    idf = counts.join(times.select("w").distinct(), "w", "left_semi").select("w", (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1e-6).alias("idf"))
-    idf = stored(idf, "idf")
-    squares = times.join(broadcast_if(idf, idf.count(), 64), "w").groupBy("of").agg(F.sum(F.pow(F.col("times") * F.col("idf"), F.lit(2.0))).alias("square"))
-
-    inside = F.filter(line_words(F.col("x")), lambda w: F.array_contains(known, w))
-    own = F.transform(F.array_distinct(F.col("_in")), lambda w: F.struct(w.alias("w"), (F.size(F.filter(F.col("_in"), lambda x: x == w)) * weights[w]).alias("v")))
-    square = F.aggregate("_own", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]) + F.coalesce(F.col("square"), F.lit(0.0))
-    scores = []
-    for name, vector in sorted(vectors.items()):
-        of = F.create_map(*(F.lit(x) for w, v in sorted(vector.items()) for x in (w, v)))
-        dot = F.aggregate("_own", F.lit(0.0), _adder(of))
-        scores.append(F.struct(F.round(-dot / F.sqrt(F.col("_square")), 9).alias("minus"), F.lit(name).alias("license")))
-    judged = apart.join(squares, "of", "left").withColumn("_in", inside).withColumn("_own", own).withColumn("_square", square)
-    judged = judged.select("of", F.array_min(F.array(*scores)).alias("b")).where(-F.col("b.minus") >= cosine)
-    judged = stored(judged.select("of", "b.*"), "judged_lines")
-
-    best = held.select("_text", "i", "of").join(broadcast_if(judged, judged.count(), 64), "of")
-    best = best.groupBy("_text").agg(F.min(F.struct("minus", "i", "license")).alias("_best"))
-    best = stored(best, "best_lines")
-    found = docs.withColumn("_text", of_text).join(broadcast_if(best, best.count(), 80), "_text", "left")
-    return found.withColumns({"license": F.col("_best.license"), "score": -F.col("_best.minus"), "line": F.col("_best.i")}).drop("_best", "_text")
-
-
-def _adder(of: Column):
-    return lambda a, x: a + x["v"] * F.coalesce(of[x["w"]], F.lit(0.0))
+    templates = templates or TEMPLATES
+    spark = texts.sparkSession
+    counts = stored(document_counts(texts), "word_counts")
+    vectors, n = template_vectors(templates, counts)
+    search = r"(?i)(?<![a-z0-9])(?:" + "|".join(_anchors(list(vectors.values()), cosine)) + r")(?![a-z0-9])"
+
+    text = F.col("text")
+    held = texts.where(text.rlike(search)).select(F.xxhash64(text).alias("of_text"), "text", (F.size(text_words(text)) <= SHORT).alias("short"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    hits = F.filter(_units(text, F.col("whole") | F.col("short")), lambda s: s["x"].rlike(search))
+    held = held.select("of_text", "short", F.explode(hits).alias("s")).select("of_text", "short", (F.col("s.i") == 0).alias("first"), F.col("s.i").alias("i"), F.xxhash64("s.x").alias("of"), F.col("s.x").alias("x"))
+    held = stored(held, "units")
+
+    # units as rows of words; equal units are judged once, whatever texts they stand in
+    terms = held.select("of", "x").dropDuplicates(["of"]).select("of", F.explode(text_words(F.col("x"))).alias("w")).groupBy("of", "w").agg(F.count("*").alias("k"))
+    terms = stored(terms, "terms")
+    weight = (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1).alias("idf")
+    idf = stored(counts.join(terms.select("w").distinct(), "w", "left_semi").select("w", weight), "idf")
+    terms = terms.join(broadcast_if(idf), "w").select("of", "w", (F.col("k") * F.col("idf")).alias("v"))
+    squares = terms.groupBy("of").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    rows = [{"license": name, "template": i, "w": w, "t": v} for (name, i), vector in vectors.items() for w, v in vector.items()]
+    rows = F.from_json(F.lit(json.dumps(rows)), "array<struct<license: string, template: int, w: string, t: double>>")
+    known = F.broadcast(spark.range(1).select(F.inline(rows)))  # the templates alone, of fixed size
+    dots = terms.join(known, "w").groupBy("of", "license", "template").agg(F.sum(F.col("v") * F.col("t")).alias("dot"), F.count("*").alias("shared")).where("shared > 1")
+    scored = dots.join(squares, "of").select("of", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= cosine)
+    judged = stored(scored.groupBy("of").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b")).select("of", "b.*"), "judged_units")
+
+    found = held.select("of_text", "short", "first", "i", "of").join(broadcast_if(judged), "of")
+    best = found.groupBy("of_text").agg(F.min(F.struct("minus", "i", "license")).alias("b"), F.bool_or("first").alias("first"), F.first("short").alias("short"))
+    best = stored(best.select("of_text", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), "first", "short"), "best_units")
+    discard(counts, held, idf, judged)
+    return best
 
 
 def _ancestors(directory: Column) -> Column:
@@ -136,31 +132,36 @@ def _ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir")))
 
 
-def scan_licenses(files: DataFrame, notices: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = None, cosine: float = COSINE) -> DataFrame:
     """``files`` (path, text) with own_license, score, license and license_dir.
 
-    own_license: of the text's closest line. license: the own one, else that of the nearest directory
-    upwards that has one (license_dir). A directory's license is that most of its license files have
-    (ties: the first name); a license file is one whose first line is a notice, that has a notice and at
-    most SHORT words, or that is named LICENSE, LICENCE or COPYING. A null path counts as the root directory; null text has no license of
-    its own; repeated rows are judged each; added columns replace those in ``files``.
+    own_license: of the text's unit closest to a template (``closest_templates``). license: the own one,
+    else that of the nearest directory upwards that has one (license_dir). A directory's license is
+    that most of its license files have (ties: the first name); a license file is one with a license
+    that opens with it, that has at most SHORT words, or that is named LICENSE, LICENCE or COPYING. A
+    null path counts as a file of the root directory; null or empty text has no license of its own; repeated
+    rows are judged each; texts of any length are compared whole, in their units; an empty table
+    stays empty. The four added columns replace those in ``files``; all others stay, whatever their names.
     """
-    directory = F.regexp_replace(F.coalesce(F.col("path"), F.lit("")), r"/?[^/]*$", "")
-    named = F.coalesce(F.col("path").rlike(r"(?i)(^|/)(licen[sc]e|copying)[^/]*$"), F.lit(False))
-    short = F.when(F.col("license").isNotNull(), F.size(line_words(F.col("text"))) <= SHORT)
-    lines = notice_lines(files, notices, cosine).withColumns({"_dir": directory, "_file": named | (F.col("line") == 0) | short})
-    slim = lines.select("_dir", "_file", "license")
-    votes = slim.where("_file and license is not null").groupBy("_dir", "license").count()
-    chosen = votes.groupBy("_dir").agg(F.min(F.struct((-F.col("count")).alias("n"), "license")).alias("m"))
-    chosen = stored(chosen.select(F.col("_dir").alias("dir"), F.col("m.license").alias("of_dir")), "licensed")
-    directories = stored(slim.select("_dir").distinct(), "directories")
-    above = directories.select("_dir", F.explode(_ancestors(F.col("_dir"))).alias("a")).select("_dir", "a.*")
-    near = above.join(chosen, "dir").groupBy("_dir").agg(F.max(F.struct("depth", "dir", "of_dir")).alias("m"))
-    near = stored(near.select("_dir", F.col("m.dir").alias("license_dir"), F.col("m.of_dir").alias("of_dir")), "inherited")
-    out = lines.drop("license_dir", "of_dir").join(broadcast_if(near, near.count(), 200), "_dir", "left")
-    own = F.col("license")
-    out = out.withColumns({"own_license": own, "license_dir": F.when(own.isNull(), F.col("license_dir")), "license": F.coalesce(own, F.col("of_dir"))})
-    return out.drop("_dir", "_file", "of_dir", "line")
+    path = F.coalesce(F.col("path"), F.lit(""))
+    directory = F.regexp_replace(path, r"/?[^/]*$", "")
+    named = path.rlike(r"(?i)(^|/)(licen[sc]e|copying)[^/]*$")
+    best = closest_templates(files.select("text", named.alias("whole")), templates, cosine)
+    own = broadcast_if(best)
+    votes = files.select(directory.alias("dir"), named.alias("named"), F.xxhash64("text").alias("of_text")).join(own, "of_text")
+    votes = votes.where("named or first or short").groupBy("dir", "license").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "license")).alias("m"))
+    chosen = stored(chosen.select("dir", F.col("m.license").alias("of_dir")), "licensed")
+    above = files.select(directory.alias("of")).distinct().select("of", F.explode(_ancestors(F.col("of"))).alias("a")).select("of", "a.*")
+    near = above.join(broadcast_if(chosen), "dir").groupBy("of").agg(F.max(F.struct("depth", "dir", "of_dir")).alias("m"))
+    near = stored(near.select("of", "m.dir", "m.of_dir"), "inherited")
+    discard(chosen)
+
+    a, b, c, d, e, f = (unused(x, files.columns) for x in ("own_text", "own_name", "own_score", "near_of", "near_dir", "near_name"))
+    out = files.join(own.select(F.col("of_text").alias(a), F.col("license").alias(b), F.col("score").alias(c)), F.xxhash64("text") == F.col(a), "left")
+    out = out.join(broadcast_if(near).select(F.col("of").alias(d), F.col("dir").alias(e), F.col("of_dir").alias(f)), directory == F.col(d), "left")
+    new = {"own_license": F.col(b), "score": F.col(c), "license_dir": F.when(F.col(b).isNull(), F.col(e)), "license": F.coalesce(b, f)}
+    return out.withColumns(new).drop(a, b, c, d, e, f)
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
