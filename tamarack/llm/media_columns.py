@@ -1,10 +1,11 @@
 """FLAC media columns: frames of Rice-coded residuals of linear predictors, decoded many at a time.
 
-``encode`` writes and ``decode`` reads mono FLAC streams of 8-bit samples: a STREAMINFO block with the
-MD5 of the samples, a SEEKTABLE, and frames with constant, verbatim, fixed or linear-predictor (LPC)
-subframes. Both work on the frames of a whole batch at once: the serial part, from one sample or
-one code to the next, is one loop of array steps over all frames, so Python never loops over samples.
-The decoder checks each header's CRC-8, each frame's CRC-16 and the stream's MD5.
+``encode`` writes mono FLAC streams of 8-bit samples: a STREAMINFO block with the MD5 of the samples, a
+SEEKTABLE, and frames with constant, verbatim, fixed or linear-predictor (LPC) subframes. ``decode`` reads
+these and ordinary streams: several channels and their pairings, up to 24 bits, wasted bits, Rice
+partitions and escapes. Both work on the frames of a whole batch at once: the serial part, from one
+sample or one code to the next, is one loop of array steps over all frames, so Python never loops
+over samples. The decoder checks each header's CRC-8, each frame's CRC-16 and the stream's MD5.
 """
 
 from __future__ import annotations
@@ -183,86 +184,165 @@ def _stream(payload: bytes, frames: list[bytes]) -> bytes:
 
 @dataclass
 class Decoded:
-    """The samples + 128 as bytes, and (sample offset, byte offset, samples) of each frame."""
+    """PCM bytes as in WAV files, (sample offset, byte offset, samples) of each frame, and the samples by channel.
+
+    Up to 8 bits PCM is unsigned bytes, beyond little-endian signed values of whole bytes; channels alternate.
+    """
 
     pcm: bytes
     frames: list[tuple[int, int, int]]
+    samples: np.ndarray
+    rate: int
+    bits: int
+
+
+@dataclass
+class _Info:
+    """What STREAMINFO says, and where the first frame begins."""
+
+    first: int
+    rate: int
+    channels: int
+    bits: int
+    total: int
+    md5: bytes
+
+
+@dataclass
+class _Frame:
+    """A frame's header: where frame and body begin, and (later) where the frame ends."""
+
+    begin: int
+    body: int
+    size: int
+    channels: int
+    bits: int
+    pairing: int
+    number: int
+    variable: bool
+    end: int = 0
 
 
 def decode(streams: list[bytes]) -> list[Decoded]:
-    """The samples of mono 8-bit FLAC streams that have a SEEKTABLE with a point for each frame.
+    """The samples of FLAC streams: 1 to 8 channels of 4 to 24 bits, with or without a SEEKTABLE.
 
-    Raises ValueError where a checksum or the format does not hold.
+    Frames are found by their sync code and header CRC-8, and end where the CRC-16 holds. Raises ValueError
+    where a checksum or the format does not hold.
     """
-    every, plans, md5s = [], [], []
-    shift = 0
+    data = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
+    infos, frames, of, shift = [], [], [], 0
     for i, s in enumerate(streams):
-        first, points, md5, total = _metadata(s)
-        md5s.append((md5, total))
-        ends = [o for _, o, _ in points[1:]] + [len(s) - first]
-        plans += [(i, sample, first + o, first + e, n, shift) for (sample, o, n), e in zip(points, ends, strict=True)]
-        every.append(s)
+        infos.append(_metadata(s))
+        own = _find_frames(data, shift + infos[i].first, shift + len(s), infos[i])
+        frames += own
+        of += [i] * len(own)
         shift += len(s)
-    data = np.frombuffer(b"".join(every) + bytes(16), np.uint8)
-    begin = np.array([p[2] + p[5] for p in plans], np.int64)
-    end = np.array([p[3] + p[5] for p in plans], np.int64)
-    size = np.array([p[4] for p in plans], np.int64)
-    if (crc(data, begin, end - begin, 16) != 0).any():  # the CRC of a frame with its own CRC is 0
-        raise ValueError("a frame's CRC-16 does not hold")
-    if (data[begin] != 0xFF).any() or (data[begin + 1] != 0xF8).any() or (data[begin + 2] != 0x70).any() or (data[begin + 3] != 0x02).any():
-        raise ValueError("a frame is not of the kind that is read here")
-    lead = data[begin + 4]
-    number = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, np.where(lead < 0xF8, 4, np.where(lead < 0xFC, 5, 6)))))
-    head = 4 + number + 2
-    if (crc(data, begin, head + 1, 8) != 0).any():
-        raise ValueError("a header's CRC-8 does not hold")
-    at = begin + 4 + number
-    if ((data[at].astype(np.int64) << 8 | data[at + 1]) + 1 != size).any():
-        raise ValueError("a frame's size differs from its seek point")
-    body = begin + head + 1
-    out: list[np.ndarray | None] = [None] * len(plans)
-    kind = data[body] >> 1
-    for i in np.flatnonzero(kind == 0):
-        out[i] = np.full(size[i], data[body[i] + 1] ^ 0x80, np.uint8)
-    for i in np.flatnonzero(kind == 1):
-        out[i] = data[body[i] + 1 : body[i] + 1 + size[i]] ^ 0x80
-    coded = np.flatnonzero(kind > 1)
-    for part in np.array_split(coded, max(1, int(size[coded].sum()) // GROUP)):
-        if len(part):
-            samples = _decode_frames(data, body[part] * 8, kind[part].astype(np.int64), size[part])
-            for i, x, n in zip(part, samples, size[part], strict=True):
-                out[i] = (x[:n] + 128).astype(np.uint8)
-    found: list[Decoded] = []
-    first = 0
-    for i, (md5, total) in enumerate(md5s):
+    decoded: list[np.ndarray] = []
+    start = 0
+    while start < len(frames):  # as many frames at a time as hold about GROUP samples
+        last = size = 0
+        while start + last < len(frames) and (not last or size + frames[start + last].size * frames[start + last].channels <= GROUP):
+            size += frames[start + last].size * frames[start + last].channels
+            last += 1
+        decoded += _decode_frames(data, frames[start : start + last])
+        start += last
+    found, first, shift = [], 0, 0
+    for i, info in enumerate(infos):
         last = first
-        while last < len(plans) and plans[last][0] == i:
+        while last < len(of) and of[last] == i:
             last += 1
-        pcm = np.concatenate(out[first:last])
-        if len(pcm) != total or hashlib.md5((pcm ^ 0x80).tobytes()).digest() != md5:
+        samples = np.concatenate(decoded[first:last], axis=1) if last > first else np.zeros((info.channels, 0), np.int32)
+        if info.total and samples.shape[1] != info.total:
+            raise ValueError("a stream has not as many samples as it says")
+        if any(info.md5) and hashlib.md5(_pcm(samples, info.bits, signed=True)).digest() != info.md5:
             raise ValueError("a stream's MD5 does not hold")
-        found.append(Decoded(pcm.tobytes(), [(p[1], p[2], p[4]) for p in plans[first:last]]))
-        first = last
+        offsets = np.cumsum([0] + [f.size for f in frames[first:last]])
+        points = [(int(offsets[j]), f.begin - shift - info.first, f.size) for j, f in enumerate(frames[first:last])]
+        found.append(Decoded(_pcm(samples, info.bits, signed=info.bits > 8), points, samples, info.rate, info.bits))
+        first, shift = last, shift + len(streams[i])
     return found
 
 
-def _metadata(s: bytes):
-    """(offset of the first frame, seek points, MD5, number of samples)."""
+def _pcm(samples: np.ndarray, bits: int, signed: bool) -> bytes:
+    width = -(-bits // 8)
+    flat = samples.T.astype("<i4").ravel()
+    if not signed:
+        flat = flat + (1 << bits - 1)
+    return np.ascontiguousarray(flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def _metadata(s: bytes) -> _Info:
     if s[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, last, points, info = 4, False, [], None
+    at, last, info = 4, False, b""
     while not last:
+        if at + 4 > len(s):
+            raise ValueError("the metadata is cut off")
         last, kind, n = bool(s[at] & 0x80), s[at] & 0x7F, int.from_bytes(s[at + 1 : at + 4], "big")
-        block = s[at + 4 : at + 4 + n]
         if kind == 0:
-            info = block
-        elif kind == 3:
-            points = [tuple(int.from_bytes(block[i + a : i + b], "big") for a, b in ((0, 8), (8, 16), (16, 18))) for i in range(0, n, 18)]
+            info = s[at + 4 : at + 4 + n]
         at += 4 + n
+    if len(info) != 34:
+        raise ValueError("a stream without STREAMINFO")
     packed = int.from_bytes(info[10:18], "big")
-    if (packed >> 36 & 31) != 7 or (packed >> 41 & 7) != 0 or not points:
-        raise ValueError("only mono streams of 8-bit samples with seek points are read")
-    return at, points, info[18:34], packed & ((1 << 36) - 1)
+    found = _Info(at, packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & ((1 << 36) - 1), info[18:34])
+    if not 4 <= found.bits <= 24:
+        raise ValueError("only samples of 4 to 24 bits are read")
+    return found
+
+
+#: Fixed values of the format: block sizes and sample sizes by their codes in a frame's header.
+_SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608} | {8 + i: 256 << i for i in range(8)}
+_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
+
+
+def _header_at(head: bytes, begin: int, info: _Info) -> _Frame | None:
+    """The frame header at the start of ``head`` (its place is ``begin``), if there is one whose CRC-8 holds."""
+    size_code, rate_code, pairing, bits_code = head[2] >> 4, head[2] & 15, head[3] >> 4, head[3] >> 1 & 7
+    if size_code == 0 or rate_code == 15 or pairing > 10 or bits_code in (3, 7) or head[3] & 1:
+        return None
+    lead, at = head[4], 5
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    if lead >= 0x80 and (more < 1 or more > 6):
+        return None
+    number = lead if not more else lead & (0x3F >> more)
+    for _ in range(more):
+        number, at = number << 6 | head[at] & 0x3F, at + 1
+    size = _SIZES.get(size_code, 0)
+    if size_code in (6, 7):
+        n = size_code - 5
+        size, at = int.from_bytes(head[at : at + n], "big") + 1, at + n
+    at += {12: 1, 13: 2, 14: 2}.get(rate_code, 0)
+    if _crc8(head[:at]) != head[at]:
+        return None
+    channels = pairing + 1 if pairing < 8 else 2
+    return _Frame(begin, begin + at + 1, size, channels, _BITS.get(bits_code, info.bits), pairing, number, bool(head[1] & 1))
+
+
+def _find_frames(data: np.ndarray, first: int, last: int, info: _Info) -> list[_Frame]:
+    """The frames between two places, end to end."""
+    syncs = np.flatnonzero((data[first : last - 1] == 0xFF) & (data[first + 1 : last] & 0xFE == 0xF8)) + first
+    heads = [h for at in syncs.tolist() if (h := _header_at(data[at : at + 18].tobytes(), at, info))]
+    if first < last and (not heads or heads[0].begin != first):
+        raise ValueError("no frame where one must begin")
+    begin = np.array([h.begin for h in heads], np.int64)
+    ends = np.append(begin[1:], last)[: len(begin)]
+    good = crc(data, begin, ends - begin, 16) == 0  # the CRC of a frame with its own CRC is 0
+    found, i = [], 0
+    while i < len(heads):
+        j, holds = i, good[i]
+        while not holds:  # what looked like a header was within the frame
+            j += 1
+            if j == len(heads):
+                raise ValueError("a frame's CRC-16 does not hold")
+            holds = crc(data, begin[i : i + 1], ends[j : j + 1] - begin[i], 16)[0] == 0
+        frame, frame.end = heads[i], int(ends[j])
+        expected = sum(f.size for f in found) if frame.variable else len(found)
+        if frame.channels != info.channels or frame.bits != info.bits or frame.number != expected:
+            raise ValueError("a frame differs from its stream, or is out of place")
+        found.append(frame)
+        i = j + 1
+    return found
 
 
 def _window(data: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -274,25 +354,92 @@ def _window(data: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (word >> (np.uint64(8) - (bit & 7).astype(np.uint64))) & np.uint64(0xFFFFFFFF)
 
 
-def _take(data: np.ndarray, bit: np.ndarray, n: int) -> np.ndarray:
-    return (_window(data, bit) >> np.uint64(32 - n)).astype(np.int64)
+def _take(data: np.ndarray, bit: np.ndarray, n) -> np.ndarray:
+    """The next ``n`` (up to 32, one number or one each) bits as numbers."""
+    return (_window(data, bit) >> (32 - np.asarray(n)).astype(np.uint64)).astype(np.int64)
+
+
+def _signed(value: np.ndarray, n) -> np.ndarray:
+    half = np.int64(1) << (np.maximum(n, 1) - 1)
+    return (value ^ half) - half
+
+
+def _decode_frames(data: np.ndarray, frames: list[_Frame]) -> list[np.ndarray]:
+    """The samples (channels x size) of each frame: one channel after the other, all frames at once."""
+    size = np.array([f.size for f in frames], np.int64)
+    channels = np.array([f.channels for f in frames])
+    pairing = np.array([f.pairing for f in frames])
+    bit = np.array([f.body for f in frames], np.int64) * 8
+    bits = np.array([f.bits for f in frames], np.int64)
+    out: list[list[np.ndarray]] = [[] for _ in frames]
+    for c in range(int(channels.max())):
+        at = np.flatnonzero(channels > c)
+        side = ((pairing[at] == 9) & (c == 0)) | (((pairing[at] == 8) | (pairing[at] == 10)) & (c == 1))
+        x, bit[at] = _subframes(data, bit[at], bits[at] + side, size[at])
+        for i, row in zip(at, x, strict=True):
+            out[i].append(row[: size[i]])
+    if (-(-bit // 8) != np.array([f.end for f in frames]) - 2).any():
+        raise ValueError("a frame does not end where its samples do")
+    return [_unpaired(np.stack(rows), f.pairing) for rows, f in zip(out, frames, strict=True)]
+
+
+def _unpaired(x: np.ndarray, pairing: int) -> np.ndarray:
+    """Left and right from left and side (8), side and right (9), middle and side (10)."""
+    if pairing == 8:
+        x[1] = x[0] - x[1]
+    elif pairing == 9:
+        x[0] = x[0] + x[1]
+    elif pairing == 10:
+        middle = x[0] * 2 + (x[1] & 1)
+        x = np.stack([(middle + x[1]) >> 1, (middle - x[1]) >> 1])
+    return x
+
+
+def _subframes(data: np.ndarray, bit: np.ndarray, bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of samples of one subframe each, and where these end."""
+    head, bit = _take(data, bit, 8), bit + 8
+    kind, wasted = head >> 1, head & 1
+    if (head >> 7).any():
+        raise ValueError("a subframe does not begin with a zero")
+    counted = np.flatnonzero(wasted)
+    while len(counted):  # zeros up to a one
+        counted = counted[_take(data, bit[counted], 1) == 0]
+        wasted[counted] += 1
+        bit[counted] += 1
+    bit = bit + (wasted > 0)
+    bits = bits - wasted
+    x = np.zeros((len(bit), int(size.max())), np.int64 if int(bits.max()) > 9 else np.int32)
+    at = np.flatnonzero(kind == 0)
+    x[at] = _signed(_take(data, bit[at], bits[at]), bits[at])[:, None]
+    bit[at] += bits[at]
+    for i in np.flatnonzero(kind == 1):
+        n, b = int(size[i]), int(bits[i])
+        begin = int(bit[i])
+        raw = np.unpackbits(data[begin >> 3 : (begin + n * b + 7) >> 3])[begin & 7 : (begin & 7) + n * b].reshape(n, b)
+        x[i, :n] = _signed(raw @ (1 << np.arange(b - 1, -1, -1, dtype=np.int64)), b)
+        bit[i] += n * b
+    at = np.flatnonzero(kind > 1)
+    if len(at):
+        part, bit[at] = _predicted(data, bit[at], kind[at], bits[at], size[at], x.dtype)
+        x[at, : part.shape[1]] = part
+    return (x << wasted[:, None].astype(x.dtype) if wasted.any() else x), bit
 
 
-def _decode_frames(data: np.ndarray, bit: np.ndarray, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rows of samples of frames with fixed or LPC subframes, all of one Rice partition."""
+def _predicted(data: np.ndarray, bit: np.ndarray, kind: np.ndarray, bits: np.ndarray, size: np.ndarray, number) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of samples of fixed or LPC subframes, and where these end."""
     lpc = kind >= 32
     order = np.where(lpc, (kind & 31) + 1, kind & 7)
-    if (~lpc & ((kind < 8) | (kind > 12))).any():
+    if (~lpc & ((kind < 8) | (kind > 12))).any() or (order > size).any():
         raise ValueError("a subframe is of a reserved kind")
     by = np.lexsort((order, lpc, -size))
     back = np.empty_like(by)
     back[by] = np.arange(len(by))
-    bit, lpc, order, size = bit[by] + 8, lpc[by], order[by], size[by]
-    x = np.zeros((len(bit), int(size.max())), np.int32)
+    bit, lpc, order, size, bits = bit[by], lpc[by], order[by], size[by], bits[by]
+    x = np.zeros((len(bit), int(size.max())), number)
     for j in range(int(order.max())):
         at = np.flatnonzero(order > j)
-        x[at, j] = ((_take(data, bit[at] + 8 * j, 8) ^ 0x80) - 0x80).astype(np.int32)
-    bit = bit + 8 * order
+        x[at, j] = _signed(_take(data, bit[at] + bits[at] * j, bits[at]), bits[at])
+    bit = bit + bits * order
     weights = np.zeros((len(bit), int(order.max()) or 1), np.int64)
     down = np.zeros(len(bit), np.int64)
     for i, w in enumerate(_FIXED):
@@ -300,76 +447,139 @@ def _decode_frames(data: np.ndarray, bit: np.ndarray, kind: np.ndarray, size: np
     at = np.flatnonzero(lpc)
     if len(at):
         precision, down[at] = _take(data, bit[at], 4) + 1, _take(data, bit[at] + 4, 5)
-        if (precision != 8).any():
-            raise ValueError("only predictors of 8 bits are read")
+        if (precision > 15).any() or (down[at] > 15).any():
+            raise ValueError("a predictor's precision or shift is reserved")
         for j in range(weights.shape[1]):
-            on = at[order[at] > j]
-            weights[on, j] = (_take(data, bit[on] + 9 + 8 * j, 8) ^ 0x80) - 0x80
-        bit[at] += 9 + 8 * order[at]
-    if (_take(data, bit, 6) != 0).any():
-        raise ValueError("only one Rice partition of 4-bit parameters is read")
-    k = _take(data, bit + 6, 4)
-    bit = bit + 10
+            on = order[at] > j
+            weights[at[on], j] = _signed(_take(data, bit[at[on]] + 9 + precision[on] * j, precision[on]), precision[on])
+        bit[at] += 9 + precision * order[at]
     codes = np.zeros_like(x)
-    _rice(data, bit, k, size - order, order, codes)
+    bit = _residual_codes(data, bit, order, size, codes)
     residual = (codes >> 1) ^ -(codes & 1)
     if not weights.any():
         x = np.where(np.arange(x.shape[1]) >= order[:, None], residual, x)
-        return x[back]
+        return x[back], bit[back]
     # one column after the other: all frames step forward together
     x, residual, live = np.ascontiguousarray(x.T), np.ascontiguousarray(residual.T), len(bit)
-    taps = np.ascontiguousarray(weights.T).astype(np.int32)
-    down = down.astype(np.int32)
+    taps = np.ascontiguousarray(weights.T).astype(number)
+    down = down.astype(number)
     for t in range(int(order.min()), x.shape[0]):
         while size[live - 1] <= t:
             live -= 1
-        guess = np.zeros(live, np.int32)
+        guess = np.zeros(live, number)
         for j in range(min(taps.shape[0], t)):
             guess += taps[j, :live] * x[t - 1 - j, :live]
         value = residual[t, :live] + (guess >> down[:live])
         x[t, :live] = np.where(order[:live] <= t, value, x[t, :live]) if t < taps.shape[0] else value
-    return np.ascontiguousarray(x.T)[back]
+    return np.ascontiguousarray(x.T)[back], bit[back]
 
 
-def _rice(data: np.ndarray, bit: np.ndarray, k: np.ndarray, counts: np.ndarray, order: np.ndarray, codes: np.ndarray) -> None:
-    """Fill row i of ``codes`` from column order[i] with counts[i] Rice codes of parameter k[i]."""
+def _residual_codes(data: np.ndarray, bit: np.ndarray, order: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Fill row i of ``codes`` from column order[i] with its Rice codes, in partitions; returns where they end."""
+    method, depth = _take(data, bit, 2), _take(data, bit + 2, 4)
+    if (method > 1).any() or (size % (1 << depth)).any() or ((size >> depth) < order).any():
+        raise ValueError("a residual is of a reserved kind")
+    width = 4 + method
+    counts = size - order
     by = np.argsort(-counts, kind="stable")
-    pos, low, n = bit[by].astype(np.int64), k[by], counts[by]
-    flat, base = codes.ravel(), by * codes.shape[1] + order[by]
-    live = len(pos)
+    pos, n, wide = (bit + 6)[by].astype(np.int64), counts[by], width[by]
+    low, raw = np.zeros(len(by), np.int64), np.full(len(by), -1)
+    # the codes at which partitions begin: the first one is shorter by the predictor's warm-up
+    own = np.repeat(np.arange(len(by)), 1 << depth[by])
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(1 << depth[by]) - (1 << depth[by]), 1 << depth[by])
+    when = np.maximum(nth * (size >> depth)[by][own] - order[by][own], 0)
+    in_order = np.lexsort((nth, when))
+    own, when = own[in_order], when[in_order]
+    flat, base = codes.reshape(-1), by * codes.shape[1] + order[by]
+    live, next_start, escapes = len(pos), 0, False
+
+    def begin(step: int, next_start: int) -> int:
+        while next_start < len(when) and when[next_start] <= step:
+            last = next_start + int(np.searchsorted(when[next_start:], when[next_start], side="right"))
+            at = own[next_start:last]
+            next_start = last
+            for one in _once(at):
+                low[one], pos[one] = _take(data, pos[one], wide[one]), pos[one] + wide[one]
+                escaped = one[low[one] == (1 << wide[one]) - 1]
+                raw[one] = -1
+                raw[escaped], pos[escaped] = _take(data, pos[escaped], 5), pos[escaped] + 5
+        return next_start
+
     for step in range(int(n[0]) if live else 0):
+        if next_start < len(when) and when[next_start] <= step:
+            next_start = begin(step, next_start)
+            escapes = bool((raw >= 0).any())
         while n[live - 1] <= step:
             live -= 1
-        here, own = pos[:live], low[:live]
-        word = _window(data, here)
-        q = 32 - np.frexp(word.astype(np.float64))[1].astype(np.int64)
-        if (word == 0).any():  # a quotient of 32 or more
-            far = np.flatnonzero(word == 0)
-            while len(far):
-                q[far] = 32
-                pos[far] += 32
-                more = _window(data, pos[far])
-                q[far] = 32 - np.frexp(more.astype(np.float64))[1]
-                flat[base[far] + step] += (32 << low[far]).astype(np.int32)
-                far = far[more == 0]
-            here = pos[:live]
-        tail = here + q + 1
-        rest = _window(data, tail) >> (np.uint64(32) - own.astype(np.uint64))
-        flat[base[:live] + step] += ((q << own) | rest.astype(np.int64)).astype(np.int32)
-        pos[:live] = tail + own
+        if escapes:
+            at = np.flatnonzero(raw[:live] >= 0)
+            value = np.where(raw[at] > 0, _signed(_take(data, pos[at], np.maximum(raw[at], 1)), raw[at]), 0)
+            flat[base[at] + step] = np.where(value < 0, -2 * value - 1, 2 * value)
+            pos[at] += raw[at]
+            rest = np.flatnonzero(raw[:live] < 0)
+            pos[rest] = _rice_step(data, pos[rest], low[rest], flat, base[rest] + step)
+        else:
+            pos[:live] = _rice_step(data, pos[:live], low[:live], flat, base[:live] + step)
+    begin(int(size.max()) + 1, next_start)  # empty partitions at the end
+    end = np.empty_like(pos)
+    end[by] = pos
+    return end
+
+
+def _once(at: np.ndarray):
+    """``at`` in parts without repeats: partitions of one frame that begin together come one after the other."""
+    while len(at):
+        _, first = np.unique(at, return_index=True)
+        yield at[np.sort(first)]
+        at = np.delete(at, first)
+
+
+def _rice_step(data: np.ndarray, pos: np.ndarray, low: np.ndarray, flat: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Read one code of parameter ``low`` at each place into ``flat``; returns the places after them."""
+    word = _window(data, pos)
+    q = 32 - np.frexp(word.astype(np.float64))[1].astype(np.int64)
+    if (word == 0).any():  # a quotient of 32 or more
+        far = np.flatnonzero(word == 0)
+        pos = pos.copy()
+        while len(far):
+            q[far] = 32
+            pos[far] += 32
+            if (pos[far] >> 3 >= len(data) - 8).any():
+                raise ValueError("a code does not end")
+            more = _window(data, pos[far])
+            q[far] = 32 - np.frexp(more.astype(np.float64))[1]
+            flat[to[far]] += (np.int64(32) << low[far]).astype(flat.dtype)
+            far = far[more == 0]
+    tail = pos + q + 1
+    rest = _window(data, tail) >> (np.uint64(32) - low.astype(np.uint64))
+    flat[to] += ((q << low) | rest.astype(np.int64)).astype(flat.dtype)
+    return tail + low
+
+
+def features(samples: np.ndarray) -> tuple[int, int, int, float]:
+    """Energy (sum of squares), zero crossings, peak and entropy (bits a sample) of one channel's samples."""
+    wide = samples.astype(np.int64)
+    sign = np.sign(wide)
+    sign = sign[sign != 0]
+    share = np.unique(wide, return_counts=True)[1] / max(1, len(wide))
+    return int((wide * wide).sum()), int((sign[1:] != sign[:-1]).sum()), int(np.abs(wide).max(initial=0)), float(round(-(share * np.log2(share)).sum() + 0.0, 6))
 
 
 def flac_columns(docs: DataFrame) -> DataFrame:
-    """(doc_id, media, pcm, blocks): each text's UTF-8 bytes, padded, as a FLAC stream and read back.
+    """(doc_id, media, pcm, blocks, features): each text's UTF-8 bytes, padded, as a FLAC stream and read back.
 
     The payload is the text's bytes with zeros up to a positive multiple of PAD (null: as empty). media:
     the stored stream; pcm: the payload decoded from it; blocks: array<struct<sample, byte, n>>, the
-    seekable offsets of its frames. Equal texts give equal columns; rows are independent, so repeated
-    rows and ids and other columns do not matter. No shuffle.
+    seekable offsets of its frames; features: struct<energy, crossings, peak, entropy> of the samples
+    decoded. Equal texts give equal columns; rows are independent, so ties, repeated rows and ids and
+    other columns do not matter; long texts are coded whole, a bounded number of samples at a
+    time; an empty table stays empty. No shuffle.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     block = pa.list_(pa.struct([("sample", pa.int64()), ("byte", pa.int64()), ("n", pa.int32())]))
 
+    measure = pa.struct([("energy", pa.int64()), ("crossings", pa.int64()), ("peak", pa.int32()), ("entropy", pa.float64())])
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             texts = [t or b"" for t in whole.column("text").cast(pa.large_binary()).to_pylist()]
@@ -382,11 +592,12 @@ def flac_columns(docs: DataFrame) -> DataFrame:
                 media = encode(payloads)
                 read = decode(media)
                 points = [[{"sample": a, "byte": b, "n": n} for a, b, n in d.frames] for d in read]
-                columns = [whole.column("doc_id").slice(first, last - first), pa.array(media, pa.binary()), pa.array([d.pcm for d in read], pa.binary()), pa.array(points, block)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "media", "pcm", "blocks"])
+                measured = [dict(zip(measure.names, features(d.samples[0]), strict=True)) for d in read]
+                columns = [whole.column("doc_id").slice(first, last - first), pa.array(media, pa.binary()), pa.array([d.pcm for d in read], pa.binary()), pa.array(points, block), pa.array(measured, measure)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "media", "pcm", "blocks", "features"])
                 first, size = last, 0
 
-    return docs.select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, media binary, pcm binary, blocks array<struct<sample: long, byte: long, n: int>>")
+    return docs.select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, media binary, pcm binary, blocks array<struct<sample: long, byte: long, n: int>>, features struct<energy: long, crossings: long, peak: int, entropy: double>")
 
 
 def op8_media_columns(spark, sf_dir: str) -> DataFrame:
@@ -394,7 +605,7 @@ def op8_media_columns(spark, sf_dir: str) -> DataFrame:
     # the text's own length rides along as part of the key, as a text may itself end in zeros
     sized = docs.select(F.struct("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).alias("doc_id"), "text")
     stored = flac_columns(sized).withColumnRenamed("doc_id", "key")
-    feature = F.concat(F.lit("blocks="), F.size("blocks").cast("string"), F.lit(";last="), F.element_at("blocks", -1)["sample"].cast("string"), F.lit(";at="), F.element_at("blocks", -1)["byte"].cast("string"))
+    feature = F.concat_ws(";", *(F.concat(F.lit(f"{c}="), F.col(f"features.{c}").cast("string")) for c in ("energy", "crossings", "peak", "entropy")))
     return stored.select(
         "key.doc_id",
         F.col("key.n").alias("n_bytes"),

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,103 @@ def test_flac():
             media_columns.decode([bytes(bad)])
 
 
+def bits_of(value, n):
+    return format(value & ((1 << n) - 1), f"0{n}b") if n else ""
+
+
+def crc_of(data, width, poly):
+    state = 0
+    for byte in data:
+        state ^= byte << (width - 8)
+        for _ in range(8):
+            state = (state << 1 ^ (poly if state >> (width - 1) & 1 else 0)) & ((1 << width) - 1)
+    return state
+
+
+def coded(x, bits, order, weights, shift, depth, precision=None, method=0, wasted=0, escape=()):
+    """A subframe, bit by bit: fixed (precision None) or LPC, Rice partitions, some escaped."""
+    kind = 8 + order if precision is None else 31 + order
+    out = "0" + bits_of(kind, 6) + ("1" + "0" * (wasted - 1) + "1" if wasted else "0")
+    x = [v >> wasted for v in x]
+    bits -= wasted
+    out += "".join(bits_of(v, bits) for v in x[:order])
+    if precision is not None:
+        out += bits_of(precision - 1, 4) + bits_of(shift, 5) + "".join(bits_of(w, precision) for w in weights)
+    left = [x[t] - (sum(w * x[t - 1 - j] for j, w in enumerate(weights)) >> shift) for t in range(order, len(x))]
+    out += bits_of(method, 2) + bits_of(depth, 4)
+    at = 0
+    for part in range(1 << depth):
+        own = left[at : at + (len(x) >> depth) - (order if part == 0 else 0)]
+        at += len(own)
+        if part in escape:
+            n = max((max(v.bit_length(), (~v).bit_length()) + 1 for v in own if v), default=0)
+            out += "1" * (4 + method) + bits_of(n, 5) + "".join(bits_of(v, n) for v in own)
+            continue
+        k = part % 3 + (17 if method else 2)
+        out += bits_of(k, 4 + method)
+        for v in own:
+            u = -2 * v - 1 if v < 0 else 2 * v
+            out += "0" * (u >> k) + "1" + bits_of(u, k)
+    return out
+
+
+def plain_frame(number, size, pairing, bits_code, subframes, variable=False):
+    head = bytes([0xFF, 0xF9 if variable else 0xF8, 0x70, pairing << 4 | bits_code << 1]) + media_columns._utf8(number) + (size - 1).to_bytes(2, "big")
+    head += bytes([crc_of(head, 8, 0x07)])
+    body = "".join(subframes)
+    body += "0" * (-len(body) % 8)
+    frame = head + int(body, 2).to_bytes(len(body) // 8, "big")
+    return frame + crc_of(frame, 16, 0x8005).to_bytes(2, "big")
+
+
+def plain_stream(frames, samples, bits, rate=44100, md5=True):
+    width = -(-bits // 8)
+    pcm = b"".join((int(v) & ((1 << 8 * width) - 1)).to_bytes(width, "little") for at in zip(*samples, strict=True) for v in at)
+    packed = rate << 44 | len(samples) - 1 << 41 | bits - 1 << 36 | len(samples[0])
+    info = (16).to_bytes(2, "big") + (4096).to_bytes(2, "big") + bytes(6) + packed.to_bytes(8, "big") + (hashlib.md5(pcm).digest() if md5 else bytes(16))
+    comment = b"\x84" + (5).to_bytes(3, "big") + b"\xff\xf8abc"
+    return b"fLaC\x00" + len(info).to_bytes(3, "big") + info + comment + b"".join(frames), pcm
+
+
+def test_ordinary_flac_streams():
+    """Stereo pairings, 16 and 24 bits, partitions, escapes, wasted bits, variable blocks, no seek table."""
+    rng = random.Random(9)
+    walk = [0]
+    for _ in range(511):
+        walk.append(max(-30000, min(30000, walk[-1] + rng.randint(-300, 300))))
+    left, right = walk[:256], [v + rng.randint(-5, 5) for v in walk[:256]]
+    side = [a - b for a, b in zip(left, right, strict=True)]
+    middle = [(a + b) >> 1 for a, b in zip(left, right, strict=True)]
+    fixed2 = lambda x, b, **more: coded(x, b, 2, (2, -1), 0, 2, **more)
+    lpc = lambda x, b, **more: coded(x, b, 3, (1500, -700, 210), 10, 3, precision=12, **more)
+    for pairing, a, b in [(1, left, right), (8, left, side), (9, side, right), (10, middle, side)]:
+        widths = {8: (16, 17), 9: (17, 16), 10: (16, 17)}.get(pairing, (16, 16))
+        frames = [plain_frame(i, 128, pairing, 4, [fixed2(a[128 * i :][:128], widths[0], escape=(1,)), lpc(b[128 * i :][:128], widths[1], method=i)]) for i in range(2)]
+        stream, pcm = plain_stream(frames, [left, right], 16)
+        got = media_columns.decode([stream])[0]
+        assert got.pcm == pcm and got.samples.tolist() == [left, right] and (got.rate, got.bits) == (44100, 16)
+        assert [f[0] for f in got.frames] == [0, 128] and [f[1] for f in got.frames] == [0, len(frames[0])]
+    even = [v * 8 for v in walk[:192]]
+    verbatim = "00000010" + "".join(bits_of(v, 24) for v in walk[192:200])
+    constant = "00000000" + bits_of(-7, 24)
+    frames = [plain_frame(0, 192, 0, 0, [coded(even, 24, 1, (1,), 0, 4, wasted=3)], True), plain_frame(192, 8, 0, 6, [verbatim], True), plain_frame(200, 100, 0, 6, [constant], True)]
+    want = even + walk[192:200] + [-7] * 100
+    for md5 in (True, False):
+        stream, pcm = plain_stream(frames, [want], 24, md5=md5)
+        many = media_columns.decode([stream, media_columns.encode([b"between" * 30])[0], stream])
+        assert [d.samples.tolist() for d in many[::2]] == [[want]] * 2 and many[0].pcm == pcm and many[1].pcm == b"between" * 30
+    for at in (len(stream) - 4, len(stream) - 40, 46 + 9 + 3, 10_000):
+        bad = bytearray(stream)
+        if at < len(bad):
+            bad[at] ^= 16
+        else:
+            bad += frames[0]  # a frame out of place
+        with pytest.raises(ValueError):
+            media_columns.decode([bytes(bad)])
+    x = [3, -3, 0, 5, 5, -1]
+    assert media_columns.features(np.array(x)) == (69, 3, 5, 2.251629) and media_columns.features(np.zeros(4, int)) == (0, 0, 0, 0.0)
+
+
 def test_media_columns(docs, texts):
     got = {r["doc_id"]: r for r in media_columns.flac_columns(docs).collect()}
     for i, t in enumerate(texts):
@@ -258,6 +356,12 @@ def test_media_columns(docs, texts):
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert hashlib.sha256(bytes(got[i]["pcm"])).digest() == hashlib.sha256(payload).digest()
         assert [b["sample"] for b in got[i]["blocks"]] == list(range(0, len(payload), media_columns.BLOCK))
+        x = [b - 128 for b in payload]
+        signs = [v > 0 for v in x if v]
+        counts = [x.count(v) / len(x) for v in set(x)]
+        f = got[i]["features"]
+        assert (f["energy"], f["peak"]) == (sum(v * v for v in x), max(map(abs, x))) and f["crossings"] == sum(a != b for a, b in zip(signs, signs[1:], strict=False))
+        assert abs(f["entropy"] + sum(c * math.log2(c) for c in counts)) < 1e-5
 
 
 def test_mixing(spark, docs):
@@ -336,25 +440,164 @@ def test_permutation_against_brute_force(spark):
     assert sorted(((r["source"], r["epoch"], r["block"], r["place"], r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted(want, key=str)
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+APACHE_FILE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+"""
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+ISC_FILE = """Copyright 2020 Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+import os
+""" + "print(os.name)\n" * 400
+APACHE_HEADER = """/*
+ * Copyright 2019 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+package a;
+"""
+BSD_OPENING = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+
+
 def test_licenses(spark):
-    mit, apache = license_scan.NOTICES["MIT"], license_scan.NOTICES["Apache-2.0"]
-    rows = [("a/LICENSE", mit), ("a/b/x.py", "code\nmore code"), ("a/b/c/LICENSE", apache), ("a/b/c/d/y.py", None), ("z/w.py", "nothing"), (None, ""), ("z/v.py", "x " * 300 + "\n" + apache + "\nend")]
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    bsd2, bsd3 = license_scan.TEMPLATES["BSD-2-Clause"][1], license_scan.TEMPLATES["BSD-3-Clause"][2]
+    rows = [("a/LICENSE", mit), ("a/b/x.py", "code\nmore code"), ("a/b/c/LICENSE", apache), ("a/b/c/d/y.py", None), ("z/w.py", "nothing"), (None, ""), ("z/v.py", "x " * 400 + "\n" + apache + "\nend")]
     rows += [(f"n/{i}", "words of a text the under version") for i in range(30)]
-    files = spark.createDataFrame(rows, "path string, text string")
-    got = {r["path"]: (r["own_license"], r["license"], r["license_dir"]) for r in license_scan.scan_licenses(files).collect()}
+    rows += [("m/LICENSE", MIT_FILE), ("p/LICENSE", APACHE_FILE), ("g/COPYING", GPL_FILE), ("i/LICENSE", ISC_FILE), ("h/gpl.py", GPL_HEADER), ("h/apache.java", APACHE_HEADER)]
+    rows += [("b/opening", BSD_OPENING), ("b2/LICENSE", bsd2), ("b3/LICENSE", bsd3), ("s/only", "MIT"), ("p/q/r", "no notice here")]
+    rows += [("long/a.txt", ("word and more\n" * 60_000) + mit + "\n" + "tail of text\n" * 10)]
+    files = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit(c) for c in ("line", "_dir", "of_dir", "own_text", "first", "score", "w")})
+    scanned = license_scan.scan_licenses(files)
+    assert {"line", "_dir", "of_dir", "own_text", "first", "w"} < set(scanned.columns) and {r["_dir"] for r in scanned.select("_dir").collect()} == {"_dir"}
+    got = {r["path"]: (r["own_license"], r["license"], r["license_dir"]) for r in scanned.collect()}
     assert got["a/LICENSE"][1] == "MIT" and got["a/b/x.py"] == (None, "MIT", "a")
     assert got["a/b/c/d/y.py"] == (None, "Apache-2.0", "a/b/c") and got["z/v.py"][0] == "Apache-2.0"
     assert got["z/w.py"] == (None, None, None) and got[None] == (None, None, None) and got["n/3"][0] is None
+    own = {path: x[0] for path, x in got.items()}
+    assert [own[p] for p in ("m/LICENSE", "p/LICENSE", "g/COPYING", "i/LICENSE", "h/gpl.py", "h/apache.java")] == ["MIT", "Apache-2.0", "GPL-3.0", "ISC", "GPL-3.0", "Apache-2.0"]
+    assert [own[p] for p in ("b/opening", "b2/LICENSE", "b3/LICENSE", "s/only", "long/a.txt")] == [None, "BSD-2-Clause", "BSD-3-Clause", None, "MIT"]
+    assert got["p/q/r"] == (None, "Apache-2.0", "p")
     assert license_scan.scan_licenses(files.limit(0)).count() == 0
 
 
 def test_common_words_do_not_hide_a_notice(spark):
     filler = [("this file is by the authors, copyright 2020 foo",)] * 3000
     notes = ["Released under the MIT License by the authors.", "Copyright 2020 Foo. Released under the MIT License.", "This file is licensed under the Apache License, Version 2.0."]
-    texts = spark.createDataFrame([*filler, *((f"{n}\ncode",) for n in notes), ("the MIT zebra quagga okapi License",), (None,)], "text string")
-    got = {r["text"]: (r["license"], r["line"]) for r in license_scan.notice_lines(texts).collect()}
-    assert [got[f"{n}\ncode"] for n in notes] == [("MIT", 0), ("MIT", 0), ("Apache-2.0", 0)]
-    assert {v for t, v in got.items() if not t or "Released" not in t and "licensed" not in t} == {(None, None)}
+    texts = spark.createDataFrame([*filler, *((f"{n}\ncode",) for n in notes), ("the MIT zebra quagga okapi License",), (None,)], "path string").select(F.col("path").alias("text"), F.lit(None).cast("string").alias("path"))
+    got = {r["text"]: r["own_license"] for r in license_scan.scan_licenses(texts).collect()}
+    assert [got[f"{n}\ncode"] for n in notes] == ["MIT", "MIT", "Apache-2.0"]
+    assert {v for t, v in got.items() if not t or "Released" not in t and "licensed" not in t} == {None}
+
+
+def test_cosines_and_inheritance_against_brute_force(spark):
+    """Every unit of every text against every template, with plain dictionaries; then each path's ancestors."""
+    templates = {"A-1": ["red green blue license", "one two three four five six seven eight nine"], "B-2": ["red green license two", "alpha beta gamma"]}
+    rng = random.Random(8)
+    pool = "red green blue license one two three four five six seven alpha beta gamma and of the to".split()
+    rows = []
+    for i in range(120):
+        lines = [rng.choice(["", "# ", "// ", " * "]) + " ".join(rng.choice(pool) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(7))]
+        folder = "/".join(rng.choice("abc") for _ in range(rng.randrange(4)))
+        rows.append((f"{folder}/{rng.choice(['LICENSE', 'x.py', 'y.md'])}{i}".strip("/"), "\n".join(lines) if i % 11 else None))
+    rows += [(None, "red green blue license"), ("a/x", "filler " * 400 + "\nalpha beta gamma\n"), rows[5]]
+    count, n = {}, len(rows)
+    for _, t in rows:
+        for w in set(license_scan.words(t or "")):
+            count[w] = count.get(w, 0) + 1
+
+    def vector(text):
+        out = {}
+        for w in license_scan.words(text):
+            out[w] = out.get(w, 0) + math.log((1 + n) / (1 + count.get(w, 0))) + 1
+        return out
+
+    def cosine(x, y):
+        return sum(x[w] * y[w] for w in x if w in y) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    def judge(text, whole):
+        short = len(license_scan.words(text)) <= license_scan.SHORT
+        units = [*enumerate(text.split("\n")), *enumerate(re.split(r"\n[^A-Za-z0-9]*\n", text))]
+        run, begin = [], None
+        for j, line in enumerate([*text.split("\n"), "end"]):
+            if re.match(r"[ \t]*(/?\*|//|#|--|;|%|<!--)", line):
+                run.append(line)
+                begin = j if begin is None else begin
+            elif run:
+                units.append((0 if text.startswith("\n".join(run)) else begin + 1, "\n".join(run)))
+                run, begin = [], None
+        units += [(0, text)] if short or whole else []
+        best, first = None, False
+        for i, unit in units:
+            v = vector(unit)
+            for name, texts in templates.items():
+                for t in texts:
+                    if len(set(v) & set(vector(t))) > 1 and (s := round(cosine(v, vector(t)), 9)) >= 0.7:
+                        best = min(best or (-s, name), (-s, name), key=lambda b: b[0])
+                        first |= i == 0
+        return best, first, short
+
+    folder = lambda path: "/".join((path or "").split("/")[:-1])
+    named = lambda path: bool(re.search(r"(?i)(^|/)(licen[sc]e|copying)[^/]*$", path or ""))
+    votes, own = {}, []
+    for path, t in rows:
+        best, first, short = judge(t or "", named(path))
+        own.append(best)
+        if best and (named(path) or first or short):
+            votes.setdefault(folder(path), []).append(best[1])
+    want = []
+    for (path, _), best in zip(rows, own, strict=True):
+        parts, up = folder(path).split("/"), None
+        for k in range(len(parts), -1, -1):
+            if (d := "/".join(parts[:k])) in votes:
+                up = d
+                break
+        of_dir = min(votes[up], key=lambda x: (-votes[up].count(x), x)) if up is not None else None
+        want.append((path, round(-best[0], 6) if best else None, best is not None, up if not best else None, None if best else of_dir))
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = license_scan.scan_licenses(files, templates)
+    got = [(r["path"], round(r["score"], 6) if r["score"] is not None else None, r["own_license"] is not None, r["license_dir"], None if r["own_license"] else r["license"]) for r in got.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_url_rules(spark):
