@@ -23,6 +23,8 @@ from .common import broadcast_if, discard, stored, unused
 from .license_templates import TEMPLATES
 
 COSINE = 0.7
+#: The weight of a word that all documents hold.
+FLOOR = 0.1
 #: A text with at most so many words is compared as a whole, and is a license file if it has a license.
 SHORT = 300
 #: Between paragraphs; and a run of lines that open with a comment mark.
@@ -46,7 +48,12 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 def inverse_frequency(n: int, held: int) -> float:
     """A word's weight: held by ``held`` of ``n`` documents."""
-    return math.log((1 + n) / (1 + held)) + 1
+    return math.log((1 + n) / (1 + held)) + FLOOR
+
+
+def times(k: int) -> float:
+    """What a word counts that a unit holds ``k`` times: little more than once, as else articles would lead."""
+    return 1 + math.log(k)
 
 
 def template_vectors(templates: dict[str, list[str]], counts: DataFrame) -> tuple[dict[tuple[str, int], dict[str, float]], int]:
@@ -56,7 +63,7 @@ def template_vectors(templates: dict[str, list[str]], counts: DataFrame) -> tupl
     n, out = held.get("", 0), {}
     for name, texts in templates.items():
         for i, text in enumerate(texts):
-            raw = {w: k * inverse_frequency(n, held.get(w, 0)) for w, k in Counter(words(text)).items()}
+            raw = {w: times(k) * inverse_frequency(n, held.get(w, 0)) for w, k in Counter(words(text)).items()}
             norm = math.sqrt(sum(v * v for v in raw.values()))
             out[name, i] = {w: v / norm for w, v in raw.items()}
     return out, n
@@ -108,9 +115,9 @@ def closest_templates(texts: DataFrame, templates: dict[str, list[str]] | None =
     # units as rows of words; equal units are judged once, whatever texts they stand in
     terms = held.select("of", "x").dropDuplicates(["of"]).select("of", F.explode(text_words(F.col("x"))).alias("w")).groupBy("of", "w").agg(F.count("*").alias("k"))
     terms = stored(terms, "terms")
-    weight = (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1).alias("idf")
+    weight = (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + FLOOR).alias("idf")
     idf = stored(counts.join(terms.select("w").distinct(), "w", "left_semi").select("w", weight), "idf")
-    terms = terms.join(broadcast_if(idf), "w").select("of", "w", (F.col("k") * F.col("idf")).alias("v"))
+    terms = terms.join(broadcast_if(idf), "w").select("of", "w", ((1 + F.log("k")) * F.col("idf")).alias("v"))
     squares = terms.groupBy("of").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     rows = [{"license": name, "template": i, "w": w, "t": v} for (name, i), vector in vectors.items() for w, v in vector.items()]
     rows = F.from_json(F.lit(json.dumps(rows)), "array<struct<license: string, template: int, w: string, t: double>>")

@@ -547,10 +547,8 @@ def test_cosines_and_inheritance_against_brute_force(spark):
             count[w] = count.get(w, 0) + 1
 
     def vector(text):
-        out = {}
-        for w in license_scan.words(text):
-            out[w] = out.get(w, 0) + math.log((1 + n) / (1 + count.get(w, 0))) + 1
-        return out
+        held = license_scan.words(text)
+        return {w: (1 + math.log(held.count(w))) * (math.log((1 + n) / (1 + count.get(w, 0))) + license_scan.FLOOR) for w in set(held)}
 
     def cosine(x, y):
         return sum(x[w] * y[w] for w in x if w in y) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
