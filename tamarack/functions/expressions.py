@@ -12,9 +12,21 @@ from pyspark.sql import functions as F
 from .kinds import LATTICE, SPARK_TYPES, kind_of, not_nan
 
 
-def _side(df: DataFrame, value) -> tuple[Column, str]:
-    """A column name or a constant, as (expression, kind)."""
-    if isinstance(value, str) and value in df.columns:
+class Name(str):
+    """Marks a text on the right as a column's name; unmarked it is a constant."""
+
+
+class Text(str):
+    """Marks a text on the left as a constant; unmarked it is a column's name."""
+
+
+def _named(value, left: bool) -> bool:
+    return isinstance(value, Name) or (left and isinstance(value, str) and not isinstance(value, Text))
+
+
+def _side(df: DataFrame, value, left: bool) -> tuple[Column, str]:
+    """A column name or a constant, as (expression, kind); what a constant says never makes it a column."""
+    if _named(value, left):
         return F.col(f"`{value}`"), kind_of(df.schema[value])
     if isinstance(value, bool):
         return F.lit(value), "BL"
@@ -32,12 +44,13 @@ def _wider(a: str, b: str) -> str:
 def arithmetic(df: DataFrame, left, op: str, right, constant_kind: str | None = None) -> Column:
     """left op right (+ - * /) in the wider of both kinds.
 
-    A side is a column's name or a constant; ``constant_kind`` gives a constant another kind than
-    its Python type's, such as R4. Text has only +, concatenation. Integers divide toward zero.
+    Text on the left is a column's name (``Text`` marks a constant), on the right a constant (``Name`` marks
+    a column); other values are constants. ``constant_kind`` gives a constant another kind than its
+    Python type's, such as R4. Text has only +, concatenation. Integers divide toward zero.
     """
-    (a, ka), (b, kb) = _side(df, left), _side(df, right)
+    (a, ka), (b, kb) = _side(df, left, True), _side(df, right, False)
     if constant_kind:
-        ka, kb = (constant_kind if not (isinstance(x, str) and x in df.columns) else k for x, k in ((left, ka), (right, kb)))
+        ka, kb = (k if _named(x, i == 0) else constant_kind for i, (x, k) in enumerate(((left, ka), (right, kb))))
     if "TX" in (ka, kb):
         if op != "+" or ka != kb:
             raise TypeError(f"{ka} {op} {kb} is not defined")
@@ -59,8 +72,8 @@ def negative(df: DataFrame, name: str) -> Column:
 
 
 def compare(df: DataFrame, left, op: str, right) -> Column:
-    """left op right (== != < <= > >=) as IEEE has it: with NaN only != is true."""
-    (a, ka), (b, kb) = _side(df, left), _side(df, right)
+    """left op right (== != < <= > >=), sides as in ``arithmetic``, as IEEE has it: with NaN only != is true."""
+    (a, ka), (b, kb) = _side(df, left, True), _side(df, right, False)
     if ("TX" in (ka, kb) or "BL" in (ka, kb)) and ka != kb:
         raise TypeError(f"{ka} {op} {kb} is not defined")
     if ka == "BL" and op not in ("==", "!="):

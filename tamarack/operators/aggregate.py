@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +28,7 @@ def _aggregate(field: T.StructField, function: str, order: Sequence[str], compat
             return F.lit(False if kind == "BL" else "") if compat else F.lit(None).cast(to)
         if kind in ("R4", "R8"):
             return F.avg(column).cast(to)
-        return F.call_function("div", F.sum(column), F.count(F.lit(1))).cast(to)
+        return F.call_function("div", F.sum(column), F.count(column)).cast(to)
     if kind == "BL":
         return F.bool_or(column) if function in ("sum", "max") else F.bool_and(column)
     if function == "sum":
@@ -73,6 +73,27 @@ def label_histogram(df: DataFrame, label: str, weight: str | None = None) -> Dat
     return df.groupBy(label).agg(value.alias("weight"))
 
 
+def combine(df: DataFrame, column: str, partial: Callable[[pd.Series], object], merge: Callable[[pd.Series], object], kind: str) -> DataFrame:
+    """One row (value): a function of a whole column, as ``merge`` of the ``partial`` results of its parts.
+
+    Each part of the column is one Arrow batch; results are of Spark type ``kind``. They are merged as a
+    tree: first within partitions, then the one result of each in a single task.
+    """
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [partial(f[column]) for f in frames if len(f)]
+        if found:
+            yield pd.DataFrame({"value": [merge(pd.Series(found)) if len(found) > 1 else found[0]]})
+
+    def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = pd.concat([f["value"] for f in frames] or [pd.Series(dtype=object)])
+        if len(found):
+            yield pd.DataFrame({"value": [merge(found) if len(found) > 1 else found.iloc[0]]})
+
+    once = df.select(f"`{column}`").mapInPandas(parts, f"value {kind}")
+    return once.repartition(1).mapInPandas(last, f"value {kind}")  # a value a partition
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, min, max, sum, sum2, nb) of numeric columns in one pass; NaN and infinite cells are left out."""
     parts = []

@@ -6,13 +6,15 @@ define it. Positions are then ranks in that order, found by a distributed index,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import DEFAULTS, fill_missing, kind_of
+from ..functions.expressions import almost_equal
+from ..functions.kinds import DEFAULTS, SPARK_TYPES, fill_missing, kind_of
 from ..session import durable
 
 
@@ -36,6 +38,12 @@ def with_index(df: DataFrame, order: str | Sequence[str], name: str = "index") -
     return numbered.withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_before", "_at")
 
 
+def draw(seed: int, *keys: Column | str) -> Column:
+    """A number in [0, 1) that depends on the seed and the keys' text alone: 48 bits of their MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *((k if isinstance(k, Column) else F.col(f"`{k}`")).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def filter_rows(df: DataFrame, mask: str | Column) -> DataFrame:
     """Rows where a boolean column or condition is true; another type of column is an error."""
     if isinstance(mask, str):
@@ -67,6 +75,93 @@ def assign(df: DataFrame, name: str, value: Column) -> DataFrame:
     return new
 
 
+def add_column(df: DataFrame, name: str, values: Sequence, kind: str, order: str | Sequence[str]) -> DataFrame:
+    """A driver's array as a column of Spark type ``kind``: its values in ``order``, as many as rows."""
+    values = [v.item() if hasattr(v, "item") else v for v in values]
+    placed = with_index(df, order, "_place")
+    if placed.count() != len(values):
+        raise ValueError(f"{df.count()} values are needed, not {len(values)}")
+    new = df.sparkSession.createDataFrame(list(enumerate(values)), f"_at long, _value {kind}")
+    joined = placed.join(new, F.col("_place") == F.col("_at"))
+    return assign(joined, name, F.col("_value")).drop("_place", "_at", "_value")
+
+
+def apply(df: DataFrame, name: str, function: Callable, columns: str | Sequence[str], kind: str) -> DataFrame:
+    """``name``, of Spark type ``kind``: ``function`` over pandas Series of ``columns``, batch by batch."""
+    return df.withColumn(name, _series(function, kind)(*(F.col(f"`{c}`") for c in _keys(columns))))
+
+
+def filter_by(df: DataFrame, function: Callable, columns: str | Sequence[str]) -> DataFrame:
+    """Rows for which ``function`` over pandas Series of ``columns`` is true."""
+    return df.where(_series(function, "boolean")(*(F.col(f"`{c}`") for c in _keys(columns))))
+
+
+def _series(function: Callable, kind: str) -> Callable:
+    def run(*columns):
+        return function(*columns)
+
+    run.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
+
+
+def map_rows(df: DataFrame, function: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
+    """The rows, any number, that ``function`` makes of each row, both as dictionaries."""
+    fields = T.StructType.fromDDL(schema).names
+
+    def made(frames):
+        for frame in frames:
+            rows = [new for row in frame.to_dict("records") for new in function(row)]
+            yield pd.DataFrame([[r.get(f) for f in fields] for r in rows], columns=fields)
+
+    return df.mapInPandas(made, schema)
+
+
+def rows_as(df: DataFrame, cls: Callable) -> Iterator:
+    """The rows, one partition at a time, as ``cls(**cells)``: a dataclass or the like."""
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        yield cls(**row.asDict())
+
+
+def as_type(df: DataFrame, name: str, kind: str) -> DataFrame:
+    """A column cast to a kind (BL, I4, U4, I8, R4, R8, TX); reals lose their fraction toward zero, NaN as an integer is an error."""
+    field = F.col(f"`{name}`").cast(SPARK_TYPES[kind])
+    return df.withColumn(name, field).withMetadata(name, {"kind": kind} if kind == "U4" else {})
+
+
+def differences(a: DataFrame, b: DataFrame, precision: float | None = None, keys: str | Sequence[str] = ()) -> DataFrame:
+    """Rows of either frame that the other lacks, with ``side`` (left or right); none: the frames are equal.
+
+    Rows count as often as they repeat, whatever their order; null equals null and NaN equals NaN. With
+    ``precision`` rows meet by ``keys``, and reals are equal within that relative error. Columns must have
+    the same names and types.
+    """
+    if a.dtypes != b.dtypes:
+        raise TypeError(f"columns differ: {a.dtypes}, {b.dtypes}")
+    if precision is None:
+        left, right = a.exceptAll(b).withColumn("side", F.lit("left")), b.exceptAll(a).withColumn("side", F.lit("right"))
+        return left.unionByName(right)
+    on, rest = _keys(keys), [f for f in a.schema if f.name not in _keys(keys)]
+    l, r = (df.select(*(F.col(f"`{k}`") for k in on), F.struct(*(F.col(f"`{f.name}`") for f in rest)).alias(side)) for df, side in ((a, "left"), (b, "right")))
+    same = F.lit(True)
+    for f in rest:
+        x, y = F.col("left")[f.name], F.col("right")[f.name]
+        close = almost_equal(x, y, precision) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else x.eqNullSafe(y)
+        same = same & close
+    met = l.join(r, on, "full").where(F.col("left").isNull() | F.col("right").isNull() | ~same)
+    return met.select(*on, F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("row")), F.struct(F.lit("right").alias("side"), F.col("right").alias("row")))).alias("d")).where("d.row is not null").select(*on, "d.row.*", "d.side")
+
+
+def equal(a: DataFrame, b: DataFrame, precision: float | None = None, keys: str | Sequence[str] = ()) -> bool:
+    """Whether two frames hold the same rows, as ``differences`` tells."""
+    return a.dtypes == b.dtypes and differences(a, b, precision, keys).isEmpty()
+
+
+def assert_equal(a: DataFrame, b: DataFrame, precision: float | None = None, keys: str | Sequence[str] = ()) -> None:
+    """AssertionError with up to five rows that differ."""
+    if some := differences(a, b, precision, keys).limit(5).collect():
+        raise AssertionError("\n".join(map(str, some)))
+
+
 def set_where(df: DataFrame, name: str, mask: Column, value) -> DataFrame:
     """``value`` in ``name`` where ``mask`` holds, the old cells elsewhere."""
     kind = df.schema[name].dataType
@@ -159,7 +254,7 @@ def argsort(df: DataFrame, column: str, order: str | Sequence[str], name: str =
 
 def shuffle(df: DataFrame, key: str | Sequence[str], seed: int = 0) -> DataFrame:
     """Rows in a seeded random order that depends on their keys alone."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *_keys(key)), *_keys(key))
+    return df.orderBy(draw(seed, *_keys(key)), *_keys(key))
 
 
 def head(df: DataFrame, order: str | Sequence[str], n: int = 5) -> DataFrame:
@@ -175,10 +270,10 @@ def tail(df: DataFrame, order: str | Sequence[str], n: int = 5) -> DataFrame:
 def sample(df: DataFrame, n: int = 5, key: str | Sequence[str] = "index", distinct: bool = False, seed: int = 0) -> DataFrame:
     """``n`` rows: without repeats those whose seeded key hash is least; else n seeded draws of places."""
     if distinct:
-        return df.orderBy(F.xxhash64(F.lit(seed), *_keys(key)), *_keys(key)).limit(n)
+        return df.orderBy(draw(seed, *_keys(key)), *_keys(key)).limit(n)
     numbered = with_index(df, key, "_place")
     rows = df.count()
-    draws = df.sparkSession.range(n).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(rows, 1))).alias("_place"), F.col("id").alias("_nth"))
+    draws = df.sparkSession.range(n).select(F.floor(draw(seed, "id") * max(rows, 1)).alias("_place"), F.col("id").alias("_nth"))
     return numbered.join(draws, "_place").drop("_place", "_nth")
 
 
@@ -202,23 +297,29 @@ def multiply(df: DataFrame, n: int, how: str = "block", order: str | Sequence[st
     return copies.drop("_copy")
 
 
+def _named(df: DataFrame, columns: str | int | Sequence[str | int]) -> list[str]:
+    columns = [columns] if isinstance(columns, (str, int)) else columns
+    return [df.columns[c] if isinstance(c, int) else c for c in columns]
+
+
 def join(
     left: DataFrame,
     right: DataFrame,
-    left_on: str | Sequence[str],
-    right_on: str | Sequence[str] | None = None,
+    left_on: str | int | Sequence[str | int],
+    right_on: str | int | Sequence[str | int] | None = None,
     how: str = "inner",
     left_suffix: str = "",
     right_suffix: str = "",
     missing: str = "null",
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Equi-join that keeps both key columns.
+    """Equi-join that keeps both key columns; keys are names or, as numbers, places of columns.
 
-    Left names get ``left_suffix``, right names ``right_suffix`` and then ``_y`` while they collide.
+    With ``order`` (columns of the result) the rows come sorted by the keys and then by these. Left names get ``left_suffix``, right names ``right_suffix`` and then ``_y`` while they collide.
     Keys must be as many and of the same types on both sides, and not vectors. Null keys equal each other.
     Cells that an outer join leaves empty follow ``missing`` (null or sentinel). Spark picks the join.
     """
-    a, b = _keys(left_on), _keys(right_on if right_on is not None else left_on)
+    a, b = _named(left, left_on), _named(right, right_on if right_on is not None else left_on)
     if len(a) != len(b):
         raise ValueError("both sides need as many keys")
     for x, y in zip(a, b, strict=True):
@@ -238,6 +339,9 @@ def join(
         one = F.col(f"`{x + left_suffix}`").eqNullSafe(F.col(f"`{others[right.columns.index(y)]}`"))
         on = one if on is None else on & one
     joined = l.join(r, on, {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}[how])
-    if how == "inner" or missing == "null":
+    if how != "inner" and missing != "null":
+        joined = fill_missing(joined, missing, {"left": others, "right": names}.get(how, names + others))
+    if order is None:
         return joined
-    return fill_missing(joined, missing, {"left": others, "right": names}.get(how, names + others))
+    keys = [F.coalesce(F.col(f"`{x + left_suffix}`"), F.col(f"`{others[right.columns.index(y)]}`")) for x, y in zip(a, b, strict=True)]
+    return joined.orderBy(*keys, *(F.col(f"`{c}`") for c in order))

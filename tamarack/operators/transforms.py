@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import key_to_label, kind_of
+from . import frame
 from .aggregate import histogram, moments
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """A number in [0, 1) that depends on the keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    return frame.draw(seed, *keys)
 
 
 def _pair(col: str) -> tuple[str, str]:
@@ -305,6 +306,72 @@ class PassThrough(Transform):
         return df
 
 
+@dataclass
+class Lambda(Transform):
+    """``col`` (``New:a,b``) of Spark type ``kind``: a function over pandas Series of the old columns."""
+
+    col: str = ""
+    function: Callable | None = None
+    kind: str = "double"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        new, old = _pair(self.col)
+        return frame.apply(df, new, self.function, old.split(","), self.kind)
+
+
+@dataclass
+class LambdaFilter(Transform):
+    """Rows for which a function over pandas Series of the columns ``col`` (``a,b``) is true."""
+
+    col: str = ""
+    function: Callable | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return frame.filter_by(df, self.function, self.col.split(","))
+
+
+@dataclass
+class ValueMapper(Transform):
+    """The rows that a function makes of each row, both as dictionaries, in the columns of ``schema``."""
+
+    function: Callable | None = None
+    schema: str = ""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return frame.map_rows(df, self.function, self.schema)
+
+
+@dataclass
+class MissingFilter(Transform):
+    """Rows without a missing cell (null or NaN, also inside vectors) in the columns ``col`` (``a,b``; none: all)."""
+
+    col: str = ""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        whole = F.lit(True)
+        for field in df.schema:
+            if self.col and field.name not in self.col.split(","):
+                continue
+            x = F.col(f"`{field.name}`")
+            whole = whole & x.isNotNull()
+            if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+                whole = whole & ~F.isnan(x)
+            elif isinstance(field.dataType, T.ArrayType):
+                real = isinstance(field.dataType.elementType, (T.FloatType, T.DoubleType))
+                whole = whole & ~F.exists(x, lambda v: (v.isNull() | F.isnan(v)) if real else v.isNull())  # noqa: B023
+        return df.where(F.coalesce(whole, F.lit(False)))
+
+
+@dataclass
+class DropColumns(Transform):
+    """All columns but ``col`` (``a,b``)."""
+
+    col: str = ""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self.col.split(","))
+
+
 @dataclass
 class Concat(Transform):
     """Columns as one vector: ``F:a,b``."""

@@ -19,9 +19,11 @@ TRANSFORMS = {
     "sortdf": X.SortRows, "sortmem": X.SortRows, "cachedf": X.Cache, "pass": X.PassThrough, "dumpview": X.PassThrough,
     "concat": X.Concat, "extconv": X.KeyToLabel, "mcconv": X.KeyToLabel,
     "knntr": density.NearestNeighbors, "dbscan": density.DBScan, "optics": density.Optics, "opticsord": density.OpticsOrder,
-    "ul2r4": X.CodeToLabel, "describe": X.Describe,
+    "ul2r4": X.CodeToLabel, "describe": X.Describe, "nafilter": X.MissingFilter, "drop": X.DropColumns,
 }
 
+
+
 def build(text: str) -> X.Transform:
     """A transform from its description; ``+`` and ``-`` are true and false."""
     name, options = parse(text)
@@ -41,11 +43,14 @@ def build(text: str) -> X.Transform:
 
 
 class Pipeline:
-    """Transforms, fitted one after the other, and an optional trainer on a vector and a label column."""
+    """Transforms, fitted one after the other, and an optional trainer on a vector and a label column.
+
+    Steps are descriptions or transforms (such as lambdas); only pipelines of descriptions can be saved.
+    """
 
-    def __init__(self, steps: list[str], trainer: str | None = None, features: str = "Features", label: str = "Label"):
+    def __init__(self, steps: list[str | X.Transform], trainer: str | None = None, features: str = "Features", label: str = "Label"):
         self.texts, self.trainer, self.features, self.label = list(steps), trainer, features, label
-        self.steps = [build(s) for s in steps]
+        self.steps = [s if isinstance(s, X.Transform) else build(s) for s in steps]
         self.model = None
 
     def train(self, df: DataFrame) -> Pipeline:

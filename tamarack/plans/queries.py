@@ -89,7 +89,7 @@ def q_compare(spark, sf_dir):
 @registered("SELECT c_custkey, c_name || c_mktsegment AS label FROM customer")
 def q_text_concat(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    return df.select("c_custkey", E.arithmetic(df, "c_name", "+", "c_mktsegment").alias("label"))
+    return df.select("c_custkey", E.arithmetic(df, "c_name", "+", E.Name("c_mktsegment")).alias("label"))
 
 
 def _grouped(function: str, sql: str):
@@ -103,7 +103,7 @@ def _grouped(function: str, sql: str):
 
 _grouped("sum", "sum(l_linenumber)::INT AS l_linenumber, sum(l_quantity) AS l_quantity")
 _grouped("count", "count(*)::INT AS l_linenumber, count(*)::DOUBLE AS l_quantity")
-_grouped("mean", "(sum(l_linenumber) // count(*))::INT AS l_linenumber, avg(l_quantity) AS l_quantity")
+_grouped("mean", "(sum(l_linenumber) // count(l_linenumber))::INT AS l_linenumber, avg(l_quantity) AS l_quantity")
 _grouped("min", "min(l_linenumber) AS l_linenumber, min(l_quantity) AS l_quantity")
 _grouped("max", "max(l_linenumber) AS l_linenumber, max(l_quantity) AS l_quantity")
 
@@ -122,17 +122,17 @@ def q_aggregate_all(spark, sf_dir):
 
 def _joined(how: str, sql_how: str):
     def query(spark, sf_dir):
-        # keys that stand on one side only make all four joins differ
-        orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").where("o_orderkey % 3 = 0")
-        customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").where("c_custkey % 2 = 0")
+        # keys of all rows of one side are shifted, so that each side has keys of its own and the joins differ
+        orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 7).alias("o_custkey"), "o_orderkey")
+        customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
         return frame.join(orders, customers, "o_custkey", "c_custkey", how, missing="sentinel")
 
     query.__name__ = f"q_join_{how}"
     low = "-9223372036854775808"
     registered(
         f"""SELECT coalesce(o_custkey, {low}) AS o_custkey, coalesce(o_orderkey, {low}) AS o_orderkey, coalesce(c_custkey, {low}) AS c_custkey,
-        coalesce(c_nationkey, -2147483648) AS c_nationkey FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) {sql_how} JOIN
-        (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey"""
+        coalesce(c_nationkey, -2147483648) AS c_nationkey FROM (SELECT o_custkey + 7 AS o_custkey, o_orderkey FROM orders) {sql_how} JOIN
+        customer ON o_custkey = c_custkey"""
     )(query)
 
 
@@ -155,6 +155,11 @@ def q_resize(spark, sf_dir):
     return frame.resize(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), 7, "s_suppkey")
 
 
+@registered("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 0, '' FROM range(30 - (SELECT count(*) FROM nation)::INT)")
+def q_resize_beyond(spark, sf_dir):
+    return frame.resize(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 30, "n_nationkey")
+
+
 @registered("SELECT n_nationkey AS key, n_name AS name FROM nation")
 def q_rename(spark, sf_dir):
     return frame.rename(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["key", "name"])
@@ -187,10 +192,9 @@ def q_take(spark, sf_dir):
     return frame.take(table(spark, sf_dir, "customer").select("c_custkey"), [3, 1, 3], "c_custkey")
 
 
-@registered("SELECT vec_id, " + ", ".join(f'embedding[{i + 1}] AS "v.{i}"' for i in range(4)) + " FROM embeddings")
+@registered("SELECT vec_id, " + ", ".join(f'embedding[{i + 1}] AS "v.{i}"' for i in range(64)) + " FROM embeddings")
 def q_flatten(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
-    return frame.flatten(df)
+    return frame.flatten(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")))
 
 
 @registered("SELECT p_partkey, CASE WHEN p_size > 25 THEN 0 ELSE p_size END::INT AS p_size FROM part")
@@ -222,13 +226,13 @@ def q_poly(spark, sf_dir):
 
 
 @registered(
-    """SELECT event_id, round(a * t + b - value, 3) AS trend FROM (SELECT event_id, value, floor(epoch(ts)) / 86400 AS t FROM events),
+    """SELECT event_id, round((a * t + b - value)::FLOAT::DOUBLE, 2) AS trend FROM (SELECT event_id, value, floor(epoch(ts)) / 86400 AS t FROM events),
        (SELECT regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM (SELECT value, floor(epoch(ts)) / 86400 AS t FROM events))"""
 )
 def q_detrend(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "value", (F.col("ts").cast("timestamp").cast("long").cast("double") / 86400).alias("time"))
-    a, b = X.Detrend("value").fit(df).params
-    return df.select("event_id", F.round(F.col("time") * a + b - F.col("value"), 3).alias("trend"))
+    out = X.Detrend("trend:value").fit(df).transform(df)
+    return out.select("event_id", F.round(F.col("trend").cast("double"), 2).alias("trend"))
 
 
 @registered("SELECT 'value' AS \"column\", min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum, round(sum(value * value), 2) AS sum2, count(*) AS nb FROM events")
@@ -242,26 +246,40 @@ def q_hist(spark, sf_dir):
     return aggregate.histogram(table(spark, sf_dir, "events"), "event_type")
 
 
-@registered()
+def _drawn(seed: int, key: str) -> str:
+    """SQL of ``frame.draw``."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {key})), 1, 12))::UBIGINT::DOUBLE / 281474976710656::DOUBLE"
+
+
+@registered(f"""SELECT o_orderkey, CASE WHEN {_drawn(42, "o_orderkey")} >= {2 / 3!r}::DOUBLE THEN 1 ELSE 0 END::INT AS "splitTrain0Test1" FROM orders""")
 def q_split(spark, sf_dir):
     return X.SplitTrainTest("o_orderkey").transform(table(spark, sf_dir, "orders").select("o_orderkey"))
 
 
-@registered()
+@registered(
+    f"""WITH RECURSIVE p(k, p, total) AS (SELECT 0, exp(-1.5::DOUBLE), exp(-1.5::DOUBLE) UNION ALL SELECT k + 1, p * 1.5 / (k + 1), total + p * 1.5 / (k + 1) FROM p WHERE k < 25),
+        t AS (SELECT o_orderkey, (SELECT count(*) FROM p WHERE u >= total) AS n FROM (SELECT o_orderkey, {_drawn(42, "o_orderkey")} AS u FROM orders))
+        SELECT o_orderkey FROM (SELECT o_orderkey, unnest(range(n)) FROM t)"""
+)
 def q_resample(spark, sf_dir):
     return X.Resample("o_orderkey", 1.5).transform(table(spark, sf_dir, "orders").select("o_orderkey"))
 
 
-@registered()
+@registered(f"SELECT o_orderkey, o_totalprice, o_totalprice + {_drawn(42, 'o_orderkey')} AS noisy FROM orders")
 def q_add_random(spark, sf_dir):
     return X.AddRandom("noisy:o_totalprice", "o_orderkey").transform(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
 
 
-@registered()
+@registered(f"SELECT o_orderkey FROM orders ORDER BY {_drawn(0, 'o_orderkey')}, o_orderkey LIMIT 20")
 def q_sample(spark, sf_dir):
     return frame.sample(table(spark, sf_dir, "orders").select("o_orderkey"), 20, "o_orderkey", distinct=True)
 
 
+@registered(f"SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) JOIN (SELECT floor({_drawn(0, 'range')} * (SELECT count(*) FROM part)) AS i FROM range(50)) USING (i)")
+def q_sample_repeats(spark, sf_dir):
+    return frame.sample(table(spark, sf_dir, "part").select("p_partkey"), 50, "p_partkey")
+
+
 @registered("SELECT vec_id, e.label, c AS b_class, c = e.label AS b FROM embeddings e, (SELECT DISTINCT label AS c FROM embeddings)")
 def q_m2b_default(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -333,13 +351,80 @@ def q_selecttag(spark, sf_dir):
     return tags.select("cheap", store="closed", current=orders.where("o_orderstatus = 'F'").select("o_orderkey"))
 
 
-@registered("SELECT p_partkey, p_retailprice * 1.5 AS price FROM part")
+@registered("SELECT p_partkey, p_retailprice, p_retailprice * 1.5 AS price FROM part")
 def q_udf_map(spark, sf_dir):
-    @F.pandas_udf("double")
-    def raised(x: pd.Series) -> pd.Series:
-        return x * 1.5
+    return frame.apply(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "price", lambda x: x * 1.5, "p_retailprice", "double")
+
+
+@registered("SELECT p_partkey, p_size, p_retailprice, (p_size * 2 + p_retailprice)::DOUBLE AS made FROM part WHERE p_size % 3 = 1")
+def q_lambda_steps(spark, sf_dir):
+    steps = [X.LambdaFilter("p_size", lambda x: x % 3 == 1), X.Lambda("made:p_size,p_retailprice", lambda a, b: a * 2 + b)]
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return pipeline.Pipeline(steps).train(parts).transform(parts)
+
+
+@registered("SELECT n_nationkey, upper(n_name) AS name, i::INT AS copy FROM nation, (SELECT unnest(range(2)) AS i) WHERE n_regionkey > 0")
+def q_value_mapper(spark, sf_dir):
+    def made(row):
+        return [{"n_nationkey": row["n_nationkey"], "name": row["n_name"].upper(), "copy": i} for i in range(2) if row["n_regionkey"] > 0]
+
+    return X.ValueMapper(made, "n_nationkey int, name string, copy int").transform(table(spark, sf_dir, "nation"))
+
+
+@registered("SELECT max(l_quantity) - min(l_quantity) AS value FROM lineitem")
+def q_array_aggregate(spark, sf_dir):
+    ends = aggregate.combine(table(spark, sf_dir, "lineitem"), "l_quantity", lambda x: [x.min(), x.max()], lambda e: [min(v[0] for v in e), max(v[1] for v in e)], "array<double>")
+    return ends.select((F.col("value")[1] - F.col("value")[0]).alias("value"))
+
+
+@registered("SELECT n_nationkey, n_name, (i * 3)::INT AS triple FROM (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)")
+def q_add_column(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return frame.add_column(nations, "triple", [3 * i for i in range(nations.count())], "int", "n_nationkey")
 
-    return table(spark, sf_dir, "part").select("p_partkey", raised("p_retailprice").alias("price"))
+
+@registered("SELECT p_partkey, trunc(p_retailprice)::BIGINT AS p_retailprice FROM part")
+def q_as_type(spark, sf_dir):
+    return frame.as_type(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "I8")
+
+
+@registered("SELECT * FROM (SELECT p_partkey, p_size, 'left' AS side FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, 0, 'right' FROM part WHERE p_size > 25)")
+def q_differences(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return frame.differences(df, frame.set_where(df, "p_size", E.compare(df, "p_size", ">", 25), 0))
+
+
+@registered("SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_regionkey, n_nationkey")
+def q_join_ordered(spark, sf_dir):
+    nations, regions = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return frame.join(nations, regions, 2, 0, order=["n_nationkey"])
+
+
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 4 <> 0")
+def q_na_filter(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("price"))
+    return pipeline.Pipeline(["NAFilter{col=price}"]).train(orders).transform(orders)
+
+
+@registered(
+    """SELECT event_id, round((value - m) / (x - m), 6) AS q FROM events, (SELECT min(value) AS m, max(value) AS x FROM events)"""
+)
+def q_stream_transform(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    scaler = X.Scaler("q:value", "minMax").fit(events)
+    stream = streams.read_stream(spark, f"{sf_dir}/event[s].parquet", events.schema)
+    return streams.run_to_end(streams.apply_fitted(stream, [scaler]), "scaled").select("event_id", F.round("q", 6).alias("q"))
+
+
+@registered(
+    """SELECT start, key, round(sum(value), 4) AS total, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS start, event_type AS key, value FROM events)
+       WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL"""
+)
+def q_stream_windows(spark, sf_dir):
+    # windows that the watermark has closed by the end
+    events = table(spark, sf_dir, "events")
+    stream = streams.read_stream(spark, f"{sf_dir}/event[s].parquet", events.schema)
+    return streams.run_to_end(streams.windowed_sums(stream, "ts", "event_type", "value"), "windows").withColumn("total", F.round("total", 4))
 
 
 @registered("SELECT date_trunc('hour', ts) AS start, event_type AS key, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY ALL")
@@ -415,11 +500,7 @@ def q_each_group(spark, sf_dir):
 
 @registered("SELECT p_partkey, p_size FROM part WHERE p_size % 7 = 3")
 def q_lambda_filter(spark, sf_dir):
-    @F.pandas_udf("boolean")
-    def wanted(x: pd.Series) -> pd.Series:
-        return x % 7 == 3
-
-    return frame.filter_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), wanted("p_size"))
+    return frame.filter_by(table(spark, sf_dir, "part").select("p_partkey", "p_size"), lambda x: x % 7 == 3, "p_size")
 
 
 @registered("SELECT n_nationkey, CASE WHEN i IN (0, 2, 4) THEN 'none' ELSE n_name END AS n_name FROM (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)")
@@ -450,10 +531,16 @@ def q_graph(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
 
 
-@registered()
+@registered(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+       near AS (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS place FROM e a, e b)
+       SELECT id AS vec_id, place::INT AS place, other AS neighbor, abs(round(d, 5)) AS distance FROM near WHERE place <= 3"""
+)
 def q_knn_append(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return density.NearestNeighbors(3, "L2", "embedding", "vec_id").fit(df).transform(df).drop("embedding")
+    out = density.NearestNeighbors(3, "L2", "embedding", "vec_id").fit(df).transform(df)
+    pairs = out.select("vec_id", F.posexplode(F.arrays_zip(F.col("idNeighbors").alias("n"), F.col("Distances").alias("d"))).alias("place", "p"))
+    return pairs.select("vec_id", (F.col("place") + 1).alias("place"), F.col("p.n").alias("neighbor"), F.abs(F.round("p.d", 5)).alias("distance"))
 
 
 @registered()
@@ -464,11 +551,11 @@ def q_optics_clusters(spark, sf_dir):
 
 @registered()
 def q_iova(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("Label"), F.slice("embedding", 1, 8).alias("Features"))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("Label"), F.col("embedding").alias("Features"))
     return pipeline.Pipeline([], "iOVA{p=ft{maxIter=3}}").train(df).predict(df).select("vec_id", "Label", "prediction")
 
 
 @registered()
 def q_oova(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("Label"), F.slice("embedding", 1, 8).alias("Features"))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("Label"), F.col("embedding").alias("Features"))
     return pipeline.Pipeline([], "OOVA{p=lr{maxIter=5}}").train(df).predict(df).select("vec_id", "Label", "prediction")

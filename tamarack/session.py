@@ -33,12 +33,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; where none is set, in a temporary folder if all runs on one machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and context.master.split("[")[0] != "local":
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where none is set, a temporary folder if all runs on one machine."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if where is None:
+        if context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="tamarack-"))
+        where = tempfile.mkdtemp(prefix="tamarack-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
+    return where
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

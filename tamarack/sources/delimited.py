@@ -6,8 +6,9 @@ rows; the data itself is read by Spark's own reader with that schema.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import islice
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,27 +18,52 @@ from ..functions.kinds import DEFAULTS, SPARK_TYPES, guess_kind, infer_schema, k
 from ..operators.frame import flatten, with_index
 
 
-def _read(spark: SparkSession, source, sample: list[str], sep: str, header: bool, names, dtypes, nrows: int, guess_rows: int) -> DataFrame:
+def _read(spark: SparkSession, source, sample: list[str], sep: str, header: bool, names, dtypes, nrows: int, guess_rows: int, encoding: str = "UTF-8") -> DataFrame:
     if not sample:
         raise ValueError("there is nothing to read")
     first = sample[0].split(sep)
     names = list(names) if names else [c.strip().lstrip("#") for c in first] if header else [f"c{i}" for i in range(len(first))]
     schema = infer_schema(names, [line.split(sep) for line in sample[1 if header else 0 :][:guess_rows]], dtypes)
-    options = {"sep": sep, "header": str(header).lower(), "quote": "", "enforceSchema": "true"}
+    options = {"sep": sep, "header": str(header).lower(), "quote": "", "enforceSchema": "true", "encoding": encoding}
     df = spark.read.schema(schema).options(**options, ignoreLeadingWhiteSpace="true", ignoreTrailingWhiteSpace="true").csv(source)
     return df if nrows < 0 else df.limit(nrows)
 
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True, names: Sequence[str] | None = None,
-    dtypes: dict[str, str] | None = None, nrows: int = -1, guess_rows: int = 10,
+    dtypes: dict[str, str] | None = None, nrows: int = -1, guess_rows: int = 10, encoding: str = "UTF-8", index: bool = False,
 ) -> DataFrame:
-    """One or several delimited files; the schema comes from the first ``guess_rows`` rows of the first."""
+    """One or several delimited files; the schema comes from the first ``guess_rows`` rows of the first.
+
+    ``index`` puts the rows' places, by file and line, in front.
+    """
     first = path if isinstance(path, str) else path[0]
-    sample = [r["value"] for r in spark.read.text(first).where("trim(value) <> ''").take(guess_rows + 1)]
+    shown = spark.read.options(encoding=encoding, sep="\u0001", quote="").schema("value string").csv(first)  # the reader that knows encodings
+    sample = [r["value"] for r in shown.where("trim(value) <> ''").take(guess_rows + 1)]
     if header:  # the parts of a folder each start with it
         sample = sample[:1] + [x for x in sample[1:] if x != sample[0]]
-    return _read(spark, path if isinstance(path, str) else list(path), sample, sep, header, names, dtypes, nrows, guess_rows)
+    df = _read(spark, path if isinstance(path, str) else list(path), sample, sep, header, names, dtypes, -1, guess_rows, encoding)
+    if index:
+        placed = df.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
+        df = indexed(placed, ["_file", "_row"]).drop("_file", "_row")
+    return df if nrows < 0 else df.limit(nrows)
+
+
+def read_from(spark: SparkSession, opened: Callable[[], IO], encoding: str = "UTF-8", **options) -> DataFrame:
+    """A small table from what ``opened()`` gives to read: text or bytes, of a file or anything like one."""
+    with opened() as stream:
+        content = stream.read()
+    return read_str(spark, content.decode(encoding) if isinstance(content, bytes) else content, **options)
+
+
+def from_arrays(spark: SparkSession, arrays: Mapping[str, Sequence], dtypes: dict[str, str] | None = None) -> DataFrame:
+    """A small table from arrays of equal lengths, by column name; ``dtypes`` (name to kind) overrides their kinds."""
+    columns = {name: [v.item() if hasattr(v, "item") else v for v in values] for name, values in arrays.items()}
+    if len({len(v) for v in columns.values()}) > 1:
+        raise ValueError("the arrays have different lengths")
+    kinds = {n: (dtypes or {}).get(n) or widest(map(_kind, v)) for n, v in columns.items()}
+    schema = T.StructType([T.StructField(n, SPARK_TYPES[k], metadata={"kind": k} if k == "U4" else {}) for n, k in kinds.items()])
+    return from_rows(spark, [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)], schema)
 
 
 def read_str(spark: SparkSession, content: str, sep: str = ",", header: bool = True, names=None, dtypes=None, nrows: int = -1, guess_rows: int = 10, index: bool = False) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.transforms import Transform
+from ..session import shared_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files_a_batch: int = 1) -> DataFrame:
@@ -21,7 +24,21 @@ def apply_fitted(stream: DataFrame, transforms: list[Transform]) -> DataFrame:
     return stream
 
 
+def run_to_end(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream appends until all that is there now has been read, as a table in the shared folder."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def windowed_sums(events: DataFrame, time: str, key: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """(start, key, total, n) of tumbling windows; rows later than ``late`` behind the watermark are dropped."""
+    """(start, key, total, n) of tumbling windows; rows later than ``late`` behind the watermark are dropped.
+
+    A time without a zone is taken in the session's, and so is ``start``.
+    """
+    zoned = events.schema[time].dataType == T.TimestampType()
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     grouped = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(key).alias("key"))
-    return grouped.agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "key", "total", "n")
+    return grouped.agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n")).select((F.col("w.start") if zoned else F.col("w.start").cast("timestamp_ntz")).alias("start"), "key", "total", "n")

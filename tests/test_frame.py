@@ -27,7 +27,7 @@ def test_kinds():
 def test_read_str_and_arithmetic(spark):
     df = delimited.read_str(spark, "AA,BB,CC\n0,1,text\n1,1.1,text2")
     assert [t for _, t in df.dtypes] == ["int", "float", "string"]
-    out = df.select(E.arithmetic(df, "AA", "+", "BB").alias("s"), E.arithmetic(df, "AA", "+", 10).alias("t"), E.arithmetic(df, "CC", "+", "!").alias("u"))
+    out = df.select(E.arithmetic(df, "AA", "+", E.Name("BB")).alias("s"), E.arithmetic(df, "AA", "+", 10).alias("t"), E.arithmetic(df, "CC", "+", "!").alias("u"))
     assert [t for _, t in out.dtypes] == ["float", "int", "string"]
     assert [(round(a, 4), b, c) for a, b, c in rows(out)] == [(1.0, 10, "text!"), (2.1, 11, "text2!")]
     with pytest.raises(ValueError):
@@ -97,3 +97,87 @@ def test_sets_and_renames(five):
         frame.filter_rows(five, "AA")
     with pytest.raises(TypeError):
         frame.assign(five, "AA", F.lit("x"))
+
+
+def test_a_text_constant_is_no_column(spark):
+    df = spark.createDataFrame([("status", "x"), ("x", "x")], "name string, status string")
+    out = df.select(E.compare(df, "name", "==", "status").alias("a"), E.compare(df, "name", "==", E.Name("status")).alias("b"), E.arithmetic(df, E.Text("name"), "+", "!").alias("c"))
+    assert rows(out) == [(True, False, "name!"), (False, True, "name!")]
+
+
+def test_integer_means_skip_nulls(spark):
+    df = spark.createDataFrame([(1, 1.0), (None, None), (3, 3.0)], "a int, b double")
+    assert rows(aggregate.aggregate(df, "mean")) == [(2, 2.0)]
+    grouped = aggregate.group_aggregate(df.withColumn("k", F.lit(1)), "k", "mean", sort=False)
+    assert rows(grouped) == [(1, 2, 2.0)]
+
+
+def test_columns_from_arrays_and_functions(five, spark):
+    import dataclasses
+
+    import numpy as np
+
+    out = frame.add_column(five, "DD", np.array([5, 4, 3, 2, 1]), "int", "n")
+    assert [(r["n"], r["DD"]) for r in out.orderBy("n").collect()] == [(0, 5), (1, 4), (2, 3), (3, 2), (4, 1)]
+    with pytest.raises(ValueError):
+        frame.add_column(five, "DD", [1], "int", "n")
+    with pytest.raises(TypeError):
+        frame.add_column(five, "AA", ["x"] * 5, "string", "n")
+    table = delimited.from_arrays(spark, {"a": np.array([1, 2]), "b": [0.5, float("nan")], "c": ["x", None]})
+    assert table.dtypes == [("a", "int"), ("b", "double"), ("c", "string")] and [r[0] for r in table.collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        delimited.from_arrays(spark, {"a": [1], "b": [1, 2]})
+
+    @dataclasses.dataclass
+    class Row:
+        AA: int
+        CC: str
+
+    assert [r for r in frame.rows_as(five.orderBy("n").select("AA", "CC"), Row)][1] == Row(1, "text2")
+    assert rows(frame.apply(five, "s", lambda a, n: a + n, ["AA", "n"], "long").select("s").orderBy("s")) == [(0,), (2,), (2,), (5,), (5,)]
+    assert rows(frame.filter_by(five, lambda x: x > 1, "AA").select("n")) == [(3,)]
+    assert rows(frame.map_rows(five, lambda r: [{"n": r["n"]}] * r["AA"], "n int").orderBy("n")) == [(1,), (3,), (3,), (4,)]
+    total = aggregate.combine(five.repartition(3), "n", lambda x: int(x.sum()), lambda x: int(x.sum()), "long")
+    assert rows(total) == [(10,)] and rows(aggregate.combine(five.limit(0), "n", lambda x: 1, lambda x: 1, "long")) == []
+
+
+def test_frames_compare(five):
+    assert frame.equal(five, five.orderBy(F.desc("n"))) and not frame.equal(five, five.limit(4)) and not frame.equal(five, five.drop("n"))
+    near = five.withColumn("BB", F.col("BB") * (1 + 1e-9))
+    assert not frame.equal(five, near) and frame.equal(five, near, 1e-6, "n")
+    twice = five.union(five.limit(1))
+    assert not frame.equal(five, twice)
+    odd = five.withColumn("BB", F.when(F.col("n") == 0, float("nan")).when(F.col("n") > 1, F.col("BB")))
+    assert frame.equal(odd, odd) and frame.equal(odd, odd, 1e-6, "n")
+    with pytest.raises(AssertionError, match="side='right'"):
+        frame.assert_equal(five, odd, 1e-6, "n")
+    assert [t for _, t in frame.as_type(five, "BB", "I4").dtypes] == ["int", "int", "string", "int"]
+
+
+def test_files_streams_and_encodings(spark, tmp_path):
+    import io
+
+    for i, name in enumerate("ab"):
+        (tmp_path / f"{name}.csv").write_bytes(f"x;y\n{i};caf\u00e9\n{i + 2};th\u00e9\n".encode("latin-1"))
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    df = delimited.read_csv(spark, paths, sep=";", encoding="ISO-8859-1", index=True)
+    assert rows(df.orderBy("index")) == [(0, 0, "caf\u00e9"), (1, 2, "th\u00e9"), (2, 1, "caf\u00e9"), (3, 3, "th\u00e9")]
+    opened = delimited.read_from(spark, lambda: io.BytesIO("a,b\n1,caf\u00e9".encode("latin-1")), encoding="latin-1")
+    assert rows(opened) == [(1, "caf\u00e9")] == rows(delimited.read_from(spark, lambda: io.StringIO("a,b\n1,caf\u00e9")))
+
+
+def test_ordered_joins_by_place(spark):
+    a = spark.createDataFrame([(2, "x"), (1, "y"), (2, "w")], "k int, v string")
+    b = spark.createDataFrame([("p", 2), ("q", 3)], "u string, k int")
+    out = frame.join(a, b, 0, 1, "outer", order=["v"])
+    assert out.columns == ["k", "v", "u", "k_y"] and [tuple(r) for r in out.collect()] == [(1, "y", None, None), (2, "w", "p", 2), (2, "x", "p", 2), (None, None, "q", 3)]
+
+
+def test_blank_rows_dictionaries_and_text(spark):
+    schema = spark.createDataFrame([], "a int, b double, c string, d boolean").schema
+    (one, two) = rows(delimited.blank(spark, schema, 2))
+    assert one[0] == 0 and math.isnan(one[1]) and one[2:] == ("", False) and two[0] == 0
+    assert rows(delimited.from_dictionary(spark, {("b", 1): 2.0, ("a", 2): 1.0}, ["k", "n"])) == [("a", 2, 1.0), ("b", 1, 2.0)]
+    text = delimited.to_csv_string(spark.createDataFrame([(None, "", float("nan"))], "a int, b string, c double"))
+    assert text == 'a,b,c\n?,"",?'
+    assert frame.has_vectors(spark.sql("select array(1) as v")) and not frame.has_vectors(spark.sql("select 1 as v"))

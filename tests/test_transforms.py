@@ -86,3 +86,28 @@ def test_trainer(spark):
     df = spark.createDataFrame([([float(i), 1.0], float(i > 10)) for i in range(20)], "Features array<double>, Label double")
     model = pipeline.Pipeline([], "lr{maxIter=20}").train(df)
     assert model.predict(df).where("prediction = Label").count() >= 18
+
+
+def test_missing_cells_and_dropped_columns(spark):
+    rows = [(1, 1.0, [1.0, 2.0]), (2, float("nan"), [1.0]), (3, 1.0, [float("nan")]), (4, None, [1.0]), (5, 1.0, None), (6, 1.0, [1.0, None])]
+    df = spark.createDataFrame(rows, "a int, b double, v array<double>")
+    assert [r[0] for r in X.MissingFilter().transform(df).collect()] == [1]
+    assert [r[0] for r in X.MissingFilter("b").transform(df).collect()] == [1, 3, 5, 6]
+    assert X.DropColumns("a,v").transform(df).columns == ["b"]
+
+
+def test_passing_dumping_and_caching(spark, tmp_path):
+    df = spark.createDataFrame([(2, 1.0), (1, 2.0)], "a int, b double")
+    dumped = X.PassThrough(str(tmp_path / "d")).transform(df)
+    assert dumped.collect() == df.collect() and spark.read.parquet(str(tmp_path / "d")).count() == 2
+    cached = X.Cache(str(tmp_path / "c"), r=True)
+    assert cached.transform(df).count() == 2 and cached.transform(df.limit(0)).count() == 2  # the file is used again
+    assert [r[0] for r in X.SortRows("a").transform(df).collect()] == [1, 2] and [r[0] for r in X.SortRows("a", True).transform(df).collect()] == [2, 1]
+    assert X.Concat("f:a,b").transform(df).select("f").first()[0] == [2.0, 1.0]
+
+
+def test_split_parts_are_written(spark, tmp_path):
+    df = spark.range(300).withColumnRenamed("id", "k")
+    parts = X.SplitTrainTest("k", a="0.5,0.3,0.2").parts(df, [str(tmp_path / str(i)) for i in range(3)])
+    counts = [spark.read.parquet(str(tmp_path / str(i))).count() for i in range(3)]
+    assert sum(counts) == 300 and counts == [p.count() for p in parts] and counts[0] > counts[1] > counts[2]
