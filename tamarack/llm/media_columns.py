@@ -161,10 +161,13 @@ def _header(number: int, size: int) -> bytes:
     return head + bytes([_crc8(head)])
 
 
+_CRC8_LIST = _CRC8.tolist()
+
+
 def _crc8(data: bytes) -> int:
     state = 0
     for b in data:
-        state = int(_CRC8[state ^ b])
+        state = _CRC8_LIST[state ^ b]
     return state
 
 
@@ -230,13 +233,14 @@ def decode(streams: list[bytes]) -> list[Decoded]:
     where a checksum or the format does not hold.
     """
     data = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
-    infos, frames, of, shift = [], [], [], 0
+    infos, ranges, frames, of, shift = [], [], [], [], 0
     for i, s in enumerate(streams):
         infos.append(_metadata(s))
-        own = _find_frames(data, shift + infos[i].first, shift + len(s), infos[i])
+        ranges.append((shift + infos[i].first, shift + len(s)))
+        shift += len(s)
+    for i, own in enumerate(_find_frames(data, ranges, infos)):
         frames += own
         of += [i] * len(own)
-        shift += len(s)
     decoded: list[np.ndarray] = []
     start = 0
     while start < len(frames):  # as many frames at a time as hold about GROUP samples
@@ -319,29 +323,38 @@ def _header_at(head: bytes, begin: int, info: _Info) -> _Frame | None:
     return _Frame(begin, begin + at + 1, size, channels, _BITS.get(bits_code, info.bits), pairing, number, bool(head[1] & 1))
 
 
-def _find_frames(data: np.ndarray, first: int, last: int, info: _Info) -> list[_Frame]:
-    """The frames between two places, end to end."""
-    syncs = np.flatnonzero((data[first : last - 1] == 0xFF) & (data[first + 1 : last] & 0xFE == 0xF8)) + first
-    heads = [h for at in syncs.tolist() if (h := _header_at(data[at : at + 18].tobytes(), at, info))]
-    if first < last and (not heads or heads[0].begin != first):
-        raise ValueError("no frame where one must begin")
-    begin = np.array([h.begin for h in heads], np.int64)
-    ends = np.append(begin[1:], last)[: len(begin)]
+def _find_frames(data: np.ndarray, ranges: list[tuple[int, int]], infos: list[_Info]) -> list[list[_Frame]]:
+    """The frames of each stream, end to end between the two places of its range."""
+    last = max((end for _, end in ranges), default=0)
+    syncs = np.flatnonzero((data[: max(0, last - 1)] == 0xFF) & (data[1:last] & 0xFE == 0xF8))
+    heads: list[list[_Frame]] = []
+    for (first, end), info in zip(ranges, infos, strict=True):
+        own = syncs[np.searchsorted(syncs, first) : np.searchsorted(syncs, end - 1)]
+        heads.append([h for at in own.tolist() if (h := _header_at(data[at : at + 18].tobytes(), at, info))])
+        if first < end and (not heads[-1] or heads[-1][0].begin != first):
+            raise ValueError("no frame where one must begin")
+    begin = np.array([h.begin for own in heads for h in own], np.int64)
+    ends = np.array([e for own, (_, end) in zip(heads, ranges, strict=True) for e in [*(h.begin for h in own[1:]), *([end] if own else [])]], np.int64)
     good = crc(data, begin, ends - begin, 16) == 0  # the CRC of a frame with its own CRC is 0
-    found, i = [], 0
-    while i < len(heads):
-        j, holds = i, good[i]
-        while not holds:  # what looked like a header was within the frame
-            j += 1
-            if j == len(heads):
-                raise ValueError("a frame's CRC-16 does not hold")
-            holds = crc(data, begin[i : i + 1], ends[j : j + 1] - begin[i], 16)[0] == 0
-        frame, frame.end = heads[i], int(ends[j])
-        expected = sum(f.size for f in found) if frame.variable else len(found)
-        if frame.channels != info.channels or frame.bits != info.bits or frame.number != expected:
-            raise ValueError("a frame differs from its stream, or is out of place")
-        found.append(frame)
-        i = j + 1
+    found, base = [], 0
+    for own, info in zip(heads, infos, strict=True):
+        frames, i, before = [], 0, 0
+        while i < len(own):
+            j, holds = i, good[base + i]
+            while not holds:  # what looked like a header was within the frame
+                j += 1
+                if j == len(own):
+                    raise ValueError("a frame's CRC-16 does not hold")
+                holds = crc(data, begin[base + i : base + i + 1], ends[base + j : base + j + 1] - begin[base + i], 16)[0] == 0
+            frame, frame.end = own[i], int(ends[base + j])
+            expected = before if frame.variable else len(frames)
+            if frame.channels != info.channels or frame.bits != info.bits or frame.number != expected:
+                raise ValueError("a frame differs from its stream, or is out of place")
+            frames.append(frame)
+            before += frame.size
+            i = j + 1
+        found.append(frames)
+        base += len(own)
     return found
 
 
