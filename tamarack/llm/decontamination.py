@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ascii_lower, broadcast_if, discard, stored
+from .common import BROADCAST_BYTES, ascii_lower, broadcast_if, discard, stored, unused
 
 #: Rows of the set of bits, in bits: of 64 bits each, they stay within the bound of a broadcast.
 SLOT_BITS = 19
@@ -119,17 +119,18 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     Untouched documents keep their text as it is. Rows with null or empty text stay.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_key"))
-    found = contaminated_spans(keyed, benchmark, width, ("doc_id", "_key")).where(F.size("spans") > 0)
-    found = stored(found.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text"), "spans").dropDuplicates(["_doc", "_text"]), "hits")
+    hit = contaminated_spans(keyed, benchmark, width, ("doc_id", "_key")).where(F.size("spans") > 0)
+    d, t, spans = (unused(name, docs.columns) for name in ("of_doc", "of_text", "spans"))
+    found = hit.select(F.col("doc_id").alias(d), F.col("_key").alias(t), F.col("spans").alias(spans))
     # equal ids with equal texts are hit alike, so id and text hash are key enough
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
-    found = found.withColumnRenamed("spans", "_spans")
+    found = stored(found.dropDuplicates([d, t]), "hits")
+    on = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
     if not spans_only:
-        return docs.join(broadcast_if(found.drop("_spans")), on, "left_anti")
-    inside = lambda i: F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["n"]))
+        return docs.join(broadcast_if(found.drop(spans)), on, "left_anti")
+    inside = lambda i: F.exists(spans, lambda s: (s["at"] <= i) & (i < s["at"] + s["n"]))
     words = F.filter(normal_words(F.col("text")), lambda w, i: ~inside(i + 1))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(words, " "))
-    return docs.join(broadcast_if(found), on, "left").withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(words, " "))
+    return docs.join(broadcast_if(found), on, "left").withColumn("text", text).drop(d, t, spans)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

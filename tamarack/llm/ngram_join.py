@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, broadcast_if, discard, hash_windows, hash_words, mix, shuffles_cleared, sliced, stored
+from .common import blocks, broadcast_if, discard, hash_windows, hash_words, mix, shuffles_cleared, sliced, stored, unused
 
 WIDTH = 5
 #: Bounds of the frequency sketch's size in bits; bytes of text for each counter; counters in a row.
@@ -302,9 +302,10 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, top: int = TOP, bottom: int
     twins = found.join(broadcast_if(best), "comp").withColumn("out", ~order.eqNullSafe(F.col("b")))
     marks = stored(twins.groupBy("doc_id", "text_key").agg(F.max("out").alias("out"), F.count("*").alias("k")).where("out or k > 1"), "marks")
     discard(every, best)
-    marks = marks.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "out")
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
-    if not (twice := marks.where("not out").drop("out")).isEmpty():
+    d, t, out = (unused(name, docs.columns) for name in ("of_doc", "of_text", "out"))
+    marks = marks.select(F.col("doc_id").alias(d), F.col("text_key").alias(t), F.col("out").alias(out))
+    on = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
+    if not (twice := marks.where(~F.col(out)).drop(out)).isEmpty():
         return docs.join(broadcast_if(marks), on, "left_anti").unionByName(docs.join(broadcast_if(twice), on, "left_semi").dropDuplicates(["doc_id", "text"]))
     return docs.join(broadcast_if(marks), on, "left_anti")
 
