@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, near duplicates, decontamination, secrets, and the mix.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, with whatever further columns it has, under any names. Every
+stage reads whole texts of any length, one row at a time, and gives no rows for an empty table;
+ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -21,24 +23,37 @@ LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or that no learned language fits, go."""
+    """Documents without letters (null and empty texts too), or that no learned language fits, go.
+
+    Each row is judged by its text alone, so repeated rows stay or go together. With nothing to learn
+    from, all go. Ties between languages do not matter: only the score does.
+    """
     filters = fit_filters(docs.where(~held_out(F.col("doc_id"))))
     judged = identify_languages(docs, filters)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: that with the least id, null ids last.
+
+    Of repeated rows (equal id and text) one stays. Null and wordless texts are copies of nothing and stay.
+    """
     return deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; null and wordless texts hold none and stay.
+
+    Repeated rows stay or go together; an empty benchmark removes nothing.
+    """
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark."""
+    """Secrets in texts are replaced by a mark, and n_chars follows; null and empty texts stay as they are.
+
+    Overlapping secrets get one mark; repeated rows are treated alike.
+    """
     clean = redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -46,7 +61,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The readings of the mix, every document at least once."""
+    """The readings of the mix, every document at least once: (doc_id, source, n_tokens, weight, epoch, block, place).
+
+    Null and wordless texts have no tokens and are read with each epoch; a null source is the empty one;
+    repeated rows are read each; ties in the order go by id and length.
+    """
     return mix_sources(docs)
 
 
