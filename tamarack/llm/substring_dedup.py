@@ -8,7 +8,9 @@ graph does not branch. Pieces of different buckets are then joined into whole pa
 source coordinates, and each path is verified at both coordinates before its words go.
 
 An edge that fills much of a batch is sent to its bucket once, with its first place there; its
-occurrences meet the first source in a separate join, so no bucket grows with one edge's count.
+occurrences meet the first source in a separate join, so no bucket grows with one edge's count. Buckets
+are counted beforehand: one that a common minimizer overfills is split by the edges' own hashes, so
+equal edges still meet.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_windows, hash_words, mix, sliced, stored
+from .common import blocks, discard, hash_windows, hash_words, mix, sliced, stored
 
 WIDTH, INNER = 13, 5
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 #: Bytes of text that a task gathers before it sends rows; an edge that occurs so often in them is hot.
 SEND_BYTES, HOT = 8 << 20, 128
+#: A bucket of more windows than MOST is split; where more than WIDE buckets might be, the bound rises to fit.
+MOST, WIDE = 1 << 22, 1 << 20
 #: Stands for a null doc_id: larger than all others.
 _NULL_ID = np.iinfo(np.int64).max
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,22 +102,39 @@ def _first_places(edges, hot: np.ndarray) -> np.ndarray:
     return at[np.diff(edges[0][at], prepend=edges[0][at[0]] + np.uint64(1)) != 0] if len(at) else at
 
 
-def _to_buckets(edges, buckets: int, often: int):
-    """Rows (bucket, hashes, run ids, run places, run lengths, hot marks), edges of a run together."""
+def _sent(edges, often: int):
+    """The edges that go to buckets, with hot marks: of a hot one its first place alone."""
     hot = _hot(edges, often)
     keep = np.sort(np.concatenate([np.flatnonzero(~hot), _first_places(edges, hot)]))
-    h, low, ids, at, hot = (x[keep] for x in (*edges, hot))
+    return [x[keep] for x in (*edges, hot)]
+
+
+def _bucket_of(h: np.ndarray, low: np.ndarray, buckets: int, split: np.ndarray) -> np.ndarray:
+    """The bucket of each edge: by its minimizer, and in split buckets (number, first part, parts) by its hash."""
+    bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
+    if len(split):
+        near = np.minimum(np.searchsorted(split[:, 0], bucket), len(split) - 1)
+        inside = np.flatnonzero(split[near, 0] == bucket)
+        _, first, parts = split[near[inside]].T
+        bucket[inside] = first + (mix(h[inside]) % parts.astype(np.uint64)).astype(np.int64)
+    return bucket
+
+
+def _to_buckets(edges, buckets: int, split: np.ndarray, often: int):
+    """Rows (bucket, hashes, run ids, run places, run lengths, hot marks), edges of a run together."""
+    h, low, ids, at, hot = _sent(edges, often)
     if not len(h):
         return
+    bucket = _bucket_of(h, low, buckets, split)
     begins = np.ones(len(h), bool)
-    begins[1:] = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + 1) | (hot[1:] != hot[:-1])
+    begins[1:] = (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + 1) | (hot[1:] != hot[:-1])
     begin = np.flatnonzero(begins)
     begin = begin[np.append(True, np.diff(begin) > 0)]
     long = np.diff(begin, append=len(h))
     if long.max() > 255:  # a length is one byte
         begin = np.concatenate([np.arange(b, b + n, 255) for b, n in zip(begin, long, strict=True)])
         long = np.diff(begin, append=len(h))
-    bucket = (mix(low[begin]) % np.uint64(buckets)).astype(np.int64)
+    bucket = bucket[begin]
     order = np.argsort(bucket, kind="stable")
     begin, long, bucket = begin[order], long[order], bucket[order]
     ends = np.cumsum(long)
@@ -161,25 +182,42 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([x for x in (out, heads) if len(x)] or [out]).astype({c: "Int64" for c in ("doc", "start", "n", "odoc", "ostart", "hot")})
 
 
-def repeated_paths(docs: DataFrame, width: int = WIDTH, inner: int = INNER, often: int = HOT) -> DataFrame:
+def _overfull(rows: DataFrame, width: int, inner: int, often: int, buckets: int, most: int) -> np.ndarray:
+    """(number, first part, parts) of the buckets that hold over ``most`` windows, at most WIDE of them."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for edges in _gathered(batches, width, inner):
+            found, n = np.unique(mix(_sent(edges, often)[1]) % np.uint64(buckets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], ["bucket", "n"])
+
+    total = stored(rows.mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "sizes")
+    most = max(most, -(-(total.agg(F.sum("n")).first()[0] or 0) // WIDE))
+    large = total.where(F.col("n") > most).sort("bucket").collect()  # fewer than WIDE, as each holds over a share of 1 / WIDE
+    discard(total)
+    parts = np.array([-(-4 * r["n"] // most) for r in large], np.int64)
+    return np.stack([np.array([r["bucket"] for r in large], np.int64), buckets + np.cumsum(parts) - parts, parts], axis=1)
+
+
+def repeated_paths(docs: DataFrame, width: int = WIDTH, inner: int = INNER, often: int = HOT, most: int = MOST) -> DataFrame:
     """(doc, start, n, odoc, ostart): ``n`` windows from word ``start`` that also stand in document
     ``odoc`` < ``doc`` from word ``ostart``, as long as they run on. Null ids are the largest number."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    split = _overfull(rows, width, inner, often, buckets, most)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "hashes", "ids", "places", "lengths", "hots"]
         for edges in _gathered(batches, width, inner):
-            for row in _to_buckets(edges, buckets, often):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names)
+            for row in _to_buckets(edges, buckets, split, often):
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names)
 
     def hot_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for edges in _gathered(batches, width, inner):
             at = np.flatnonzero(_hot(edges, often))
             yield pa.RecordBatch.from_arrays([pa.array(edges[0][at].view(np.int64)), pa.array(edges[2][at]), pa.array(edges[3][at])], ["hot", "doc", "start"])
 
-    sent = rows.mapInArrow(spread, "bucket int, hashes binary, ids binary, places binary, lengths binary, hots binary")
+    sent = rows.mapInArrow(spread, "bucket long, hashes binary, ids binary, places binary, lengths binary, hots binary")
     found = stored(sent.groupBy("bucket").applyInPandas(_bucket, _PIECE + ", hot long"), "edges")
     heads = found.where("hot is not null").select("hot", "odoc", "ostart")
     pieces = found.where("hot is null").drop("hot")
@@ -198,17 +236,18 @@ def _digest(words: list[str], start: int, n: int, width: int) -> bytes:
     return hashlib.md5(" ".join(words[start : start + n + width - 1]).encode()).digest()
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, often: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, often: int = HOT, most: int = MOST) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, removed): what stays of each row of ``docs`` (doc_id, text).
 
     Words are runs without white space; kept: the words that stay, joined by one space; removed:
     array<struct<start, n>> of word places. A word goes if it lies in a window of ``width`` words that
     also starts in a document with a smaller doc_id. Null text has no words. A null doc_id counts as
     larger than all others; rows with the same doc_id do not take from each other, and each such row
-    loses only spans that its own words bear out. Other columns do not matter.
+    loses only spans that its own words bear out. Other columns do not matter. Texts of any length are
+    read whole; an empty table gives no rows. ``often`` and ``most`` shape the plan, never the result.
     """
     docs = docs.select(F.col("doc_id"), "text")
-    paths = stored(repeated_paths(docs, width, min(INNER, width), often), "paths")
+    paths = stored(repeated_paths(docs, width, min(INNER, width), often, most), "paths")
 
     asked = paths.groupBy("odoc").agg(F.collect_set(F.struct("ostart", "n")).alias("asked"))
 

@@ -99,8 +99,8 @@ def test_token_chunks_of_any_size():
             assert machine.count(text, chunk) == len(model.encode(text)), (text, chunk)
 
 
-@pytest.mark.parametrize("often", [2, 128])
-def test_substring_dedup(spark, docs, texts, often):
+@pytest.mark.parametrize(("often", "most"), [(2, 1 << 22), (128, 1 << 22), (2, 5), (128, 5)])
+def test_substring_dedup(spark, docs, texts, often, most):
     width = 4
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[4])]
     first = {}
@@ -118,11 +118,22 @@ def test_substring_dedup(spark, docs, texts, often):
             if first[tuple(w[j : j + width])] < key(i):
                 gone |= set(range(j, j + width))
         want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
-    got = found(substring_dedup.remove_repeats(docs, width, often), "doc_id", "n_words", "n_removed", "kept")
+    got = found(substring_dedup.remove_repeats(docs, width, often, most), "doc_id", "n_words", "n_removed", "kept")
     assert got == sorted(want, key=str)
     assert substring_dedup.remove_repeats(docs.limit(0), width).count() == 0
 
 
+def test_a_common_phrase_does_not_fill_a_bucket(spark):
+    rows = [(i, f"a{i} b{i} c{i} share this page with friends x{i % 50} y{i % 50} z{i % 50}") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    slim = frame.select("doc_id", "text")
+    split = substring_dedup._overfull(slim, 7, 5, 128, 256, 500)
+    assert len(split) and (split[:, 2] >= 4).all() and (split[:, 1] >= 256).all()
+    got = dict(found(substring_dedup.remove_repeats(frame, 7, 128, 500), "doc_id", "n_removed"))
+    # the phrase with its last words repeats every 50 rows; with its first ones it never does
+    assert got == {i: 0 if i < 50 else 8 for i in range(2000)}
+
+
 def test_ngram_join(docs, texts):
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[4])]
     sets = []
