@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neighbors
+from .frame import running_sums
 from .transforms import Transform
 
 #: Pairs drawn to estimate a radius, and the quantile of their distances that is taken.
@@ -103,12 +104,11 @@ class Optics(Transform):
         radii = [float(e) for e in self.eps.split(",")]
         points, names = _slots(df, self.id, self.col)
         found = neighbors.optics(points, max(radii), self.mps, self.id, names)
-        order = Window.orderBy("place")  # the order is one task's work already
-        for i, e in enumerate(radii):
-            starts = (F.col("reachability") > e) & (F.col("core") <= e)
+        out = {e: "" if len(radii) == 1 else f"_{i}" for i, e in enumerate(radii)}
+        starts = {self.outc + n: F.when((F.col("reachability") > e) & (F.col("core") <= e), 1).otherwise(0) for e, n in out.items()}
+        found = running_sums(found, "place", starts)
+        for e, n in out.items():
             noise = (F.col("reachability") > e) & (F.col("core") > e)
-            suffix = "" if len(radii) == 1 else f"_{i}"
-            number = F.sum(F.when(starts, 1).otherwise(0)).over(order).cast("int")
-            found = found.withColumns({self.outc + suffix: F.when(noise, -1).otherwise(number), self.outs + suffix: F.when(noise, 0.0).otherwise(1.0)})
+            found = found.withColumns({self.outc + n: F.when(noise, -1).otherwise(F.col(self.outc + n).cast("int")), self.outs + n: F.when(noise, 0.0).otherwise(1.0)})
         made = [c for c in found.columns if c not in ("group", "id", "place", "reachability", "core")]
         return df.join(found.select(F.col("id").alias(self.id), *made), self.id)

@@ -22,20 +22,26 @@ def _keys(order: str | Sequence[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
-def with_index(df: DataFrame, order: str | Sequence[str], name: str = "index") -> DataFrame:
-    """``df`` with the place (from 0) of each row in ``order``; ``name`` gets a ``_`` while it is taken.
+def running_sums(df: DataFrame, order: str | Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns: each value summed over the rows up to this one in ``order``.
 
-    Rows are range-partitioned and sorted, counted by partition, and numbered from these few counts:
-    no window over the whole table in one task.
+    Rows are range-partitioned and sorted, summed by partition, and continued from these few sums: no
+    window over the whole table in one task.
     """
+    ordered = durable(df.orderBy(*_keys(order)).withColumns({"_part": F.spark_partition_id()} | values))
+    sums = ordered.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in values))  # one row a partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in values))
+    inside = Window.partitionBy("_part").orderBy(*_keys(order)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ordered.withColumns({c: F.sum(c).over(inside) for c in values}).join(F.broadcast(before), "_part")
+    return joined.withColumns({c: F.col(c) + F.col(f"_{c}") for c in values}).drop("_part", *(f"_{c}" for c in values))
+
+
+def with_index(df: DataFrame, order: str | Sequence[str], name: str = "index") -> DataFrame:
+    """``df`` with the place (from 0) of each row in ``order``; ``name`` gets a ``_`` while it is taken."""
     while name in df.columns:
         name += "_"
-    ordered = durable(df.orderBy(*_keys(order)).withColumn("_part", F.spark_partition_id()))
-    counts = ordered.groupBy("_part").count()  # one row a partition
-    before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(*_keys(order))
-    numbered = ordered.withColumn("_at", F.row_number().over(inside)).join(F.broadcast(before), "_part")
-    return numbered.withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_before", "_at")
+    return running_sums(df, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
 def draw(seed: int, *keys: Column | str) -> Column:

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .frame import with_index
 
-BLOCK = 2048
+#: Vectors of a block at most, and at least where fewer blocks would leave cores idle.
+BLOCK, LEAST_BLOCK = 2048, 128
 
 
 def distance(a: Column, b: Column, metric: str = "L2") -> Column:
@@ -47,17 +49,22 @@ def _blocks(df: DataFrame, id_col: str, vector: str, side: str, count: int) -> D
 
 def knn(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "L2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, rank, neighbor, distance): the ``k`` nearest items of each query, ties by the smaller id."""
-    nq, ni = (max(1, -(-df.count() // BLOCK)) for df in (queries, items))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    count = lambda n, least: max(1, -(-n // BLOCK), least)
+    n_items = items.count()
+    nq, ni = count(queries.count(), 1), count(n_items, min(cores, n_items // LEAST_BLOCK))
     left = _blocks(queries, id_col, vector, "q", nq).withColumn("i_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ni - 1).cast("long"))))
-    pairs = left.join(_blocks(items, id_col, vector, "i", ni), "i_block")
+    # a stated number of partitions: small blocks are much work, and must not be put together by their size
+    pairs = left.repartition(min(4 * cores, nq * ni), "i_block", "q_block").join(_blocks(items, id_col, vector, "i", ni), "i_block")
 
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
                 x, y = np.stack(row.q_vectors).astype(float), np.stack(row.i_vectors).astype(float)
                 ids = np.asarray(row.i_ids)
-                d = _distances(x, y, metric)
-                best = np.stack([np.lexsort((ids, line))[:k] for line in d])
+                order = np.argsort(ids)
+                ids, d = ids[order], _distances(x, y[order], metric)
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
                 near = np.take_along_axis(d, best, 1)
                 yield pd.DataFrame({"id": np.repeat(row.q_ids, best.shape[1]), "neighbor": ids[best].ravel(), "distance": near.ravel()})
 
@@ -103,6 +110,36 @@ def neighborhood(df: DataFrame, eps: float, id_col: str, columns: list[str]) ->
     return around.join(other, [f"c{i}" for i in range(len(cell))]).where(square <= eps * eps).select(F.col("id").alias("a"), "b")
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """(a, root): the least node that each node reaches; ``links`` holds both directions and each node with itself."""
+    label = durable(links.select("a").distinct().select("a", F.col("a").alias("root")))
+    while True:
+        near = links.join(label.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("root"))
+        jump = near.join(label.select(F.col("a").alias("root"), F.col("root").alias("far")), "root").select("a", F.least("root", "far").alias("root"))
+        moved = durable(jump)
+        if moved.join(label, ["a", "root"], "left_anti").isEmpty():
+            return label
+        label = moved
+
+
+def _regions(points: DataFrame, eps: float, names: list[str]) -> DataFrame:
+    """``points`` (group, id, coordinates) with ``region``: points within ``eps`` of each other always share theirs.
+
+    Cells of side ``eps`` over the first three coordinates that touch are linked; a region is a component
+    of cells, so no pairs of points are made. A point with a missing coordinate is a region of its own.
+    """
+    cells = [f"c{i}" for i in range(min(3, len(names)))]
+    placed = points.withColumns({c: F.floor(F.col(x) / (eps or 1.0)).cast("long") for c, x in zip(cells, names)})
+    filled = durable(placed.groupBy("group", *cells).agg(F.min("id").alias("b")))
+    around = filled.withColumnRenamed("b", "a")
+    for c in cells:
+        around = around.withColumn(c, F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))))
+    links = durable(around.join(filled, ["group", *cells]).select("a", "b"))
+    roots = filled.join(_roots(links), F.col("a") == F.col("b")).select("group", *cells, F.col("root").alias("region"))
+    whole = placed.join(roots, ["group", *cells], "left")
+    return whole.withColumn("region", F.coalesce("region", "id")).select("group", "region", "id", *names)
+
+
 def dbscan(df: DataFrame, eps: float, mps: int, id_col: str, columns: list[str]) -> DataFrame:
     """(id, cluster, score): density clusters, named by the order of their least core point, from 1; noise is -1.
 
@@ -113,14 +150,7 @@ def dbscan(df: DataFrame, eps: float, mps: int, id_col: str, columns: list[str])
     pairs = durable(neighborhood(df, eps, id_col, columns))
     core = pairs.groupBy("a").count().where(F.col("count") >= mps).select("a")
     links = durable(pairs.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"))
-    label = durable(core.select("a", F.col("a").alias("root")))
-    while True:
-        near = links.join(label.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("root"))
-        jump = near.join(label.select(F.col("a").alias("root"), F.col("root").alias("far")), "root").select("a", F.least("root", "far").alias("root"))
-        moved = durable(jump)
-        if moved.join(label, ["a", "root"], "left_anti").isEmpty():
-            break
-        label = moved
+    label = _roots(links)
     reached = pairs.join(label.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("root"))
     reached = label.unionByName(reached.join(label, "a", "left_anti"))
     sizes = reached.groupBy("root").count().where(F.col("count") >= mps)
@@ -134,25 +164,32 @@ def dbscan(df: DataFrame, eps: float, mps: int, id_col: str, columns: list[str])
 def optics(df: DataFrame, eps: float, mps: int, id_col: str, columns: list[str], group: str | None = None) -> DataFrame:
     """(group, id, place, reachability, core): the density order of each group's points.
 
-    The order is sequential by nature: a group is one task's work and must fit it. Undefined distances
-    are infinite; ties go to the smaller id.
+    The order starts at the least id that is left and follows the points it reaches; what no core point
+    reaches starts anew, with an infinite reachability. Such runs never leave a region of near cells, so
+    regions are ordered apart, each one task's work, sequential by nature, and runs are put in the order
+    of their first ids. Undefined distances are infinite; ties go to the smaller id.
     """
-    points = df.select((F.col(group) if group else F.lit(0)).cast("long").alias("group"), F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    names = [f"x{i}" for i in range(len(columns))]
+    points = df.select((F.col(group) if group else F.lit(0)).cast("long").alias("group"), F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(x) for c, x in zip(columns, names)))
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        ids, x = rows["id"].to_numpy(), rows[[f"x{i}" for i in range(len(columns))]].to_numpy()
-        reach, core, done, out = np.full(len(ids), np.inf), np.full(len(ids), np.inf), np.zeros(len(ids), bool), []
+        ids, x = rows["id"].to_numpy(), rows[names].to_numpy()
+        reach, core, done, out, runs = np.full(len(ids), np.inf), np.full(len(ids), np.inf), np.zeros(len(ids), bool), [], []
         for _ in ids:
             left = np.flatnonzero(~done)
             at = left[int(np.argmin(reach[left]))]
             done[at] = True
             out.append(at)
+            runs.append(ids[at] if np.isinf(reach[at]) else runs[-1])
             d = np.sqrt(((x - x[at]) ** 2).sum(1))
             near = d <= eps
             if near.sum() >= mps:
                 core[at] = np.partition(d, mps - 1)[mps - 1]
                 reach = np.where(near & ~done, np.minimum(reach, np.maximum(d, core[at])), reach)
-        return pd.DataFrame({"group": rows["group"].iloc[0], "id": ids[out], "place": range(len(out)), "reachability": reach[out], "core": core[out]})
+        return pd.DataFrame({"group": rows["group"].iloc[0], "run": runs, "step": range(len(out)), "id": ids[out], "reachability": reach[out], "core": core[out]})
 
-    return points.groupBy("group").applyInPandas(order, "group long, id long, place int, reachability double, core double")
+    ordered = _regions(points, eps, names).groupBy("group", "region").applyInPandas(order, "group long, run long, step int, id long, reachability double, core double")
+    placed = with_index(ordered, ["group", "run", "step"], "place")
+    first = placed.groupBy("group").agg(F.min("place").alias("first"))
+    return placed.join(first, "group").select("group", "id", (F.col("place") - F.col("first")).cast("int").alias("place"), "reachability", "core")

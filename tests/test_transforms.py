@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.operators import neighbors
+from tamarack.operators import density, neighbors
 from tamarack.operators import transforms as X
 from tamarack.plans import pipeline
 
@@ -67,6 +67,47 @@ def test_dbscan_and_optics(spark):
     assert len(order) == 61 and np.isinf(order["reachability"]).sum() == 3
 
 
+def density_order(ids, x, eps, mps):
+    """The order over all points at once, as (id, reachability, core)."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = [np.sort(row)[mps - 1] if (row <= eps).sum() >= mps else np.inf for row in d]
+    reach, left, out = dict.fromkeys(range(len(ids)), np.inf), set(range(len(ids))), []
+    while left:
+        at = min(left, key=lambda i: (reach[i], ids[i]))
+        left.remove(at)
+        out.append((ids[at], reach[at], core[at]))
+        for i in left:
+            if d[at, i] <= eps and np.isfinite(core[at]):
+                reach[i] = min(reach[i], max(d[at, i], core[at]))
+    return out
+
+
+def test_optics_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(rng.integers(-4, 4, 3), 0.3, (25, 3)) for _ in range(5)] + [rng.uniform(-9, 9, (25, 3))]).round(2)
+    ids = rng.permutation(1000)[: len(x)].tolist()
+    rows = [(i, n % 2, *map(float, p)) for n, (i, p) in enumerate(zip(ids, x, strict=True))]
+    df = spark.createDataFrame(rows, "id long, g int, x double, y double, z double")
+    for group in (None, "g"):
+        got = neighbors.optics(df, 0.6, 4, "id", ["x", "y", "z"], group).orderBy("group", "place").toPandas()
+        for g in (0, 1) if group else (0,):
+            chosen = [n for n in range(len(x)) if not group or n % 2 == g]
+            want = density_order([ids[n] for n in chosen], x[chosen], 0.6, 4)
+            part = got[got["group"] == g]
+            assert part["id"].tolist() == [w[0] for w in want] and part["place"].tolist() == list(range(len(want)))
+            assert np.allclose(part["reachability"], [w[1] for w in want]) and np.allclose(part["core"], [w[2] for w in want])
+    vectors = df.select("id", F.array("x", "y", "z").alias("Features"))
+    cut = {r["id"]: (r["ClusterId_0"], r["ClusterId_1"]) for r in density.Optics(eps="0.3,0.6", mps=4).transform(vectors).collect()}
+    number = [0, 0]
+    for i, reach, core in density_order(ids, x, 0.6, 4):
+        for n, e in enumerate((0.3, 0.6)):
+            number[n] += reach > e >= core
+            assert cut[i][n] == (-1 if reach > e and core > e else number[n])
+    alone = spark.createDataFrame([(1, None, 0.0), (2, 0.0, 0.0), (3, None, 0.0)], "id long, x double, y double")
+    assert neighbors.optics(alone, 1.0, 2, "id", ["x", "y"]).count() == 3
+    assert neighbors.optics(alone.limit(0), 1.0, 2, "id", ["x", "y"]).count() == 0
+
+
 def test_minilanguage_and_pipeline(spark, three, tmp_path):
     assert pipeline.parse("a{b=c{d=e f=g} h=+}") == ("a", {"b": "c{d=e f=g}", "h": "+"})
     with pytest.raises(ValueError):
