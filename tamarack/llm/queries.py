@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP12_SQL, op12_centroid_clusters
 from .decontamination import OP7_SQL, op7_decontamination
 from .language_id import op1_language_id
 from .license_scan import op4_license_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op6_secret_scans": OP6_SQL,
     "op7_decontamination": OP7_SQL,
     "op9_ngram_join": OP9_SQL,
+    "op12_centroid_clusters": OP12_SQL,
 }
