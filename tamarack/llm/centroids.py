@@ -113,6 +113,8 @@ def centroid_clusters(table: DataFrame, key: str = "vec_id", vector: str = "embe
             for first in range(0, len(frame), SLICE):
                 part = frame.iloc[first : first + SLICE]
                 kept, values = quantised(part["v"], dim, scale)
+                if not len(values):
+                    continue
                 at, far = nearest(values, shared.value)
                 yield pd.DataFrame({"k": part["k"][kept].to_numpy(), "c": at, "d": far, "ci": [each[j] for j in at], "i": inertia, "at": [rows[j] for j in at]})
 
