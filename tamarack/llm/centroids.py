@@ -70,7 +70,7 @@ def cluster_sums(table: DataFrame, vector: str, centroids: np.ndarray, scale: in
                     if sums:
                         total[j, 2:] += values[mine].sum(axis=0)
         j, slot = np.nonzero(total)
-        yield pd.DataFrame({"cluster": j, "slot": slot, "total": [str(x) for x in total[j, slot]]})
+        yield pd.DataFrame({"cluster": j, "slot": slot, "total": pd.Series([str(x) for x in total[j, slot]], dtype=object)})
 
     slots = table.select(F.col(f"`{vector}`").alias("v")).mapInPandas(partial, "cluster int, slot int, total string")
     with shuffles_cleared(table.sparkSession):
@@ -116,7 +116,7 @@ def centroid_clusters(table: DataFrame, key: str = "vec_id", vector: str = "embe
                 if not len(values):
                     continue
                 at, far = nearest(values, shared.value)
-                yield pd.DataFrame({"k": part["k"][kept].to_numpy(), "c": at, "d": far, "ci": [each[j] for j in at], "i": inertia, "at": [rows[j] for j in at]})
+                yield pd.DataFrame({"k": pd.Series(part["k"][kept].tolist(), dtype=object), "c": at, "d": far, "ci": [each[j] for j in at], "i": inertia, "at": [rows[j] for j in at]})
 
     # the key goes as text: pandas would make a float of a long beside nulls
     text = table.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{vector}`").alias("v"))
