@@ -9,6 +9,7 @@ from .license_scan import op4_license_scan
 from .media_columns import op8_media_columns
 from .mixing import op10_mixing
 from .ngram_join import OP9_SQL, op9_ngram_join
+from .periodic_runs import op11_periodic_runs
 from .secret_scans import OP6_SQL, op6_secret_scans
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .token_counts import op2_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_centroid_clusters": op12_centroid_clusters,
 }
 
