@@ -14,6 +14,7 @@ from .secret_scans import OP6_SQL, op6_secret_scans
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .token_counts import op2_token_counts
 from .url_filters import op5_url_filters
+from .warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_warc": op13_warc,
 }
 
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op7_decontamination": OP7_SQL,
     "op9_ngram_join": OP9_SQL,
     "op12_centroid_clusters": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
