@@ -100,6 +100,8 @@ def negated(a: Column) -> Column:
 
 
 def almost_equal(a: Column, b: Column, precision: float = 1e-6) -> Column:
-    """Equal within a relative error; NaN equals NaN, null equals null."""
+    """Equal within a relative error of finite values; NaN equals NaN, an infinity itself, null equals null."""
+    top = F.lit(float("inf"))  # NaN is above it
+    finite = (F.abs(a) < top) & (F.abs(b) < top)
     close = F.abs(a - b) <= precision * F.greatest(F.abs(a), F.abs(b))
-    return F.coalesce(close | (F.isnan(a) & F.isnan(b)), a.isNull() & b.isNull())
+    return a.eqNullSafe(b) | F.coalesce(finite & close, F.lit(False))

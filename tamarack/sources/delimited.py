@@ -18,7 +18,7 @@ from ..functions.kinds import DEFAULTS, SPARK_TYPES, guess_kind, infer_schema, k
 from ..operators.frame import flatten, with_index
 
 
-def _read(spark: SparkSession, source, sample: list[str], sep: str, header: bool, names, dtypes, nrows: int, guess_rows: int, encoding: str = "UTF-8") -> DataFrame:
+def _read(spark: SparkSession, source, sample: list[str], sep: str, header: bool, names, dtypes, guess_rows: int, encoding: str = "UTF-8") -> DataFrame:
     if not sample:
         raise ValueError("there is nothing to read")
     first = sample[0].split(sep)
@@ -26,7 +26,7 @@ def _read(spark: SparkSession, source, sample: list[str], sep: str, header: bool
     schema = infer_schema(names, [line.split(sep) for line in sample[1 if header else 0 :][:guess_rows]], dtypes)
     options = {"sep": sep, "header": str(header).lower(), "quote": "", "enforceSchema": "true", "encoding": encoding}
     df = spark.read.schema(schema).options(**options, ignoreLeadingWhiteSpace="true", ignoreTrailingWhiteSpace="true").csv(source)
-    return df if nrows < 0 else df.limit(nrows)
+    return df
 
 
 def read_csv(
@@ -35,18 +35,21 @@ def read_csv(
 ) -> DataFrame:
     """One or several delimited files; the schema comes from the first ``guess_rows`` rows of the first.
 
-    ``index`` puts the rows' places, by file and line, in front.
+    ``nrows``: only the first rows by file and line; ``index`` puts the rows' places, in the same order, in front.
     """
     first = path if isinstance(path, str) else path[0]
     shown = spark.read.options(encoding=encoding, sep="\u0001", quote="").schema("value string").csv(first)  # the reader that knows encodings
     sample = [r["value"] for r in shown.where("trim(value) <> ''").take(guess_rows + 1)]
     if header:  # the parts of a folder each start with it
         sample = sample[:1] + [x for x in sample[1:] if x != sample[0]]
-    df = _read(spark, path if isinstance(path, str) else list(path), sample, sep, header, names, dtypes, -1, guess_rows, encoding)
-    if index:
-        placed = df.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
-        df = indexed(placed, ["_file", "_row"]).drop("_file", "_row")
-    return df if nrows < 0 else df.limit(nrows)
+    df = _read(spark, path if isinstance(path, str) else list(path), sample, sep, header, names, dtypes, guess_rows, encoding)
+    if not index and nrows < 0:
+        return df
+    order = ["_file", "_block", "_row"]
+    placed = df.withColumns({"_file": F.input_file_name(), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
+    if nrows >= 0:  # the first rows, not any
+        placed = placed.orderBy(*order).limit(nrows)
+    return (indexed(placed, order) if index else placed).drop(*order)
 
 
 def read_from(spark: SparkSession, opened: Callable[[], IO], encoding: str = "UTF-8", **options) -> DataFrame:
@@ -106,7 +109,7 @@ def _cell(value, field: T.StructField):
     if isinstance(value, str) and kind != "TX":
         value = value.strip()
         return value.lower() == "true" if kind == "BL" else int(value) if kind in ("I4", "U4", "I8") else float(value)
-    return str(value) if kind == "TX" else value
+    return str(value) if kind == "TX" else float(value) if kind in ("R4", "R8") else value
 
 
 def from_dictionary(spark: SparkSession, values: Mapping, keys: Sequence[str], value: str = "value") -> DataFrame:
