@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -11,25 +11,7 @@ from ..operators import aggregate, density, frame, neighbors
 from ..operators import transforms as X
 from ..streaming import streams
 from . import graph, pipeline
-
-QUERIES = {}
-ORACLES = {}
-
-
-def registered(sql: str | None = None):
-    """Register a function under its own name, with SQL of equal results."""
-
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .registry import ORACLES, QUERIES, registered, table
 
 
 @registered(
