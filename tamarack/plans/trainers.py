@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.ml import classification, clustering, regression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import neighbors
+from ..operators import neighbors, ranking
 from ..operators import transforms as X
+from ..operators.calibration import Isotonic, Platt
+from ..operators.transforms import uniform
+from ..session import durable
 from .language import number, parse
 
 #: Names, in lower case, of the trainers that ``pyspark.ml`` has.
@@ -128,14 +131,114 @@ class ExpandedModel:
         return named.drop(*(f"_score{i}" for i in range(len(self.classes))))
 
 
-class OneAgainstAll(Library):
-    """A binary model for each class, by ``OneVsRest``."""
+class OneAgainstAll:
+    """A binary model for each class, their scores calibrated to probabilities that sum to 1.
+
+    ``p``: the base trainer; ``useprob`` (``-``: highest margin, no probabilities); ``cali``: platt, isotonic or none (scores in 0 to 1 as they are);
+    ``ds``: the share of the other classes' rows that each base model leaves out, drawn by a hash of the row's features; the calibrator
+    sees all rows. Rows without label are left out.
+    """
 
     def __init__(self, options: dict[str, str], features: str, label: str):
-        name, base = parse(options.get("p", "lr"))
-        self.features = features
-        inner = LIBRARY[name.lower()](**{k: number(v) for k, v in base.items()})
-        self.estimator = classification.OneVsRest(classifier=inner, featuresCol=_VECTORS, labelCol=label)
+        self.base, self.features, self.label = options.get("p", "lr"), features, label
+        self.useprob, self.cali, self.ds = options.get("useprob", "+") == "+", options.get("cali", "platt").lower(), float(options.get("ds", 0))
+        if self.cali not in ("platt", "isotonic", "none") or not 0 <= self.ds < 1:
+            raise ValueError(f"cali={self.cali} ds={self.ds}")
+
+    def fit(self, df: DataFrame) -> OneAgainstAllModel:
+        label = F.col(f"`{self.label}`")
+        known = df.where(label.isNotNull() & ~F.isnan(label.cast("double")))
+        classes = [r[0] for r in known.select(self.label).distinct().orderBy(self.label).collect()]  # one row a class
+        models = []
+        for i, c in enumerate(classes):
+            mine = known.withColumn("_target", (label == F.lit(c)).cast("double"))
+            if self.ds:
+                mine = mine.where((F.col("_target") == 1) | (uniform(i, F.xxhash64(f"`{self.features}`")) >= self.ds))
+            models.append(make(self.base, self.features, "_target").fit(mine.select(self.features, "_target")))
+        out = OneAgainstAllModel(self, classes, models, [])
+        if self.useprob and self.cali != "none":
+            margins = durable(out.margins(known, "_m").select("_m", label.alias("_y")))
+            scores = [F.col("_m")[i] for i in range(len(classes))]
+            targets = [(F.col("_y") == F.lit(c)).cast("double") for c in classes]
+            out.calibrators = Platt.fit_all(margins, scores, targets) if self.cali == "platt" else [Isotonic.fit(margins, x, t) for x, t in zip(scores, targets, strict=True)]
+        return out
+
+
+class OneAgainstAllModel:
+    """Adds ``scores`` (an array in the order of the classes) and ``prediction`` (the class of the highest, the smaller of equals)."""
+
+    def __init__(self, made: OneAgainstAll, classes: list, models: list, calibrators: list):
+        self.made, self.classes, self.models, self.calibrators = made, classes, models, calibrators
+
+    def margins(self, df: DataFrame, name: str) -> DataFrame:
+        names, out = [], df
+        for i, model in enumerate(self.models):
+            one = model.transform(out)
+            score = vector_to_array(F.col("rawPrediction"))[1] if "rawPrediction" in one.columns else F.col("prediction")
+            out = one.withColumn(f"_score{i}", score.cast("double")).select(*out.columns, f"_score{i}")
+            names.append(f"_score{i}")
+        return out.withColumn(name, F.array(*names).cast("array<double>")).drop(*names)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.margins(df, "scores")
+        if self.made.useprob:
+            raw = [F.col("scores")[i] for i in range(len(self.classes))]
+            raw = [c.column(x) for c, x in zip(self.calibrators, raw, strict=True)] if self.calibrators else raw
+            out = out.withColumn("scores", normalised(raw))
+        if not self.classes:
+            return out.withColumn("prediction", F.lit(None).cast("double"))
+        at = F.array_position("scores", F.array_max("scores")).cast("int")
+        return out.withColumn("prediction", F.element_at(F.array(*map(F.lit, self.classes)), at))
+
+
+def normalised(scores: list[Column]) -> Column:
+    """Probabilities from scores: cut to 0 to 1, missing ones 0, divided by their sum; all equal where that is 0."""
+    cut = F.array(*(F.when(F.isnan(x) | x.isNull(), 0.0).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))) for x in scores))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(cut, lambda x: F.when(total(cut) > 0, x / total(cut)).otherwise(F.lit(1.0 / max(1, len(scores)))))
+
+
+class Ranker:
+    """Linear ranking by pairs inside the rows' ``group``; the label is the relevance. Adds ``prediction``, the score."""
+
+    def __init__(self, options: dict[str, str], features: str, label: str):
+        self.group, self.l2, self.features, self.label = options.get("group", "GroupId"), float(options.get("l2", 1)), features, label
+
+    def fit(self, df: DataFrame) -> RankerModel:
+        return RankerModel(self.features, ranking.fit_ranker(df, self.features, self.label, self.group, self.l2))
+
+
+class RankerModel:
+    def __init__(self, features: str, weights: list[float]):
+        self.features, self.weights = features, weights
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", ranking.dot(F.col(f"`{self.features}`"), self.weights) if self.weights else F.lit(0.0))
+
+
+class ClassRanker:
+    """Classes ranked for each row: the row's candidates are a group, its own class is to come first."""
+
+    def __init__(self, options: dict[str, str], features: str, label: str):
+        self.l2, self.features, self.label = float(options.get("l2", 1)), features, label
+
+    def fit(self, df: DataFrame) -> ClassRankerModel:
+        label = F.col(f"`{self.label}`")
+        classes = [r[0] for r in df.where(label.isNotNull()).select(self.label).distinct().orderBy(self.label).collect()]  # one row a class
+        return ClassRankerModel(self.features, classes, ranking.fit_class_ranker(df, self.features, self.label, classes, self.l2))
+
+
+class ClassRankerModel:
+    """Adds ``scores``, an array in the order of the classes, and ``prediction``, the class of the highest."""
+
+    def __init__(self, features: str, classes: list, weights: list[list[float]]):
+        self.features, self.classes, self.weights = features, classes, weights
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = F.col(f"`{self.features}`")
+        scored = df.withColumn("scores", F.array(*(ranking.dot(x, w[:-1]) + F.lit(w[-1]) for w in self.weights)).cast("array<double>"))
+        at = F.array_position("scores", F.array_max("scores")).cast("int")
+        return scored.withColumn("prediction", F.element_at(F.array(*map(F.lit, self.classes)), at) if self.classes else F.lit(None).cast("double"))
 
 
 class Around:
@@ -174,6 +277,10 @@ def make(text: str, features: str = "Features", label: str = "Label"):
     name = name.lower()
     if name in ("knn", "knnmc"):
         return Neighbors(options, features, label, name == "knnmc")
+    if name == "iovark" and parse(options.get("p", "rank"))[0].lower() == "rank":
+        return ClassRanker(parse(options.get("p", "rank"))[1], features, label)
+    if name == "rank":
+        return Ranker(options, features, label)
     if name in ("iova", "iovark"):
         return Expanded(options, features, label, name == "iovark")
     if name in ("oova", "ova"):
