@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import kind_of
+from ..session import durable
 
 FUNCTIONS = ("sum", "count", "mean", "min", "max")
 
@@ -117,3 +118,26 @@ def fold(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str],
     """(keys, value): a left fold of ``column`` in ``order`` within each group."""
     rows = F.array_sort(F.collect_list(F.struct(*(F.col(f"`{o}`") for o in order), F.col(f"`{column}`").alias("_x"))))
     return df.groupBy(*keys).agg(F.aggregate(rows, start, lambda a, r: step(a, r["_x"])).alias("value"))
+
+
+def ordered_fold(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str], start: Column, step: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """(keys, value): a left fold in ``order`` whose partial results ``merge`` joins: merge(fold(a), fold(b)) = fold(a then b).
+
+    Rows are range-partitioned by (keys, order), so a hot key spreads; each partition folds its part of a group, and a group's parts, one a
+    partition at most, are merged in order. ``start`` must not change what it is merged with. Null keys are a group; null cells reach ``step``; an
+    empty table gives no rows; rows that are equal in ``order`` come by the cell.
+    """
+    o = [f"_o{i}" for i in range(len(order))]
+    k = [f"_k{i}" for i in range(len(keys))]
+    slim = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keys, k, strict=True)), *(F.col(f"`{c}`").alias(n) for c, n in zip(order, o, strict=True)), F.col(f"`{column}`").alias("_x"))
+    ordered = durable(slim.repartitionByRange(*k, *o, "_x").withColumn("_part", F.spark_partition_id()))
+    rows = F.array_sort(F.collect_list(F.struct(*o, "_x")))
+    parts = ordered.groupBy("_part", *k).agg(F.aggregate(rows, start, lambda a, r: step(a, r["_x"])).alias("_v"))
+    whole = parts.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("_part", "_v"))).alias("_p"))
+    value = F.aggregate(F.col("_p"), start, lambda a, r: merge(a, r["_v"]))
+    return whole.select(*(F.col(n).alias(c) for c, n in zip(keys, k, strict=True)), value.alias("value"))
+
+
+def text_sums(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:
+    """(keys, value): each group's text joined in order, nulls left out, by bounded partial folds."""
+    return ordered_fold(df, keys, column, order, F.lit(""), lambda a, x: F.concat(a, F.coalesce(x, F.lit(""))), lambda a, b: F.concat(a, b))

@@ -59,11 +59,51 @@ def filter_rows(df: DataFrame, mask: str | Column) -> DataFrame:
     return df.where(mask)
 
 
+def _hits(df: DataFrame, places: Sequence[int], order: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may stand at ``places``, with ``_place``; all other rows).
+
+    Only the order's columns are sorted. The sizes of their range partitions (a number each) tell which few of these hold the
+    places, and the counts of keys in those tell which keys: no more than there are places. The rows with these keys come by a
+    broadcast join with them, and only they are numbered where keys repeat.
+    """
+    keys = _keys(order)
+    spark, wanted = df.sparkSession, sorted({int(p) for p in places if p >= 0})
+    o = [f"_o{i}" for i in range(len(keys))]
+    sorted_keys = durable(df.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, o, strict=True))).orderBy(*o).withColumn("_part", F.spark_partition_id()))
+    start, parts = 0, []
+    for part, n in sorted_keys.groupBy("_part").agg(F.count(F.lit(1))).orderBy("_part").collect():  # one row a partition
+        if any(start <= p < start + n for p in wanted):
+            parts.append((part, start))
+        start += n
+    bases = spark.createDataFrame(parts, "_part int, _base long")
+    inside = Window.partitionBy("_part").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
+    tied = sorted_keys.join(F.broadcast(bases), "_part").groupBy("_part", "_base", *o).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = tied.withColumn("_first", F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    holds = F.exists(F.array(*(F.lit(p) for p in wanted)).cast("array<bigint>"), lambda p: (p >= F.col("_first")) & (p < F.col("_first") + F.col("_n")))
+    found = firsts.where(holds).select(*o, "_first", "_n").orderBy("_first").collect()  # no more than the places
+    rows, before = [], 0
+    for r in found:
+        rows.append((*r[: len(o)], r["_first"], before))
+        before += r["_n"]
+    schema = T.StructType([*(T.StructField(n, df.schema[k].dataType) for k, n in zip(keys, o, strict=True)), T.StructField("_first", T.LongType()), T.StructField("_before", T.LongType())])
+    chosen = F.broadcast(spark.createDataFrame(rows, schema))
+    on = None
+    for k, n in zip(keys, o, strict=True):
+        one = F.col(f"`{k}`").eqNullSafe(F.col(n))
+        on = one if on is None else on & one
+    hits = df.join(chosen, on)
+    if before > len(rows):  # keys that repeat
+        hits = with_index(hits.withColumn("_tie", F.xxhash64(*(f"`{c}`" for c in df.columns))), [*o, "_tie"], "_nth").drop("_tie")
+        hits = hits.withColumn("_place", F.col("_first") + F.col("_nth") - F.col("_before")).drop("_nth")
+    else:
+        hits = hits.withColumn("_place", F.col("_first"))
+    return hits.drop(*o, "_first", "_before"), df.join(chosen, on, "left_anti")
+
+
 def take(df: DataFrame, places: Sequence[int], order: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows at ``places`` in ``order``, repeats and their sequence kept; optionally only some columns."""
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(int(p), i) for i, p in enumerate(places)], "_place long, _nth int")
-    found = with_index(df, order, "_place").join(F.broadcast(wanted), "_place").orderBy("_nth").drop("_place", "_nth")
+    """Rows at ``places`` in ``order``, repeats and their sequence kept; optionally only some columns. Equal keys are put in order by a hash of the row."""
+    wanted = df.sparkSession.createDataFrame([(int(p), i) for i, p in enumerate(places)], "_place long, _nth int")
+    found = _hits(df, places, order)[0].join(F.broadcast(wanted), "_place").orderBy("_nth").drop("_place", "_nth")
     return found.select(*columns) if columns else found
 
 
@@ -177,8 +217,36 @@ def set_where(df: DataFrame, name: str, mask: Column, value) -> DataFrame:
 
 def set_at(df: DataFrame, name: str, places: Sequence[int], value, order: str | Sequence[str]) -> DataFrame:
     """``value`` in ``name`` at ``places`` in ``order``."""
-    numbered = with_index(df, order, "_place")
-    return set_where(numbered, name, F.col("_place").isin([int(p) for p in places]), value).drop("_place")
+    hits, rest = _hits(df, places, order)
+    changed = set_where(hits, name, F.col("_place").isin([int(p) for p in places]), value).drop("_place")
+    return rest.unionByName(changed)
+
+
+def pick(df: DataFrame, mask: str | Column, columns: Sequence[str | int] | None = None) -> DataFrame:
+    """Rows where a mask is true, and some columns by name or number: the getter by mask."""
+    found = filter_rows(df, mask)
+    return found if columns is None else found.select(*(f"`{c}`" for c in _named(df, list(columns))))
+
+
+def set_values(df: DataFrame, name: str, mask: str | Column, values: Sequence, order: str | Sequence[str]) -> DataFrame:
+    """The rows where ``mask`` holds get ``values``, in ``order``: as many as there are such rows, or an error."""
+    mask = F.col(f"`{mask}`") if isinstance(mask, str) else mask
+    hit = F.coalesce(mask, F.lit(False))
+    placed = with_index(df.where(hit), order, "_place")
+    if (n := placed.count()) != len(values):
+        raise ValueError(f"{n} values are needed, not {len(values)}")
+    kind = df.schema[name].dataType
+    new = df.sparkSession.createDataFrame([(i, v.item() if hasattr(v, "item") else v) for i, v in enumerate(values)], T.StructType([T.StructField("_at", T.LongType()), T.StructField("_value", kind)]))
+    changed = placed.join(new, F.col("_place") == F.col("_at")).withColumn(name, F.col("_value")).select(*(f"`{c}`" for c in df.columns))
+    return df.where(~hit).unionByName(changed)
+
+
+def override_types(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The frame under a schema in which some columns have other kinds (BL, I4, U4, I8, R4, R8, TX), as ``DataFrame.to`` casts them."""
+    if missing := [c for c in kinds if c not in df.columns]:
+        raise ValueError(f"no column {missing[0]}")
+    fields = [T.StructField(f.name, SPARK_TYPES[kinds[f.name]], f.nullable, {"kind": "U4"} if kinds[f.name] == "U4" else {}) if f.name in kinds else f for f in df.schema]
+    return df.to(T.StructType(fields))
 
 
 def rename(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -1,12 +1,13 @@
 """Nearest neighbours in blocks, and density clustering.
 
-Vectors are packed into blocks of bounded size; every query block meets every item block by an equi-join on
+Vectors are packed into blocks of bounded size around pivots; blocks that can hold something near meet by an equi-join on
 block numbers, a task computes one pair of blocks as matrices and hands on only each query's best few.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .frame import with_index
 
-#: Vectors of a block at most, and at least where fewer blocks would leave cores idle.
+#: Vectors of a block at most (about), and at least where fewer blocks would leave cores idle.
 BLOCK, LEAST_BLOCK = 2048, 128
+#: Pivots at most, and rows that they are chosen from.
+PIVOTS, SAMPLE = 256, 2048
 
 
 def distance(a: Column, b: Column, metric: str = "L2") -> Column:
@@ -48,15 +51,125 @@ def _blocks(df: DataFrame, id_col: str, vector: str, side: str, count: int) -> D
 
 
 def knn(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "L2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, rank, neighbor, distance): the ``k`` nearest items of each query, ties by the smaller id."""
+    """(id, rank, neighbor, distance): the ``k`` nearest items of each query, exact, ties by the smaller id.
+
+    What fills more than one block is grouped by pivots: a block first meets the blocks nearest to it, and then only those that the
+    triangle inequality doesn't rule out at the distance found. Less is compared at once. Null vectors are left out.
+    """
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    count = lambda n, least: max(1, -(-n // BLOCK), least)
-    n_items = items.count()
-    nq, ni = count(queries.count(), 1), count(n_items, min(cores, n_items // LEAST_BLOCK))
+    same = queries is items
+    queries = queries.where(F.col(vector).isNotNull())
+    items = queries if same else items.where(F.col(vector).isNotNull())
+    n_items, n_queries = items.count(), queries.count()
+    if n_items > BLOCK:
+        return _pruned_knn(queries, items, n_items, k, metric, id_col, vector)
+    nq, ni = max(1, -(-n_queries // BLOCK)), max(1, min(cores, n_items // LEAST_BLOCK))
     left = _blocks(queries, id_col, vector, "q", nq).withColumn("i_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ni - 1).cast("long"))))
     # a stated number of partitions: small blocks are much work, and must not be put together by their size
-    pairs = left.repartition(min(4 * cores, nq * ni), "i_block", "q_block").join(_blocks(items, id_col, vector, "i", ni), "i_block")
+    pairs = left.withColumn("q_pivot", F.lit(0)).repartition(min(4 * cores, nq * ni), "i_block", "q_block").join(_blocks(items, id_col, vector, "i", ni), "i_block")
+    return _best(pairs.mapInPandas(_nearest(k, metric), "q_pivot int, q_block long, id long, neighbor long, distance double"), k)
+
+
+# --- pruned search: only blocks that can hold something near meet -----------------------------
+
+
+def _points(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors whose L2 (for L1: L1) distances bound those of the metric from below: for cosine those of length 1."""
+    if metric != "cosine":
+        return x
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
+
+
+def _radius(distance: np.ndarray, metric: str) -> np.ndarray:
+    """The distance of ``_points`` within which all that is so near by the metric lies: 1 - cos is half its square, at least."""
+    return np.sqrt(2 * np.maximum(distance, 0)) if metric == "cosine" else distance
+
+
+def _pivots(items: DataFrame, id_col: str, vector: str, metric: str, n: int) -> np.ndarray:
+    """At most PIVOTS vectors far from each other, by farthest-first choice among at most SAMPLE rows of least hash.
+
+    They only decide which vectors share a block, never a result.
+    """
+    rows = items.orderBy(F.xxhash64(id_col), id_col).select(F.col(vector).cast("array<double>")).limit(SAMPLE).collect()
+    x = _points(np.array([r[0] for r in rows], float), metric)
+    plain = "L1" if metric == "L1" else "L2"
+    chosen, far = [0], _distances(x[:1], x, plain)[0]
+    while len(chosen) < min(PIVOTS, max(1, 2 * n // BLOCK)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _distances(x[chosen[-1:]], x, plain)[0])
+    return x[chosen]
+
+
+@dataclass
+class _Placed:
+    """Vectors by pivot: ``rows`` (id, v, pivot, r, block), ``counts`` and ``blocks`` by pivot, ``reach`` the largest r by pivot."""
+
+    rows: DataFrame
+    counts: np.ndarray
+    blocks: np.ndarray
+    reach: np.ndarray
+
+
+def _placed(df: DataFrame, id_col: str, vector: str, metric: str, pivots: np.ndarray) -> _Placed:
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+    plain = "L1" if metric == "L1" else "L2"
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first in range(0, len(frame), BLOCK):
+                part = frame.iloc[first : first + BLOCK]
+                d = _distances(_points(np.stack(part["v"].to_numpy()).astype(float), metric), shared.value, plain)
+                at = d.argmin(axis=1)
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "pivot": at, "r": d[np.arange(len(at)), at]})
+
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
+    rows = durable(slim.mapInPandas(assign, "id long, v array<double>, pivot int, r double"))
+    found = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect()  # one row a pivot
+    counts, reach = np.zeros(len(pivots), int), np.zeros(len(pivots))
+    for p, n, r in found:
+        counts[p], reach[p] = n, r
+    blocks = -(-counts // BLOCK)
+    parts = F.element_at(F.array(*(F.lit(int(max(1, b))) for b in blocks)), F.col("pivot") + 1)
+    return _Placed(rows.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int")), counts, blocks, reach)
+
+
+def _packed(rows: DataFrame, side: str) -> DataFrame:
+    return rows.groupBy(F.col("pivot").alias(f"{side}_pivot"), F.col("block").alias(f"{side}_block")).agg(F.collect_list("id").alias(f"{side}_ids"), F.collect_list("v").alias(f"{side}_vectors"), F.max("r").alias(f"{side}_r"))
+
+
+def _met(queries: DataFrame, items: DataFrame, wanted: DataFrame, pairs: int, results: Callable, schema: str) -> DataFrame:
+    """``results`` of each pair of blocks in ``wanted`` (q_pivot, q_block, i_pivot, i_block)."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    left = queries.join(wanted, ["q_pivot", "q_block"])
+    left = left.repartition(max(1, min(4 * cores, pairs)), "i_pivot", "i_block", "q_pivot", "q_block")
+    return left.join(items, ["i_pivot", "i_block"]).mapInPandas(results, schema)
+
 
+def _near_blocks(stats: DataFrame, pivots: np.ndarray, items: _Placed, metric: str, skip: list[set[int]] | None = None) -> DataFrame:
+    """The pairs of blocks (q_pivot, q_block, r, bound) and items' blocks whose distance may be within the bound.
+
+    By the triangle inequality no pair of their vectors is nearer than the pivots' distance less both radii.
+    """
+    plain = "L1" if metric == "L1" else "L2"
+    between = _distances(pivots, pivots, plain)
+    counts, blocks, reach = items.counts, items.blocks, items.reach
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                least = between[row.q_pivot] - row.r - reach
+                near = (counts > 0) & (least * (1 - 1e-9) - 1e-9 <= _radius(np.float64(row.bound), metric))
+                for p in np.flatnonzero(near).tolist():
+                    if skip is None or p not in skip[row.q_pivot]:
+                        out += [(row.q_pivot, row.q_block, p, b) for b in range(blocks[p])]
+            yield pd.DataFrame(out, columns=["q_pivot", "q_block", "i_pivot", "i_block"])
+
+    return durable(stats.mapInPandas(pairs, "q_pivot int, q_block int, i_pivot int, i_block int"))
+
+
+def _nearest(k: int, metric: str) -> Callable:
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
@@ -66,13 +179,74 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "L2", id
                 ids, d = ids[order], _distances(x, y[order], metric)
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
                 near = np.take_along_axis(d, best, 1)
-                yield pd.DataFrame({"id": np.repeat(row.q_ids, best.shape[1]), "neighbor": ids[best].ravel(), "distance": near.ravel()})
+                yield pd.DataFrame({"q_pivot": row.q_pivot, "q_block": row.q_block, "id": np.repeat(row.q_ids, best.shape[1]), "neighbor": ids[best].ravel(), "distance": near.ravel()})
+
+    return nearest
 
-    near = pairs.mapInPandas(nearest, "id long, neighbor long, distance double")
+
+def _best(near: DataFrame, k: int) -> DataFrame:
     best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))), 1, k).alias("best"))
     return best.select("id", F.posexplode("best").alias("rank", "b")).select("id", (F.col("rank") + 1).alias("rank"), "b.neighbor", "b.distance")
 
 
+def _pruned_knn(queries: DataFrame, items: DataFrame, n_items: int, k: int, metric: str, id_col: str, vector: str) -> DataFrame:
+    pivots = _pivots(items, id_col, vector, metric, n_items)
+    placed = _placed(items, id_col, vector, metric, pivots)
+    asked = placed if queries is items else _placed(queries, id_col, vector, metric, pivots)
+    between = _distances(pivots, pivots, "L1" if metric == "L1" else "L2")
+    first: list[set[int]] = []  # for each pivot those nearest to it that hold k items
+    for p in range(len(pivots)):
+        order = np.argsort(between[p], kind="stable")
+        enough = np.searchsorted(np.cumsum(placed.counts[order]), k) + 1
+        first.append({int(i) for i in order[:enough] if placed.counts[i]})
+    start = [(p, b, i, j) for p in range(len(pivots)) for b in range(asked.blocks[p]) for i in sorted(first[p]) for j in range(placed.blocks[i])] if asked.blocks.sum() * placed.blocks.max() < 1 << 16 else None
+    spark = queries.sparkSession
+    if start is None:  # many blocks: the pairs are made by the tasks
+        heads = spark.range(len(pivots)).select(F.col("id").cast("int").alias("q_pivot"))
+        lists = lambda v: F.element_at(F.array(*(F.array(*(F.lit(int(x)) for x in row)).cast("array<int>") for row in v)), F.col("q_pivot") + 1)
+        wide = heads.withColumn("q_block", F.explode(lists([range(b) for b in asked.blocks]))).withColumn("i_pivot", F.explode(lists([sorted(f) for f in first])))
+        per = F.element_at(F.array(*(F.lit(int(b)) for b in placed.blocks)), F.col("i_pivot") + 1)
+        wanted = wide.withColumn("i_block", F.explode(F.sequence(F.lit(0), per - 1)))
+    else:
+        wanted = spark.createDataFrame(start, "q_pivot int, q_block int, i_pivot int, i_block int")
+    q, i = _packed(asked.rows, "q"), _packed(placed.rows, "i")
+    schema = "q_pivot int, q_block int, id long, neighbor long, distance double"
+    begun = durable(_met(q, i, wanted, int(asked.blocks.sum() * placed.blocks.max()), _nearest(k, metric), schema))
+    # the k-th distance so far bounds how far a block needs to look; fewer than k items bound nothing
+    kth = begun.groupBy("q_pivot", "q_block", "id").agg(F.slice(F.array_sort(F.collect_list("distance")), 1, k).alias("d"))
+    far = F.when(F.size("d") < k, F.lit(float("inf"))).otherwise(F.element_at("d", -1))
+    bounds = kth.groupBy("q_pivot", "q_block").agg(F.max(far).alias("bound"))
+    radii = asked.rows.groupBy(F.col("pivot").alias("q_pivot"), F.col("block").alias("q_block")).agg(F.max("r").alias("r"))
+    more = _near_blocks(radii.join(bounds, ["q_pivot", "q_block"]), pivots, placed, metric, first)
+    rest = _met(q, i, more, more.count(), _nearest(k, metric), schema)
+    return _best(begun.unionByName(rest), k)
+
+
+def range_search(queries: DataFrame, items: DataFrame, radius: float, metric: str = "L2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, neighbor, distance): all items within ``radius`` of each query, exact, for vectors of any length.
+
+    Vectors are grouped by their nearest pivot into blocks of bounded size; only blocks that the triangle inequality lets be near
+    meet, and a task computes one pair of blocks. Null ids and vectors are left out; equal ids and vectors each count; an empty side gives no rows.
+    """
+    queries, items = (df.where(F.col(vector).isNotNull()) for df in (queries, items))
+    n = items.count()
+    if not n or radius < 0:
+        return queries.sparkSession.createDataFrame([], "id long, neighbor long, distance double")
+    pivots = _pivots(items, id_col, vector, metric, n)
+    placed, asked = _placed(items, id_col, vector, metric, pivots), _placed(queries, id_col, vector, metric, pivots)
+    stats = asked.rows.groupBy(F.col("pivot").alias("q_pivot"), F.col("block").alias("q_block")).agg(F.max("r").alias("r")).withColumn("bound", F.lit(float(radius)))
+    wanted = _near_blocks(stats, pivots, placed, metric)
+
+    def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                d = _distances(np.stack(row.q_vectors).astype(float), np.stack(row.i_vectors).astype(float), metric)
+                a, b = np.nonzero(d <= radius)
+                yield pd.DataFrame({"id": np.asarray(row.q_ids)[a], "neighbor": np.asarray(row.i_ids)[b], "distance": d[a, b]})
+
+    return _met(_packed(asked.rows, "q"), _packed(placed.rows, "i"), wanted, wanted.count(), within, "id long, neighbor long, distance double")
+
+
 def append_neighbors(
     df: DataFrame, k: int = 5, metric: str = "L2", id_col: str = "vec_id", vector: str = "embedding",
     items: DataFrame | None = None, dist: str = "Distances", idn: str = "idNeighbors",

@@ -386,15 +386,51 @@ class Concat(Transform):
 
 @dataclass
 class KeyToLabel(Transform):
-    """Kind conversion ``new:kind:old``."""
+    """Kind conversion of columns ``new:kind:old`` (several by commas; ``new:old``: no kind of its own), ``type`` and ``key`` for those without.
+
+    A kind may be a key, ``U4[0-9]`` or ``[0-9]``: the numbers of the range as codes from 1, others and missing ones 0;
+    ``[0-*]`` has no end. What a column says goes before ``type``, its range before ``type``, that before ``key``; with none the kind is R4. A range without a kind
+    keeps the kind of a column that is a key already, else is U4. The range stays in the column's metadata (``key``: min and count); a key
+    becomes another one only of as many values.
+    """
 
     col: str = ""
+    type: str = ""
+    key: str = ""
 
     def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for text in self.col.split(","):
+            new, *rest = text.split(":")
+            own, old = (rest[0], rest[1]) if len(rest) > 1 else ("", (rest or [new])[0])
+            own_kind, _, own_range = own.rstrip("]").partition("[")
+            kind, span = (own_kind, own_range) if own_kind or own_range else (self.type, self.key)
+            out = self._convert(out, df, new, old, kind, span)
+        return out
+
+    def _convert(self, out: DataFrame, df: DataFrame, new: str, old: str, kind: str, span: str) -> DataFrame:
         from ..functions.kinds import SPARK_TYPES
 
-        new, kind, *old = self.col.split(":")
-        return df.withColumn(new, F.col(f"`{(old or [new])[0]}`").cast(SPARK_TYPES[kind]))
+        source = df.schema[old]
+        known = source.metadata.get("key") if source.metadata else None
+        if not span:
+            value = F.col(f"`{old}`").cast(SPARK_TYPES[kind or "R4"])
+            return out.withColumn(new, value).withMetadata(new, {"kind": "U4"} if kind == "U4" else {})
+        kind = kind or (kind_of(source) if known else "U4")
+        low, _, high = span.partition("-")
+        low, count = int(low), 0 if high == "*" else int(high) - int(low) + 1
+        if count < 0 or kind not in ("I4", "U4", "I8"):
+            raise ValueError(f"{kind}[{span}] is no key")
+        number = F.col(f"`{old}`")
+        if known:
+            if known["count"] != count:
+                raise ValueError(f"{old} is a key of {known['count']} values, not {count}")
+            code = number
+        else:
+            whole = number.cast("double")
+            inside = (whole >= low) & (whole == F.floor(whole)) & ((whole < low + count) if count else ~F.isnan(whole) & (whole < 2.0**31))
+            code = F.when(inside, whole - (low - 1)).otherwise(0)
+        return out.withColumn(new, F.coalesce(code, F.lit(0)).cast(SPARK_TYPES[kind])).withMetadata(new, {"kind": kind, "key": {"min": known["min"] if known else low, "count": count}})
 
 
 @dataclass
