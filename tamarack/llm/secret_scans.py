@@ -177,6 +177,9 @@ def candidates(postings: DataFrame, queries: dict[str, object]) -> DataFrame:
     return judged.where(reduce(lambda a, b: a | b, (F.col(kind) for kind in asked)))
 
 
+#: Spans gathered before they go to the others: with n matches some n * PART + (n / PART)^2 cells are copied.
+PART = 256
+
 # --- spans --------------------------------------------------------------------------------------
 
 
@@ -191,28 +194,21 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     gaps = F.split(text, rule.pattern, -1)
     pieces = F.arrays_zip(found.alias("m"), kept.alias("k"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
     empty = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    walked = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"),
-            F.when(
-                F.length(p["k"]) >= rule.least,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(p["g"])).alias("start"),
-                            (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
-    return walked
+
+    def step(acc: Column, p: Column) -> Column:
+        # an append copies the array it appends to, so spans are gathered in short parts, and these in one array
+        start = acc["at"] + F.length(p["g"])
+        end = start + F.length(p["m"])
+        full = F.size(acc["part"]) >= PART
+        new = F.when(F.length(p["k"]) >= rule.least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(empty)
+        return F.struct(
+            end.alias("at"),
+            F.when(full, new).otherwise(F.concat(acc["part"], new)).alias("part"),
+            F.when(full, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"]).alias("parts"),
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("part"), F.expr("cast(array() as array<array<struct<start: int, end: int>>>)").alias("parts"))
+    return F.aggregate(pieces, begin, step, lambda acc: F.concat(F.flatten(acc["parts"]), acc["part"]))
 
 
 def _arrow(spans: Column, kind: str, order: int) -> Column:
