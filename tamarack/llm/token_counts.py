@@ -67,6 +67,17 @@ class Transducer:
         self.items: list[tuple] = [((0, None, 0),)]
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
+    def _entered(self, state: int) -> int:
+        """The number of a state in a machine that has forgotten all others."""
+        here = self.items[state]
+        self._clear()
+        if here in self.states:
+            return self.states[here]
+        self.states[here] = len(self.items)
+        self.items.append(here)
+        self.moves.append({})
+        return self.states[here]
+
     def merged(self, text: str) -> list[str]:
         """The vocabulary's own merges on a short text, best score first, then leftmost."""
         parts = list(text)
@@ -128,13 +139,14 @@ class Transducer:
         known = self.units.get(unit)
         if known is not None:
             return known
-        if len(self.items) > self.max_states:
-            self._clear()
         state = total = 0
         for char in unit:
             moves = self.moves[state]
             to = moves.get(char)
             if to is None:
+                if len(self.items) > self.max_states:  # forget all but where this unit is
+                    state = self._entered(state)
+                    moves = self.moves[state]
                 to = moves[char] = self._move(state, char)
             state = to[0]
             total += to[1]
@@ -213,8 +225,10 @@ def count_tokens(
     """``docs`` with n_bytes, n_tokens and over_limit (more than ``limit`` tokens) in front.
 
     ``model_path``: a file that every executor can open; None: the installed public vocabulary.
-    Null text counts as empty: 0 bytes, 0 tokens. Each row is counted by itself, so repeated rows
-    and ids give repeated results; columns of these names in ``docs`` are replaced. No shuffle.
+    Null text counts as empty: 0 bytes, 0 tokens; an empty table stays empty. Each row is counted by
+    itself, so repeated rows and ids and ties give equal results; columns of these names in ``docs`` are
+    replaced. Very long texts are counted whole: above ``chunk_chars`` by maps of chunks that compose in a tree
+    inside the row's task; states made on the way are forgotten beyond a bound, also inside one run without spaces. No shuffle.
     """
 
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
