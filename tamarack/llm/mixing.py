@@ -90,7 +90,7 @@ def mix_sources(
     if not 0 <= entropy_share <= 1 or max_repeats < 1:
         raise ValueError("entropy_share must lie from 0 to 1, max_repeats at 1 or above")
     sized = stored(
-        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (word_tokens(F.col("text")) if tokens is None else tokens.cast("long")).alias("n_tokens")),
+        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (word_tokens(F.col("text")) if tokens is None else tokens.cast("long")).alias("n_tokens"), F.xxhash64("text", F.monotonically_increasing_id()).alias("row")),
         "sized",
     )
     counts = sized.groupBy("source").agg(F.sum("n_tokens").alias("t"))
@@ -112,7 +112,8 @@ def mix_sources(
     epochs = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1))
     epochs = F.when((F.col("whole") > 0) | (F.col("rest") > 0), epochs).otherwise(F.expr("cast(array() as array<int>)"))
     read = sized.join(broadcast_if(plan), "source").withColumn("epoch", F.explode(epochs))
-    lot = F.xxhash64(F.lit(seed), "epoch", "doc_id", "n_tokens")
+    # the row's own number is stored with it: rows without ids, or with equal ones, spread over the blocks too
+    lot = F.xxhash64(F.lit(seed), "epoch", "doc_id", "n_tokens", F.when(F.col("doc_id").isNull(), F.col("row")))
     read = read.withColumn("lot", lot).withColumn("b", F.pmod("lot", "blocks"))
     # where each block of the permutation begins: blocks are few and of bounded size
     order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "b"), "b")
