@@ -114,10 +114,10 @@ def closest_templates(texts: DataFrame, templates: dict[str, list[str]] | None =
 
     # units as rows of words; equal units are judged once, whatever texts they stand in
     terms = held.select("of", "x").dropDuplicates(["of"]).select("of", F.explode(text_words(F.col("x"))).alias("w")).groupBy("of", "w").agg(F.count("*").alias("k"))
-    terms = stored(terms, "terms")
+    counted = stored(terms, "terms")
     weight = (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + FLOOR).alias("idf")
-    idf = stored(counts.join(terms.select("w").distinct(), "w", "left_semi").select("w", weight), "idf")
-    terms = terms.join(broadcast_if(idf), "w").select("of", "w", ((1 + F.log("k")) * F.col("idf")).alias("v"))
+    idf = stored(counts.join(counted.select("w").distinct(), "w", "left_semi").select("w", weight), "idf")
+    terms = counted.join(broadcast_if(idf), "w").select("of", "w", ((1 + F.log("k")) * F.col("idf")).alias("v"))
     squares = terms.groupBy("of").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     rows = [{"license": name, "template": i, "w": w, "t": v} for (name, i), vector in vectors.items() for w, v in vector.items()]
     rows = F.from_json(F.lit(json.dumps(rows)), "array<struct<license: string, template: int, w: string, t: double>>")
@@ -129,7 +129,7 @@ def closest_templates(texts: DataFrame, templates: dict[str, list[str]] | None =
     found = held.select("of_text", "short", "first", "i", "of").join(broadcast_if(judged), "of")
     best = found.groupBy("of_text").agg(F.min(F.struct("minus", "i", "license")).alias("b"), F.bool_or("first").alias("first"), F.first("short").alias("short"))
     best = stored(best.select("of_text", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), "first", "short"), "best_units")
-    discard(counts, held, idf, judged)
+    discard(counts, held, counted, idf, judged)
     return best
 
 

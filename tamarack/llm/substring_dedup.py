@@ -229,7 +229,9 @@ def repeated_paths(docs: DataFrame, width: int = WIDTH, inner: int = INNER, ofte
     marked = pieces.withColumn("new", (F.lag(F.col("start") + F.col("n")).over(along) != F.col("start")).cast("int"))
     marked = marked.withColumn("path", F.sum(F.coalesce("new", F.lit(1))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     paths = marked.groupBy("doc", "odoc", (F.col("ostart") - F.col("start")).alias("off"), "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
-    return paths.select("doc", "start", "n", "odoc", (F.col("start") + F.col("off")).alias("ostart"))
+    paths = stored(paths.select("doc", "start", "n", "odoc", (F.col("start") + F.col("off")).alias("ostart")), "paths")
+    discard(found)
+    return paths
 
 
 def _digest(words: list[str], start: int, n: int, width: int) -> bytes:
@@ -247,7 +249,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, often: int = HOT, most:
     read whole; an empty table gives no rows. ``often`` and ``most`` shape the plan, never the result.
     """
     docs = docs.select(F.col("doc_id"), "text")
-    paths = stored(repeated_paths(docs, width, min(INNER, width), often, most), "paths")
+    paths = repeated_paths(docs, width, min(INNER, width), often, most)
 
     asked = paths.groupBy("odoc").agg(F.collect_set(F.struct("ostart", "n")).alias("asked"))
 
@@ -265,6 +267,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, often: int = HOT, most:
     proofs = wanted.select("odoc", "text", "asked").mapInArrow(digests, "odoc long, ostart int, n int, digest binary")
     spans = paths.join(proofs, ["odoc", "ostart", "n"]).groupBy("doc").agg(F.collect_set(F.struct("start", "n", "digest")).alias("spans"))
     spans = stored(spans, "spans")
+    discard(paths)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
