@@ -238,11 +238,17 @@ def similar_classes(docs: DataFrame, own: DataFrame, classes: np.ndarray, width:
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     apart = stored(placed.join(mixed, "tok"), "apart")
     discard(rows, links)
+    # rows of a code meet only where its places and their sizes allow a link at all: a template's code that
+    # stands behind words of their own in all prefixes pairs nothing
+    groups = apart.groupBy("tok", "n", "pos").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    gx, gy = (groups.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in ("n", "pos", "lo", "hi"))) for side in "xy")
+    allowed = gx.join(gy, "tok").where(f"x_lo < y_hi and {_close('x_', 'y_', top, bottom)}").select("tok", "x_n", "x_pos", "y_n", "y_pos")
+    allowed = stored(allowed, "allowed")
     x, y = (apart.select("tok", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "pos", "comp"))) for side in "xy")
-    rest = x.join(y, (x["tok"] == y["tok"]) & (F.col("x_comp") < F.col("y_comp")) & F.expr(_close("x_", "y_", top, bottom)))
+    rest = x.join(allowed, ["tok", "x_n", "x_pos"]).join(y, ["tok", "y_n", "y_pos"]).where("x_comp < y_comp")
     rest = rest.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    discard(apart, pairs)
+    discard(apart, pairs, allowed)
     more = linked(rest, own, docs, classes, width, top, bottom, salt)
     discard(rest)
     if not more.isEmpty():  # the components so far are stars, to be linked further

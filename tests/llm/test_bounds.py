@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.llm import language_id, license_scan, media_columns, mixing, queries, secret_scans, substring_dedup, token_counts
+from tamarack.llm import language_id, license_scan, media_columns, mixing, ngram_join, queries, secret_scans, substring_dedup, token_counts
 
 
 def grams(text):
@@ -170,3 +170,11 @@ def test_little_is_left_in_the_shared_folder(spark, operator):
         license_scan.scan_licenses(docs.select("path", "text")).collect()
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(where)) - before}
     assert not left & {"edges", "paths", "sizes", "terms", "units", "idf"}, left
+
+
+def test_templates_pair_nothing(spark):
+    """Pages of one template that each end in a word of their own: 5 of 7 shingles in common, so no link, and time in proportion."""
+    pages = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("this page has one common text and a "), F.concat(F.lit("w"), F.col("id"))).alias("text"))
+    copies = pages.where("doc_id < 3").withColumn("doc_id", F.col("doc_id") + 50_000)
+    got = ngram_join.near_duplicates(pages.union(copies)).where("component_id <> doc_id").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(50_000, 0), (50_001, 1), (50_002, 2)]
