@@ -8,9 +8,11 @@ graph does not branch. Pieces of different buckets are then joined into whole pa
 source coordinates, and each path is verified at both coordinates before its words go.
 
 An edge that fills much of a batch is sent to its bucket once, with its first place there; its
-occurrences meet the first source in a separate join, so no bucket grows with one edge's count. Buckets
-are counted beforehand: one that a common minimizer overfills is split by the edges' own hashes, so
-equal edges still meet.
+occurrences meet the first source in a separate join. Buckets are counted beforehand: one that a common
+minimizer overfills is split by the edges' own hashes, so equal edges still meet. The same pass keeps
+counters of the most frequent edges (Misra-Gries), which find every edge that could overfill a bucket
+alone, however thinly it is spread over the batches. Such heavy edges never go to a bucket: their first
+places are the minima of a grouped aggregate.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, hash_windows, hash_words, mix, sliced, stored
+from .common import blocks, broadcast_if, discard, hash_windows, hash_words, mix, sliced, stored
 
 WIDTH, INNER = 13, 5
 #: Bytes of text for each bucket, and the least number of buckets.
@@ -95,6 +97,35 @@ def _hot(edges, often: int) -> np.ndarray:
     return np.isin(edges[0], np.unique(found)) if len(found) else np.zeros(len(ordered), bool)
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values stand in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+class _Frequent:
+    """Counters of the values that come most often among all that are added (Misra-Gries).
+
+    No more than ``size`` are kept; each count is too small by less than a ``size``-th of all values added.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.added = size, 0
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        self.added += len(values)
+        new, n = np.unique(values, return_counts=True)
+        self.values, at = np.unique(np.concatenate([self.values, new]), return_inverse=True)
+        both, self.counts = np.concatenate([self.counts, n]), np.zeros(len(self.values), np.int64)
+        np.add.at(self.counts, at, both)
+        if len(self.counts) > self.size:
+            cut = np.partition(self.counts, -self.size - 1)[-self.size - 1]
+            kept = self.counts > cut
+            self.values, self.counts = self.values[kept], self.counts[kept] - cut
+
+
 def _first_places(edges, hot: np.ndarray) -> np.ndarray:
     """Indices of the first place, by (doc_id, place), of each hot edge."""
     at = np.flatnonzero(hot)
@@ -102,8 +133,10 @@ def _first_places(edges, hot: np.ndarray) -> np.ndarray:
     return at[np.diff(edges[0][at], prepend=edges[0][at[0]] + np.uint64(1)) != 0] if len(at) else at
 
 
-def _sent(edges, often: int):
-    """The edges that go to buckets, with hot marks: of a hot one its first place alone."""
+def _sent(edges, often: int, heavy: np.ndarray):
+    """The edges that go to buckets, with hot marks: of a hot one its first place alone, of a heavy one nothing."""
+    if len(heavy):
+        edges = [x[~_among(edges[0], heavy)] for x in edges]
     hot = _hot(edges, often)
     keep = np.sort(np.concatenate([np.flatnonzero(~hot), _first_places(edges, hot)]))
     return [x[keep] for x in (*edges, hot)]
@@ -120,9 +153,9 @@ def _bucket_of(h: np.ndarray, low: np.ndarray, buckets: int, split: np.ndarray)
     return bucket
 
 
-def _to_buckets(edges, buckets: int, split: np.ndarray, often: int):
+def _to_buckets(edges, buckets: int, split: np.ndarray, often: int, heavy: np.ndarray):
     """Rows (bucket, hashes, run ids, run places, run lengths, hot marks), edges of a run together."""
-    h, low, ids, at, hot = _sent(edges, often)
+    h, low, ids, at, hot = _sent(edges, often, heavy)
     if not len(h):
         return
     bucket = _bucket_of(h, low, buckets, split)
@@ -182,20 +215,39 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([x for x in (out, heads) if len(x)] or [out]).astype({c: "Int64" for c in ("doc", "start", "n", "odoc", "ostart", "hot")})
 
 
-def _overfull(rows: DataFrame, width: int, inner: int, often: int, buckets: int, most: int) -> np.ndarray:
-    """(number, first part, parts) of the buckets that hold over ``most`` windows, at most WIDE of them."""
+def _overfull(rows: DataFrame, width: int, inner: int, often: int, buckets: int, most: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, first part, parts) of the buckets that hold over ``most`` windows, and the heavy edges in order.
+
+    ``size`` is the bytes of all texts: there are at most half as many windows. ``most`` rises so that at most
+    WIDE buckets are split. Heavy is each edge that sends ``most`` rows, and some that send half as many: counters
+    of all tasks together miss less than half of ``most``, and at most 2 * WIDE edges pass.
+    """
+    most = max(most, -(-size // (2 * WIDE)))
+    kept = max(16, -(-2 * size // most))
+    none = np.zeros(0, np.uint64)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for edges in _gathered(batches, width, inner):
-            found, n = np.unique(mix(_sent(edges, often)[1]) % np.uint64(buckets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], ["bucket", "n"])
+        often_met = _Frequent(kept)
+
+        def batch(bucket, edge, n):
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(edge, pa.int64()), pa.array(n, pa.int64())], ["bucket", "edge", "n"])
 
-    total = stored(rows.mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "sizes")
-    most = max(most, -(-(total.agg(F.sum("n")).first()[0] or 0) // WIDE))
-    large = total.where(F.col("n") > most).sort("bucket").collect()  # fewer than WIDE, as each holds over a share of 1 / WIDE
+        for edges in _gathered(batches, width, inner):
+            h, low, *_ = _sent(edges, often, none)
+            often_met.add(h)
+            found, n = np.unique(mix(low) % np.uint64(buckets), return_counts=True)
+            yield batch(found.astype(np.int64), [None] * len(found), n)
+        worth = often_met.counts * kept >= often_met.added
+        edge = often_met.values[worth].view(np.int64)
+        yield batch([None] * len(edge), edge, often_met.counts[worth])
+
+    total = stored(rows.mapInArrow(counted, "bucket long, edge long, n long").groupBy("bucket", "edge").agg(F.sum("n").alias("n")), "sizes")
+    large = total.where(F.col("bucket").isNotNull() & (F.col("n") > most)).sort("bucket").collect()  # at most WIDE
+    heavy = total.where(F.col("edge").isNotNull() & (2 * F.col("n") >= most)).select("edge").collect()  # at most 2 * WIDE
     discard(total)
     parts = np.array([-(-4 * r["n"] // most) for r in large], np.int64)
-    return np.stack([np.array([r["bucket"] for r in large], np.int64), buckets + np.cumsum(parts) - parts, parts], axis=1)
+    split = np.stack([np.array([r["bucket"] for r in large], np.int64), buckets + np.cumsum(parts) - parts, parts], axis=1)
+    return split, np.sort(np.array([r["edge"] for r in heavy], np.int64).view(np.uint64))
 
 
 def repeated_paths(docs: DataFrame, width: int = WIDTH, inner: int = INNER, often: int = HOT, most: int = MOST) -> DataFrame:
@@ -204,25 +256,36 @@ def repeated_paths(docs: DataFrame, width: int = WIDTH, inner: int = INNER, ofte
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    split = _overfull(rows, width, inner, often, buckets, most)
+    split, heavy = _overfull(rows, width, inner, often, buckets, most, size)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "hashes", "ids", "places", "lengths", "hots"]
         for edges in _gathered(batches, width, inner):
-            for row in _to_buckets(edges, buckets, split, often):
+            for row in _to_buckets(edges, buckets, split, often, heavy):
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names)
 
+    def places(edges, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(edges[0][at].view(np.int64)), pa.array(edges[2][at]), pa.array(edges[3][at])], ["hot", "doc", "start"])
+
     def hot_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for edges in _gathered(batches, width, inner):
-            at = np.flatnonzero(_hot(edges, often))
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0][at].view(np.int64)), pa.array(edges[2][at]), pa.array(edges[3][at])], ["hot", "doc", "start"])
+            yield places(edges, np.flatnonzero(_hot(edges, often) | _among(edges[0], heavy)))
+
+    def heavy_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for edges in _gathered(batches, width, inner):
+            yield places(edges, _first_places(edges, _among(edges[0], heavy)))
 
     sent = rows.mapInArrow(spread, "bucket long, hashes binary, ids binary, places binary, lengths binary, hots binary")
     found = stored(sent.groupBy("bucket").applyInPandas(_bucket, _PIECE + ", hot long"), "edges")
     heads = found.where("hot is not null").select("hot", "odoc", "ostart")
     pieces = found.where("hot is null").drop("hot")
+    done = [found]
+    if len(heavy):
+        least = rows.mapInArrow(heavy_firsts, "hot long, doc long, start int").groupBy("hot").agg(F.min(F.struct("doc", "start")).alias("first"))
+        done.append(stored(least.select("hot", F.col("first.doc").alias("odoc"), F.col("first.start").alias("ostart")), "heavy"))
+        heads = heads.unionByName(done[-1])
     if not heads.isEmpty():
-        single = rows.mapInArrow(hot_places, "hot long, doc long, start int").join(heads, "hot").where("odoc < doc")
+        single = rows.mapInArrow(hot_places, "hot long, doc long, start int").join(broadcast_if(heads), "hot").where("odoc < doc")
         pieces = pieces.unionByName(single.select("doc", "start", F.lit(1).alias("n"), "odoc", "ostart"))
     # pieces of one path share document, source and the distance between their coordinates
     along = Window.partitionBy("doc", "odoc", F.col("ostart") - F.col("start")).orderBy("start")
@@ -230,7 +293,7 @@ def repeated_paths(docs: DataFrame, width: int = WIDTH, inner: int = INNER, ofte
     marked = marked.withColumn("path", F.sum(F.coalesce("new", F.lit(1))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     paths = marked.groupBy("doc", "odoc", (F.col("ostart") - F.col("start")).alias("off"), "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
     paths = stored(paths.select("doc", "start", "n", "odoc", (F.col("start") + F.col("off")).alias("ostart")), "paths")
-    discard(found)
+    discard(*done)
     return paths
 
 

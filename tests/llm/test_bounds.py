@@ -169,7 +169,41 @@ def test_little_is_left_in_the_shared_folder(spark, operator):
     else:
         license_scan.scan_licenses(docs.select("path", "text")).collect()
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(where)) - before}
-    assert not left & {"edges", "paths", "sizes", "terms", "units", "idf"}, left
+    assert not left & {"edges", "paths", "sizes", "heavy", "terms", "units", "idf"}, left
+
+
+def test_counters_of_frequent_values():
+    rng = np.random.default_rng(4)
+    counters, all_values = substring_dedup._Frequent(50), []
+    for _ in range(40):
+        part = np.concatenate([rng.integers(100, 5000, 900), rng.integers(0, 10, 100)]).astype(np.uint64)
+        counters.add(part)
+        all_values.append(part)
+    true = Counter(np.concatenate(all_values).tolist())
+    got = dict(zip(counters.values.tolist(), counters.counts.tolist(), strict=True))
+    assert len(got) <= 50 and set(range(10)) <= set(got)
+    assert all(n <= true[v] and true[v] - n < 40_000 / 50 for v, n in got.items())
+    counters.add(np.zeros(0, np.uint64))
+    assert counters.added == 40_000
+
+
+def test_an_edge_that_is_thin_in_every_batch_fills_no_bucket(spark):
+    """A window that comes 100 times in each of 32 tasks is found, sends no row to a bucket, and still goes everywhere but first."""
+    phrase = "one two three four five six seven"
+    pages = spark.range(0, 3200, 1, 32).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), "id", F.lit(f" {phrase} b"), "id").alias("text"))
+    size = pages.agg(F.sum(F.octet_length("text"))).first()[0]
+    _, heavy = substring_dedup._overfull(pages, 7, 5, 128, 256, 1000, size)
+    assert len(heavy) == 1
+    texts = [t.encode() for (t,) in pages.limit(100).select("text").collect()]
+    edges = substring_dedup._edges(texts, np.arange(len(texts)), 7, 5)
+    assert (edges[0] == heavy[0]).sum() == 100 and len(edges[0]) == 300
+    none = np.zeros(0, np.uint64)
+    assert (substring_dedup._sent(edges, 128, none)[0] == heavy[0]).sum() == 100
+    sent = substring_dedup._sent(edges, 128, heavy)
+    assert len(sent[0]) == 200 and not (sent[0] == heavy[0]).any()
+    rows = pages.union(spark.createDataFrame([(0, phrase), (None, phrase), (9999, None)], "doc_id long, text string"))
+    got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(rows, 7, 128, 1000).collect()}
+    assert got == {(0, 9, 0), (0, 7, 0), (None, 7, 7), (9999, 0, 0)} | {(i, 9, 7) for i in range(1, 3200)}
 
 
 def test_templates_pair_nothing(spark):

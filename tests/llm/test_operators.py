@@ -127,8 +127,8 @@ def test_a_common_phrase_does_not_fill_a_bucket(spark):
     rows = [(i, f"a{i} b{i} c{i} share this page with friends x{i % 50} y{i % 50} z{i % 50}") for i in range(2000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     slim = frame.select("doc_id", "text")
-    split = substring_dedup._overfull(slim, 7, 5, 128, 256, 500)
-    assert len(split) and (split[:, 2] >= 4).all() and (split[:, 1] >= 256).all()
+    split, heavy = substring_dedup._overfull(slim, 7, 5, 128, 256, 500, 80 * 2000)
+    assert not len(heavy) and len(split) and (split[:, 2] >= 4).all() and (split[:, 1] >= 256).all()
     got = dict(found(substring_dedup.remove_repeats(frame, 7, 128, 500), "doc_id", "n_removed"))
     # the phrase with its last words repeats every 50 rows; with its first ones it never does
     assert got == {i: 0 if i < 50 else 8 for i in range(2000)}
