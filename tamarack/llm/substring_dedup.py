@@ -116,14 +116,19 @@ class _Frequent:
 
     def add(self, values: np.ndarray) -> None:
         self.added += len(values)
-        new, n = np.unique(values, return_counts=True)
-        self.values, at = np.unique(np.concatenate([self.values, new]), return_inverse=True)
-        both, self.counts = np.concatenate([self.counts, n]), np.zeros(len(self.values), np.int64)
-        np.add.at(self.counts, at, both)
-        if len(self.counts) > self.size:
-            cut = np.partition(self.counts, -self.size - 1)[-self.size - 1]
-            kept = self.counts > cut
-            self.values, self.counts = self.values[kept], self.counts[kept] - cut
+        new, n = self._largest(*np.unique(values, return_counts=True))
+        both, at = np.unique(np.concatenate([self.values, new]), return_inverse=True)
+        counts = np.zeros(len(both), np.int64)
+        np.add.at(counts, at, np.concatenate([self.counts, n]))
+        self.values, self.counts = self._largest(both, counts)
+
+    def _largest(self, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At most ``size`` values, their counts less the largest count that goes."""
+        if len(counts) <= self.size:
+            return values, counts
+        cut = np.partition(counts, -self.size - 1)[-self.size - 1]
+        kept = counts > cut
+        return values[kept], counts[kept] - cut
 
 
 def _first_places(edges, hot: np.ndarray) -> np.ndarray:
@@ -194,15 +199,20 @@ def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """A bucket's repeated edges: pieces, and for hot ones a row with the hash in ``hot``."""
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]])
     long = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["lengths"]]).astype(np.int64)
-    ids = np.repeat(np.concatenate([_values(x, np.int64) for x in rows["ids"]]), long)
-    at = np.repeat(np.concatenate([_values(x, np.int32) for x in rows["places"]]), long)
-    hot = np.repeat(np.concatenate([np.frombuffer(x, bool) for x in rows["hots"]]), long)
-    ends = np.cumsum(long)
-    at = (at + np.arange(len(h)) - np.repeat(ends - long, long)).astype(np.int32)
+    ids = np.concatenate([_values(x, np.int64) for x in rows["ids"]])
+    at = np.concatenate([_values(x, np.int32) for x in rows["places"]])
+    hot = np.concatenate([np.frombuffer(x, bool) for x in rows["hots"]])
+    run = np.repeat(np.arange(len(long), dtype=np.int32), long)
     order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    repeated = order[np.append(same, False) | np.append(False, same) | hot[order]]
-    order = repeated[np.lexsort((at[repeated], ids[repeated], h[repeated]))]
+    ordered = h[order]
+    same = ordered[1:] == ordered[:-1]
+    del ordered
+    repeated = order[np.append(same, False) | np.append(False, same) | hot[run[order]]]
+    del order, same  # what follows holds repeated edges alone
+    h, run = h[repeated], run[repeated]
+    at = (at[run] + repeated - (np.cumsum(long) - long)[run]).astype(np.int32)
+    ids, hot = ids[run], hot[run]
+    order = np.lexsort((at, ids, h))
     h, ids, at, hot = h[order], ids[order], at[order], hot[order]
     if not len(h):
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "start", "n", "odoc", "ostart", "hot")})
