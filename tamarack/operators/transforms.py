@@ -7,6 +7,7 @@ choices are hashes of a key, so they do not depend on how rows are partitioned.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -447,10 +448,11 @@ class CodeToLabel(Transform):
 @dataclass
 class Describe(Transform):
     """Rows pass as they are; the fit keeps (column, min, max, sum, sum2, nb) of ``col`` (a,b) in ``found`` and
-    the counts of the values of ``hist`` (a,b) in ``counts``, each a frame."""
+    the counts of the values of ``hist`` (a,b) in ``counts``, each a frame. ``name`` marks the JSON report."""
 
     col: str = ""
     hist: str = ""
+    name: str = "desc"
     found: DataFrame | None = field(default=None, repr=False)
     counts: dict = field(default_factory=dict, repr=False)
 
@@ -459,6 +461,20 @@ class Describe(Transform):
         self.counts = {c: histogram(df, c) for c in self.hist.split(",") if c}
         return self
 
+    def as_json(self) -> DataFrame:
+        """(json) of a fit: a text for each described column, and one for each value of a counted one.
+
+        Both hold name and column; the first also min, max, sum, sum2 and nb, the second value and n. What is
+        null (the value null, the minimum of no rows) is left out of its text. ValueError if nothing is described.
+        """
+        parts = [counts.select(F.lit(c).alias("column"), "value", "n") for c, counts in self.counts.items()]
+        if self.found is not None:
+            parts.insert(0, self.found)
+        if not parts:
+            raise ValueError("nothing is described")
+        texts = [df.select(F.to_json(F.struct(F.lit(self.name).alias("name"), "*")).alias("json")) for df in parts]
+        return functools.reduce(DataFrame.union, texts)
+
     def transform(self, df: DataFrame) -> DataFrame:
         return df
 

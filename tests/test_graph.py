@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,17 @@ def test_order(spark):
     assert [r["place"] for r in frame.argsort(df, "x", "k").orderBy("rank").collect()] == [1, 2, 0]
     assert frame.order_columns(df, ["x"]).columns == ["x"] and frame.cell(df, 1, "x", "k") == 1 and frame.cell(df, 9, 0, "k") is None
     assert sorted(r["k"] for r in frame.shuffle(df, "k").collect()) == [0, 1, 2]
+
+
+def test_description_as_json(spark):
+    rows = [(1, "a"), (3, None), (None, "a"), (1, 'b"')]
+    df = spark.createDataFrame(rows, "name int, t string")  # a column may be called name
+    texts = sorted((json.loads(r["json"]) for r in X.Describe("name", "t,name", "d").fit(df).as_json().collect()), key=str)
+    want = [{"name": "d", "column": "name", "min": 1.0, "max": 3.0, "sum": 5.0, "sum2": 11.0, "nb": 3}]
+    want += [{"name": "d", "column": "t", "n": 1}, {"name": "d", "column": "t", "value": "a", "n": 2}, {"name": "d", "column": "t", "value": 'b"', "n": 1}]
+    want += [{"name": "d", "column": "name", "n": 1}, {"name": "d", "column": "name", "value": 1, "n": 2}, {"name": "d", "column": "name", "value": 3, "n": 1}]
+    assert texts == sorted(want, key=str)
+    empty = X.Describe("name", "t").fit(df.limit(0)).as_json().collect()
+    assert [json.loads(r["json"]) for r in empty] == [{"name": "desc", "column": "name", "nb": 0}]
+    with pytest.raises(ValueError):
+        X.Describe().fit(df).as_json()
