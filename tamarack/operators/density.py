@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import neighbors
+from . import clusters, neighbors
 from .frame import running_sums
 from .transforms import Transform
 
@@ -66,7 +66,7 @@ class DBScan(Transform):
     def transform(self, df: DataFrame) -> DataFrame:
         points, names = _slots(df, self.id, self.col)
         eps = self.eps if self.eps > 0 else estimate_radius(df, self.id, self.col, self.s)
-        found = neighbors.dbscan(points, eps, self.mps, self.id, names)
+        found = clusters.dbscan(points, eps, self.mps, self.id, names)
         return df.join(found.select(F.col("id").alias(self.id), F.col("cluster").alias(self.outc), F.col("score").alias(self.outs)), self.id)
 
 

@@ -1,4 +1,4 @@
-"""Nearest neighbours in blocks, and density clustering.
+"""Nearest neighbours in blocks, and density orders.
 
 Vectors are packed into blocks of bounded size around pivots; blocks that can hold something near meet by an equi-join on
 block numbers, a task computes one pair of blocks as matrices and hands on only each query's best few.
@@ -268,23 +268,7 @@ def knn_classify(queries: DataFrame, items: DataFrame, label: str, k: int = 5, m
     return votes.join(totals, "id").select("id", "label", (F.col("w") / F.col("total")).alias("score"))
 
 
-def neighborhood(df: DataFrame, eps: float, id_col: str, columns: list[str]) -> DataFrame:
-    """(a, b): all pairs of points within ``eps``, each with itself, by a join on grid cells.
-
-    Cells are of the first three columns; the distance is of all.
-    """
-    cell = [F.floor(F.col(c) / eps).cast("long") for c in columns[:3]]
-    points = df.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)), *(c.alias(f"c{i}") for i, c in enumerate(cell)))
-    around = points
-    for i in range(len(cell)):
-        around = around.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + d for d in (-1, 0, 1)))))
-    n = range(len(columns))
-    other = points.select(F.col("id").alias("b"), *(F.col(f"x{i}").alias(f"y{i}") for i in n), *(f"c{i}" for i in range(len(cell))))
-    square = sum((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in n)
-    return around.join(other, [f"c{i}" for i in range(len(cell))]).where(square <= eps * eps).select(F.col("id").alias("a"), "b")
-
-
-def _roots(links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(a, root): the least node that each node reaches; ``links`` holds both directions and each node with itself."""
     label = durable(links.select("a").distinct().select("a", F.col("a").alias("root")))
     while True:
@@ -309,32 +293,11 @@ def _regions(points: DataFrame, eps: float, names: list[str]) -> DataFrame:
     for c in cells:
         around = around.withColumn(c, F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))))
     links = durable(around.join(filled, ["group", *cells]).select("a", "b"))
-    roots = filled.join(_roots(links), F.col("a") == F.col("b")).select("group", *cells, F.col("root").alias("region"))
+    roots = filled.join(components(links), F.col("a") == F.col("b")).select("group", *cells, F.col("root").alias("region"))
     whole = placed.join(roots, ["group", *cells], "left")
     return whole.withColumn("region", F.coalesce("region", "id")).select("group", "region", "id", *names)
 
 
-def dbscan(df: DataFrame, eps: float, mps: int, id_col: str, columns: list[str]) -> DataFrame:
-    """(id, cluster, score): density clusters, named by the order of their least core point, from 1; noise is -1.
-
-    A core point has ``mps`` points or more within ``eps``, itself included; a border point joins the
-    cluster of least number that reaches it; a cluster of fewer than ``mps`` points is noise. score: 1 in
-    a cluster, 0 for noise. Components: minimum labels over core links, with pointer jumping.
-    """
-    pairs = durable(neighborhood(df, eps, id_col, columns))
-    core = pairs.groupBy("a").count().where(F.col("count") >= mps).select("a")
-    links = durable(pairs.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"))
-    label = _roots(links)
-    reached = pairs.join(label.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("root"))
-    reached = label.unionByName(reached.join(label, "a", "left_anti"))
-    sizes = reached.groupBy("root").count().where(F.col("count") >= mps)
-    # clusters are few against points
-    ranks = sizes.sort("root").select("root").coalesce(1).withColumn("cluster", F.monotonically_increasing_id() + 1)
-    named = reached.join(ranks, "root").select(F.col("a").alias("id"), "cluster")
-    points = df.select(F.col(id_col).alias("id"))
-    return points.join(named, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"), F.when(F.col("cluster").isNotNull(), 1.0).otherwise(0.0).alias("score"))
-
-
 def optics(df: DataFrame, eps: float, mps: int, id_col: str, columns: list[str], group: str | None = None) -> DataFrame:
     """(group, id, place, reachability, core): the density order of each group's points.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..operators import aggregate, density, frame, neighbors
+from ..operators import aggregate, clusters, density, frame, neighbors
 from ..operators import transforms as X
 from ..streaming import streams
 from . import graph, pipeline
@@ -311,7 +311,7 @@ def _points(spark, sf_dir):
        SELECT id, coalesce(cluster, -1)::INT AS cluster, CASE WHEN cluster IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM p LEFT JOIN (SELECT a AS id, cluster FROM member JOIN named USING (root)) USING (id)"""
 )
 def q_dbscan(spark, sf_dir):
-    return neighbors.dbscan(_points(spark, sf_dir), 0.05, 5, "vec_id", ["x", "y"])
+    return clusters.dbscan(_points(spark, sf_dir), 0.05, 5, "vec_id", ["x", "y"])
 
 
 @registered()

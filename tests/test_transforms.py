@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.operators import density, neighbors
+from tamarack.operators import clusters, density, neighbors
 from tamarack.operators import transforms as X
 from tamarack.plans import pipeline
 
@@ -61,7 +61,7 @@ def test_dbscan_and_optics(spark):
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(0, 0.05, (30, 2)), rng.normal(3, 0.05, (30, 2)), [[10, 10]]])
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id long, x double, y double")
-    found = {r["id"]: r["cluster"] for r in neighbors.dbscan(df, 0.5, 4, "id", ["x", "y"]).collect()}
+    found = {r["id"]: r["cluster"] for r in clusters.dbscan(df, 0.5, 4, "id", ["x", "y"]).collect()}
     assert {found[i] for i in range(30)} == {1} and {found[i] for i in range(30, 60)} == {2} and found[60] == -1
     order = neighbors.optics(df, 0.5, 4, "id", ["x", "y"]).toPandas()
     assert len(order) == 61 and np.isinf(order["reachability"]).sum() == 3
