@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import dataclasses
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +41,23 @@ def build(text: str) -> X.Transform:
     return kind(**values)
 
 
+def fitted(step: X.Transform, path: str) -> dict:
+    """What a step learned, as JSON holds it; rows that it keeps are stored at ``path``."""
+    rows = getattr(step, "items", None)
+    if isinstance(rows, DataFrame):
+        rows.write.mode("overwrite").parquet(path)
+    return {"params": getattr(step, "params", None), "rows": isinstance(rows, DataFrame)}
+
+
+def refit(spark: SparkSession, step: X.Transform, kept: dict, path: str) -> None:
+    """Give a step what ``fitted`` stored."""
+    params = kept["params"]
+    if params is not None:
+        step.params = [tuple(p) if isinstance(p, list) else p for p in params] if isinstance(step.params, list) else tuple(params)
+    if kept["rows"]:
+        step.items = spark.read.parquet(path)
+
+
 class Pipeline:
     """Transforms, fitted one after the other, and an optional trainer on a vector and a label column.
 
@@ -69,19 +85,18 @@ class Pipeline:
         return self.model.transform(self.transform(df))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Descriptions and fitted numbers as JSON text; a trained model beside them."""
-        kept = {"texts": self.texts, "trainer": self.trainer, "features": self.features, "label": self.label, "params": [getattr(s, "params", None) for s in self.steps]}
-        spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/steps")
+        """Descriptions and fitted numbers as JSON text; rows that steps keep and the trained model, of any trainer, beside them."""
+        steps = [fitted(step, f"{path}/rows{i}") for i, step in enumerate(self.steps)]
+        trainers.write_json(spark, f"{path}/steps", {"texts": self.texts, "trainer": self.trainer, "features": self.features, "label": self.label, "steps": steps})
         if self.model is not None:
             self.model.save(f"{path}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Pipeline:
-        kept = json.loads(spark.read.text(f"{path}/steps").first()["value"])
+        kept = trainers.read_json(spark, f"{path}/steps")
         out = cls(kept["texts"], kept["trainer"], kept["features"], kept["label"])
-        for step, params in zip(out.steps, kept["params"], strict=True):
-            if params is not None:
-                step.params = [tuple(p) if isinstance(p, list) else p for p in params] if isinstance(step.params, list) else tuple(params)
+        for i, (step, own) in enumerate(zip(out.steps, kept["steps"], strict=True)):
+            refit(spark, step, own, f"{path}/rows{i}")
         if out.trainer:
             out.model = trainers.load(spark, f"{path}/model", out.features)
         return out

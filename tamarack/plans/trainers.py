@@ -1,11 +1,13 @@
 """Trainers by name: those of ``pyspark.ml``, nearest neighbours, and one-against-all over expanded classes.
 
 A trainer has ``fit(df)``; the model that it returns has ``transform(df)``, which adds ``prediction`` and the
-columns of its scores. Features are an array column, labels a numeric one.
+columns of its scores. Features are an array column, labels a numeric one. Every model can be saved and loaded again.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import classification, clustering, regression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader
@@ -33,30 +35,59 @@ def with_vectors(df: DataFrame, features: str) -> DataFrame:
     return df.withColumn(_VECTORS, array_to_vector(F.col(f"`{features}`").cast("array<double>")))
 
 
-class LibraryModel:
+class Model:
+    """What a trainer, ``made``, fits. ``values`` stores inner models and rows below ``path`` and gives the fitted numbers as JSON holds them."""
+
+    def __init__(self, made):
+        self.made = made
+
+    def values(self, path: str) -> dict:
+        raise NotImplementedError
+
+    def save(self, path: str) -> None:
+        """A folder with the trainer's description and the fitted numbers as JSON, inner models and rows beside them; it replaces what was there."""
+        made = self.made
+        kept = {"trainer": made.text, "features": made.features, "label": made.label, "values": self.values(path)}
+        write_json(SparkSession.active(), f"{path}/about", kept)
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    spark.createDataFrame([(json.dumps(value, default=float),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
+
+
+class LibraryModel(Model):
     """A fitted model of ``pyspark.ml`` that reads an array column."""
 
-    def __init__(self, model, features: str):
-        self.model, self.features = model, features
+    def __init__(self, made: Library, model):
+        super().__init__(made)
+        self.model, self.features = model, made.features
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(with_vectors(df, self.features)).drop(_VECTORS)
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def values(self, path: str) -> dict:
+        self.model.write().overwrite().save(f"{path}/model")
+        return {}
 
 
 class Library:
     """An estimator of ``pyspark.ml`` under its short name."""
 
     def __init__(self, name: str, options: dict[str, str], features: str, label: str):
-        self.features = features
+        self.features, self.label = features, label
         self.estimator = LIBRARY[name](featuresCol=_VECTORS, **{k: number(v) for k, v in options.items()})
         if self.estimator.hasParam("labelCol"):
             self.estimator.setLabelCol(label)
 
     def fit(self, df: DataFrame) -> LibraryModel:
-        return LibraryModel(self.estimator.fit(with_vectors(df, self.features)), self.features)
+        return LibraryModel(self, self.estimator.fit(with_vectors(df, self.features)))
+
+    def restored(self, spark: SparkSession, path: str, values: dict) -> LibraryModel:
+        return LibraryModel(self, DefaultParamsReader.loadParamsInstance(f"{path}/model", spark))
 
 
 class Neighbors:
@@ -71,12 +102,20 @@ class Neighbors:
         classes = [r[0] for r in df.select(self.label).distinct().orderBy(self.label).collect()]  # one row a class
         return NeighborsModel(self, df.select(self.id, self.features, self.label), classes)
 
+    def restored(self, spark: SparkSession, path: str, values: dict) -> NeighborsModel:
+        return NeighborsModel(self, spark.read.parquet(f"{path}/items").toDF(self.id, self.features, self.label), values["classes"])
 
-class NeighborsModel:
+
+class NeighborsModel(Model):
     """Adds ``score`` (the share of the largest label; ``multi``: a map of all labels) and ``prediction``."""
 
     def __init__(self, made: Neighbors, items: DataFrame, classes: list):
-        self.made, self.items, self.classes = made, items, classes
+        super().__init__(made)
+        self.items, self.classes = items, classes
+
+    def values(self, path: str) -> dict:
+        self.items.write.mode("overwrite").parquet(f"{path}/items")
+        return {"classes": self.classes}
 
     def transform(self, df: DataFrame) -> DataFrame:
         m = self.made
@@ -111,12 +150,20 @@ class Expanded:
         rows = self.wide(expansion.transform(df), classes, "_target_class").withColumn("_target", F.col("_target").cast("double"))
         return ExpandedModel(self, classes, make(self.base, "_wide", "_target").fit(rows.select("_wide", "_target")))
 
+    def restored(self, spark: SparkSession, path: str, values: dict) -> ExpandedModel:
+        return ExpandedModel(self, values["classes"], load(spark, f"{path}/base"))
 
-class ExpandedModel:
+
+class ExpandedModel(Model):
     """Adds ``scores``, an array in the order of the classes, and ``prediction``, the class of the highest."""
 
     def __init__(self, made: Expanded, classes: list, model):
-        self.made, self.classes, self.model = made, classes, model
+        super().__init__(made)
+        self.classes, self.model = classes, model
+
+    def values(self, path: str) -> dict:
+        self.model.save(f"{path}/base")
+        return {"classes": self.classes}
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = df
@@ -163,12 +210,23 @@ class OneAgainstAll:
             out.calibrators = Platt.fit_all(margins, scores, targets) if self.cali == "platt" else [Isotonic.fit(margins, x, t) for x, t in zip(scores, targets, strict=True)]
         return out
 
+    def restored(self, spark: SparkSession, path: str, values: dict) -> OneAgainstAllModel:
+        models = [load(spark, f"{path}/class{i}", self.features) for i in range(len(values["classes"]))]
+        kind = Platt if self.cali == "platt" else Isotonic
+        return OneAgainstAllModel(self, values["classes"], models, [kind(**c) for c in values["calibrators"]])
 
-class OneAgainstAllModel:
+
+class OneAgainstAllModel(Model):
     """Adds ``scores`` (an array in the order of the classes) and ``prediction`` (the class of the highest, the smaller of equals)."""
 
     def __init__(self, made: OneAgainstAll, classes: list, models: list, calibrators: list):
-        self.made, self.classes, self.models, self.calibrators = made, classes, models, calibrators
+        super().__init__(made)
+        self.classes, self.models, self.calibrators = classes, models, calibrators
+
+    def values(self, path: str) -> dict:
+        for i, model in enumerate(self.models):
+            model.save(f"{path}/class{i}")
+        return {"classes": self.classes, "calibrators": [vars(c) for c in self.calibrators]}
 
     def margins(self, df: DataFrame, name: str) -> DataFrame:
         names, out = [], df
@@ -205,12 +263,19 @@ class Ranker:
         self.group, self.l2, self.features, self.label = options.get("group", "GroupId"), float(options.get("l2", 1)), features, label
 
     def fit(self, df: DataFrame) -> RankerModel:
-        return RankerModel(self.features, ranking.fit_ranker(df, self.features, self.label, self.group, self.l2))
+        return RankerModel(self, ranking.fit_ranker(df, self.features, self.label, self.group, self.l2))
+
+    def restored(self, spark: SparkSession, path: str, values: dict) -> RankerModel:
+        return RankerModel(self, values["weights"])
 
 
-class RankerModel:
-    def __init__(self, features: str, weights: list[float]):
-        self.features, self.weights = features, weights
+class RankerModel(Model):
+    def __init__(self, made: Ranker, weights: list[float]):
+        super().__init__(made)
+        self.features, self.weights = made.features, weights
+
+    def values(self, path: str) -> dict:
+        return {"weights": self.weights}
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", ranking.dot(F.col(f"`{self.features}`"), self.weights) if self.weights else F.lit(0.0))
@@ -225,14 +290,21 @@ class ClassRanker:
     def fit(self, df: DataFrame) -> ClassRankerModel:
         label = F.col(f"`{self.label}`")
         classes = [r[0] for r in df.where(label.isNotNull()).select(self.label).distinct().orderBy(self.label).collect()]  # one row a class
-        return ClassRankerModel(self.features, classes, ranking.fit_class_ranker(df, self.features, self.label, classes, self.l2))
+        return ClassRankerModel(self, classes, ranking.fit_class_ranker(df, self.features, self.label, classes, self.l2))
+
+    def restored(self, spark: SparkSession, path: str, values: dict) -> ClassRankerModel:
+        return ClassRankerModel(self, values["classes"], values["weights"])
 
 
-class ClassRankerModel:
+class ClassRankerModel(Model):
     """Adds ``scores``, an array in the order of the classes, and ``prediction``, the class of the highest."""
 
-    def __init__(self, features: str, classes: list, weights: list[list[float]]):
-        self.features, self.classes, self.weights = features, classes, weights
+    def __init__(self, made: ClassRanker, classes: list, weights: list[list[float]]):
+        super().__init__(made)
+        self.features, self.classes, self.weights = made.features, classes, weights
+
+    def values(self, path: str) -> dict:
+        return {"classes": self.classes, "weights": self.weights}
 
     def transform(self, df: DataFrame) -> DataFrame:
         x = F.col(f"`{self.features}`")
@@ -247,23 +319,41 @@ class Around:
     def __init__(self, options: dict[str, str], features: str, label: str):
         self.options, self.features, self.label = options, features, label
 
-    def fit(self, df: DataFrame) -> AroundModel:
+    def _steps(self) -> dict[str, X.Transform]:
         from .pipeline import build  # descriptions of transforms; that module knows this one
 
-        steps = {k: build(self.options[k]) for k in ("pre", "pret", "post") if k in self.options}
+        return {k: build(self.options[k]) for k in ("pre", "pret", "post") if k in self.options}
+
+    def fit(self, df: DataFrame) -> AroundModel:
+        steps = self._steps()
         if "pre" in steps:
             df = steps["pre"].fit(df).transform(df)
         learned = steps["pret"].fit(df).transform(df) if "pret" in steps else df
         model = make(self.options.get("p", "lr"), self.features, self.label).fit(learned)
         if "post" in steps:
             steps["post"].fit(model.transform(df))
-        return AroundModel(steps, model)
+        return AroundModel(self, steps, model)
+
+    def restored(self, spark: SparkSession, path: str, values: dict) -> AroundModel:
+        from .pipeline import refit
+
+        steps = self._steps()
+        for k, fitted in values["steps"].items():
+            refit(spark, steps[k], fitted, f"{path}/{k}")
+        return AroundModel(self, steps, load(spark, f"{path}/model", self.features))
 
 
-class AroundModel:
-    def __init__(self, steps: dict[str, X.Transform], model):
+class AroundModel(Model):
+    def __init__(self, made: Around, steps: dict[str, X.Transform], model):
+        super().__init__(made)
         self.steps, self.model = steps, model
 
+    def values(self, path: str) -> dict:
+        from .pipeline import fitted
+
+        self.model.save(f"{path}/model")
+        return {"steps": {k: fitted(step, f"{path}/{k}") for k, step in self.steps.items()}}
+
     def transform(self, df: DataFrame) -> DataFrame:
         if "pre" in self.steps:
             df = self.steps["pre"].transform(df)
@@ -273,7 +363,12 @@ class AroundModel:
 
 def make(text: str, features: str = "Features", label: str = "Label"):
     """A trainer from its description, such as ``lr{maxIter=20}`` or ``iOVA{p=ft{maxIter=5}}``."""
-    name, options = parse(text)
+    made = _make(*parse(text), features, label)
+    made.text = text
+    return made
+
+
+def _make(name: str, options: dict[str, str], features: str, label: str):
     name = name.lower()
     if name in ("knn", "knnmc"):
         return Neighbors(options, features, label, name == "knnmc")
@@ -292,5 +387,7 @@ def make(text: str, features: str = "Features", label: str = "Label"):
     return Library(name, options, features, label)
 
 
-def load(spark: SparkSession, path: str, features: str) -> LibraryModel:
-    return LibraryModel(DefaultParamsReader.loadParamsInstance(path, spark), features)
+def load(spark: SparkSession, path: str, features: str | None = None) -> Model:
+    """A saved model; ``features``: the column it reads now, if not the one it learned from."""
+    kept = read_json(spark, f"{path}/about")
+    return make(kept["trainer"], features or kept["features"], kept["label"]).restored(spark, path, kept["values"])

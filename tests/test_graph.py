@@ -57,6 +57,36 @@ def test_saved_model(spark, classes, tmp_path):
     assert pick(made) == pick(again)
 
 
+SAVED = [
+    "kNNmc{k=3 d=L1}", "kNN{k=2 w=inverse}", "iOVA{p=ft{maxIter=2}}", "iOVArk{p=ftr{maxIter=2} onehot=-}", "iOVArk", "OOVA{p=lr{maxIter=5} ds=0.2}", "OOVA{cali=isotonic p=lr{maxIter=5}}",
+    "OOVA{useprob=- p=ap{maxIter=5}}", "rank{group=g}", "km{k=3 seed=1}", "PrePost{pre=Scaler{col=Features} pret=cachedf p=OOVA{p=lr{maxIter=5}} post=Scaler{col=shown:id scale=minMax}}",
+]
+
+
+@pytest.mark.parametrize("text", SAVED)
+def test_saved_models(spark, classes, tmp_path, text):
+    """A loaded model gives the rows of the one that was saved, under another column's name too."""
+    df = classes.withColumn("g", F.col("id") % 4)
+    made = trainers.make(text).fit(df)
+    path = str(tmp_path / "m")
+    made.save(path)
+    made.save(path)  # again, over itself
+    rows = lambda model, frame: sorted((repr(r.asDict()) for r in model.transform(frame).drop("Features", "Other").collect()))
+    again = trainers.load(spark, path)
+    assert rows(made, df) == rows(again, df) and len(rows(made, df)) == df.count()
+    if "pre=" not in text:
+        assert rows(trainers.load(spark, path, "Other"), df.withColumnRenamed("Features", "Other")) == rows(made, df)
+    assert made.transform(df.limit(0)).count() == again.transform(df.limit(0)).count() == 0
+
+
+def test_saved_rows_of_steps(spark, classes, tmp_path):
+    made = pipeline.Pipeline(["knntr{k=2}", "Scaler{col=Features}"], "kNNmc{k=3}").train(classes)
+    made.save(spark, str(tmp_path / "p"))
+    again = pipeline.Pipeline.load(spark, str(tmp_path / "p"))
+    pick = lambda p: sorted(map(repr, p.predict(classes).select("id", "Distances", "idNeighbors", "score", "prediction").collect()))
+    assert pick(made) == pick(again)
+
+
 def test_density_transforms(spark):
     rng = np.random.default_rng(4)
     points = np.concatenate([rng.normal(0, 0.05, (20, 4)), rng.normal(2, 0.05, (20, 4)), [[9, 9, 9, 9]]])
