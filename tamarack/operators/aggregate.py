@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import kind_of
-from ..session import durable
 
 FUNCTIONS = ("sum", "count", "mean", "min", "max")
 
+#: Rows of one fold and results of one merge in ``ordered_fold``, powers of 2, and levels of merges before the last.
+FOLD, MERGE, LEVELS = 1024, 256, 2
+
 
 def _aggregate(field: T.StructField, function: str, order: Sequence[str], compat: bool) -> Column:
     """One column's aggregate. Sums and counts keep the kind, integer means truncate; text is joined in order."""
@@ -123,19 +125,26 @@ def fold(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str],
 def ordered_fold(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str], start: Column, step: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column]) -> DataFrame:
     """(keys, value): a left fold in ``order`` whose partial results ``merge`` joins: merge(fold(a), fold(b)) = fold(a then b).
 
-    Rows are range-partitioned by (keys, order), so a hot key spreads; each partition folds its part of a group, and a group's parts, one a
-    partition at most, are merged in order. ``start`` must not change what it is merged with. Null keys are a group; null cells reach ``step``; an
-    empty table gives no rows; rows that are equal in ``order`` come by the cell.
+    Rows are range-partitioned and sorted by (keys, order), so a hot key spreads, and numbered by partition and place. Each FOLD places in a row
+    are one fold, and MERGE such results in a row one merge, level by level: no list is longer, and what grows as it is folded is copied
+    once a level. ``start`` must not change what it is merged with. Null keys are a group; null cells reach ``step``; an empty table gives no
+    rows; rows that are equal in ``order`` come by the cell.
     """
     o = [f"_o{i}" for i in range(len(order))]
     k = [f"_k{i}" for i in range(len(keys))]
     slim = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keys, k, strict=True)), *(F.col(f"`{c}`").alias(n) for c, n in zip(order, o, strict=True)), F.col(f"`{column}`").alias("_x"))
-    ordered = durable(slim.repartitionByRange(*k, *o, "_x").withColumn("_part", F.spark_partition_id()))
-    rows = F.array_sort(F.collect_list(F.struct(*o, "_x")))
-    parts = ordered.groupBy("_part", *k).agg(F.aggregate(rows, start, lambda a, r: step(a, r["_x"])).alias("_v"))
-    whole = parts.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("_part", "_v"))).alias("_p"))
-    value = F.aggregate(F.col("_p"), start, lambda a, r: merge(a, r["_v"]))
-    return whole.select(*(F.col(n).alias(c) for c, n in zip(keys, k, strict=True)), value.alias("value"))
+    # equal rows aside the order is whole, so that a task that runs again gives the same numbers
+    ordered = slim.repartitionByRange(*k, *o, "_x").sortWithinPartitions(*k, *o, "_x").select(*k, F.monotonically_increasing_id().alias("_at"), F.col("_x").alias("_v"))
+
+    def folded(rows: DataFrame, at: Column, then: Callable[[Column, Column], Column]) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct("_at", "_v")))
+        return rows.groupBy(*k, at.alias("_to")).agg(F.aggregate(listed, start, lambda a, r: then(a, r["_v"])).alias("_v")).withColumnRenamed("_to", "_at")
+
+    parts = folded(ordered, F.shiftright("_at", FOLD.bit_length() - 1), step)
+    for _ in range(LEVELS):
+        parts = folded(parts, F.shiftright("_at", MERGE.bit_length() - 1), merge)
+    whole = folded(parts, F.lit(0), merge)
+    return whole.select(*(F.col(n).alias(c) for c, n in zip(keys, k, strict=True)), F.col("_v").alias("value"))
 
 
 def text_sums(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:

@@ -74,6 +74,18 @@ def test_bounded_folds(spark):
     assert aggregate.text_sums(df.limit(0), ["k"], "t", ["o"]).count() == 0
 
 
+def test_folds_take_few_rows(spark, monkeypatch):
+    """One key holds all rows: no fold takes more than FOLD of them; text comes in order through all levels."""
+    df = spark.range(7000).select(F.lit("k").alias("k"), "id")
+    longest = aggregate.ordered_fold(df, ["k"], "id", ["id"], F.lit(0), lambda a, x: a + 1, F.greatest).collect()
+    assert [tuple(r) for r in longest] == [("k", aggregate.FOLD)]
+    monkeypatch.setattr(aggregate, "FOLD", 4)
+    monkeypatch.setattr(aggregate, "MERGE", 2)
+    texts = aggregate.text_sums(df.where("id < 700").withColumn("t", F.concat("id", F.lit(","))), ["k"], "t", ["id"]).collect()
+    assert [tuple(r) for r in texts] == [("k", "".join(f"{i}," for i in range(700)))]
+    assert [r[0] for r in aggregate.text_sums(df.where("id < 20").withColumn("t", F.col("id").cast("string")), [], "t", ["id"]).collect()] == ["".join(map(str, range(20)))]
+
+
 def test_key_ranges(spark):
     df = spark.createDataFrame([(1.0, 3), (2.5, 4), (None, None), (float("nan"), 0), (9.0, 9), (0.0, -1)], "x double, n int")
     got = X.KeyToLabel("k:[1-3]:x,u:U4:n,p:n", type="R8").transform(df)
