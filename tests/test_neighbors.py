@@ -58,3 +58,67 @@ def test_few_blocks_meet(vectors, monkeypatch):
     neighbors.knn(df, df, 3).count()
     (searched, q, i), *found = met
     assert searched <= q * i / 3 and sum(n for n, _, _ in found) <= q * i / 3
+
+
+def plans_met(monkeypatch):
+    """The plans of all that ``_met`` returns from now on."""
+    plans, inner = [], neighbors._met
+
+    def met(*rest):
+        out = inner(*rest)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(neighbors, "_met", met)
+    return plans
+
+
+def test_vectors_meet_without_a_shuffle(vectors, monkeypatch):
+    """Shuffled pairs of blocks take disk with the square of the rows."""
+    _, df = vectors
+    monkeypatch.setattr(neighbors, "BLOCK", 32)
+    plans = plans_met(monkeypatch)
+    neighbors.knn(df, df, 3).count()
+    assert len(plans) == 2
+    for plan in plans:
+        exchanges = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+        assert "CartesianProduct" in plan and not any("i_pivot" in line.split("hashpartitioning")[-1].split(")")[0] for line in exchanges)
+
+
+def blocks_of(x, y):
+    import pyarrow as pa
+
+    flat = lambda v: pa.array([v.ravel()], pa.list_(pa.float64()))
+    parts = [(np.arange(len(y))[::2][::-1], y[::2][::-1]), (np.arange(len(y))[1::2], y[1::2])]
+    for ids, part in parts:
+        yield pa.RecordBatch.from_pydict({"q_pivot": [0], "q_block": [0], "q_ids": [np.arange(len(x))], "q_vectors": flat(x), "i_ids": [ids], "i_vectors": flat(part)})
+
+
+def odd_vectors():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (70, 7)), rng.normal(0, 1, (90, 7))
+    y[:20] = y[20]  # ties
+    yield x, y
+    yield 1e-25 * x, 1e-25 * y
+    yield 1e6 + 1e-3 * x, 1e6 + 1e-3 * y  # near each other, far from zero
+    yield 1e200 * x, 1e200 * y  # squares overflow
+    yield np.ones((3, 2)), np.ones((5, 2))
+    yield np.zeros((3, 2)), np.array([[0.0, 0.0], [1.0, 0.0], [0.0, -1.0]])
+    yield np.where(x > 2, np.nan, x), np.where(y > 2, np.inf, y)
+    yield rng.normal(0, 1, (300, 1100)), rng.normal(0, 1, (40, 1100))  # sums of many bytes
+
+
+def nearest_of(x, y, metric):
+    with np.errstate(all="ignore"):
+        d = neighbors._distances(x, y, metric)
+        got = [b.to_pydict() for b in neighbors._nearest(4, metric)(blocks_of(x, y))]
+        assert len(got) == 1  # all blocks of items are merged in the task
+        near = np.array(got[0]["distance"]).reshape(len(x), -1)
+        assert np.allclose(near, np.sort(d, axis=1)[:, :4], rtol=1e-9, atol=0 if metric != "cosine" else 1e-12, equal_nan=True)
+        if metric != "cosine" and np.isfinite(d).all():  # there equal angles differ by rounding
+            assert got[0]["neighbor"] == np.argsort(d, axis=1, kind="stable")[:, :4].ravel().tolist()
+
+
+def test_estimated_l2_loses_nothing():
+    for x, y in odd_vectors():
+        nearest_of(x, y, "L2")
