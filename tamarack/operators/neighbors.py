@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .frame import with_index
+from .ordering import density_order
 
 #: Vectors of a block at most (about), and at least where fewer blocks would leave cores idle.
 BLOCK, LEAST_BLOCK = 2048, 128
@@ -464,19 +465,8 @@ def optics(df: DataFrame, eps: float, mps: int, id_col: str, columns: list[str],
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        ids, x = rows["id"].to_numpy(), rows[names].to_numpy()
-        reach, core, done, out, runs = np.full(len(ids), np.inf), np.full(len(ids), np.inf), np.zeros(len(ids), bool), [], []
-        for _ in ids:
-            left = np.flatnonzero(~done)
-            at = left[int(np.argmin(reach[left]))]
-            done[at] = True
-            out.append(at)
-            runs.append(ids[at] if np.isinf(reach[at]) else runs[-1])
-            d = np.sqrt(((x - x[at]) ** 2).sum(1))
-            near = d <= eps
-            if near.sum() >= mps:
-                core[at] = np.partition(d, mps - 1)[mps - 1]
-                reach = np.where(near & ~done, np.minimum(reach, np.maximum(d, core[at])), reach)
+        ids = rows["id"].to_numpy()
+        out, runs, reach, core = density_order(ids, rows[names].to_numpy(float), eps, mps)
         return pd.DataFrame({"group": rows["group"].iloc[0], "run": runs, "step": range(len(out)), "id": ids[out], "reachability": reach[out], "core": core[out]})
 
     ordered = _regions(points, eps, names).groupBy("group", "region").applyInPandas(order, "group long, run long, step int, id long, reachability double, core double")
