@@ -128,3 +128,19 @@ def test_estimated_cosine_loses_nothing():
     for x, y in odd_vectors():
         if np.abs(x[np.isfinite(x)]).max() < 1e100:  # squares that overflow have no angle
             nearest_of(x, y, "cosine")
+
+
+def test_estimated_l1_loses_nothing():
+    for x, y in odd_vectors():
+        nearest_of(x, y, "L1")
+
+
+def test_votes_search_once(vectors, monkeypatch):
+    """Shares come from one search: each vote is counted and summed from the same rows."""
+    _, df = vectors
+    monkeypatch.setattr(neighbors, "BLOCK", 32)
+    labelled = df.where("embedding is not null").withColumn("label", df["vec_id"] % 3)
+    votes = neighbors.knn_classify(labelled, labelled, "label", 4)
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CartesianProduct") == 1
+    assert votes.groupBy("id").agg({"score": "sum"}).where("abs(`sum(score)` - 1) > 1e-9").isEmpty()
