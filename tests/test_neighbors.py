@@ -144,3 +144,11 @@ def test_votes_search_once(vectors, monkeypatch):
     plan = votes._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 1
     assert votes.groupBy("id").agg({"score": "sum"}).where("abs(`sum(score)` - 1) > 1e-9").isEmpty()
+
+
+def test_range_search_meets_without_a_shuffle(vectors, monkeypatch):
+    _, df = vectors
+    monkeypatch.setattr(neighbors, "BLOCK", 32)
+    plans = plans_met(monkeypatch)
+    neighbors.range_search(df, df, 1.0).count()
+    assert len(plans) == 1 and "CartesianProduct" in plans[0]
