@@ -152,3 +152,19 @@ def test_range_search_meets_without_a_shuffle(vectors, monkeypatch):
     plans = plans_met(monkeypatch)
     neighbors.range_search(df, df, 1.0).count()
     assert len(plans) == 1 and "CartesianProduct" in plans[0]
+
+
+def test_few_items_copy_few_queries(spark, monkeypatch):
+    """Many queries and few items: blocks of queries are copied only while cores would be idle."""
+    monkeypatch.setattr(neighbors, "BLOCK", 64)
+    monkeypatch.setattr(neighbors, "LEAST_BLOCK", 8)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(0, 1, (640, 3)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counts, inner = {}, neighbors._blocks
+    monkeypatch.setattr(neighbors, "_blocks", lambda *rest: counts.update({rest[-2]: rest[-1]}) or inner(*rest))
+    near = neighbors.append_neighbors(df, 2, items=df.where("vec_id < 64"))
+    assert counts == {"q": 10, "i": 1}
+    x = np.array([v for _, v in rows])
+    want = np.argsort(neighbors._distances(x, x[:64], "L2"), axis=1, kind="stable")[:, :2]
+    assert {r["vec_id"]: r["idNeighbors"] for r in near.collect()} == {i: w.tolist() for i, w in enumerate(want)}
