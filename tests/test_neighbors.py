@@ -168,3 +168,21 @@ def test_few_items_copy_few_queries(spark, monkeypatch):
     x = np.array([v for _, v in rows])
     want = np.argsort(neighbors._distances(x, x[:64], "L2"), axis=1, kind="stable")[:, :2]
     assert {r["vec_id"]: r["idNeighbors"] for r in near.collect()} == {i: w.tolist() for i, w in enumerate(want)}
+
+
+def test_saved_neighbors_meet_without_a_shuffle(vectors, spark, monkeypatch, tmp_path):
+    """A loaded model searches its saved rows in blocks, and once."""
+    from tamarack.plans import pipeline
+
+    rows, df = vectors
+    monkeypatch.setattr(neighbors, "BLOCK", 32)
+    labelled = df.where("embedding is not null and vec_id <> 5").withColumn("label", (df["vec_id"] % 3).cast("int"))
+    pipeline.Pipeline([], "kNNmc{k=3 id=vec_id}", "embedding", "label").train(labelled).save(spark, str(tmp_path / "model"))
+    asked = pipeline.Pipeline.load(spark, str(tmp_path / "model")).predict(labelled).select("vec_id", "prediction")
+    assert asked._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") == 1
+    ids, x = np.array([i for i, _ in rows if i != 5]), np.array([v for i, v in rows if i != 5])
+    want = {}
+    for i, d in zip(ids, neighbors._distances(x, x, "L2")):
+        near = [int(n) % 3 for _, n in sorted(zip(d, ids))[:3]]
+        want[int(i)] = min(near, key=lambda label: (-near.count(label), label))
+    assert {r["vec_id"]: r["prediction"] for r in asked.collect()} == want
